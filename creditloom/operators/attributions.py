@@ -39,7 +39,7 @@ def _leaf(path: dict[int, list[float]], value: float) -> tuple[np.ndarray, np.nd
 
 def leaf_tables(spark: SparkSession, path: str, model: PipelineModel) -> tuple[list, float]:
     """Leaves of the stored model and its mean margin. The node table is bounded by rounds and depth."""
-    stored = spark.read.parquet(f"{path}/stages/*_{type(model.stages[-1]).__name__.removesuffix('Model')}_*/data")
+    stored = spark.read.parquet(f"{path}/stages/*_{model.stages[-1].uid}/data")
     nodes: dict[int, dict[int, object]] = {}
     for row in stored.select("treeID", "nodeData.*").toLocalIterator():
         nodes.setdefault(row.treeID, {})[row.id] = row

@@ -5,6 +5,7 @@ All of these are projections on one row per company; scores are decimals until t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,14 @@ def collateral_coverage(applications_value: Column, loan: Column) -> Column:
     return F.coalesce(applications_value, F.lit(0)).cast("decimal(18,2)") / F.greatest(F.coalesce(loan, F.lit(1)), F.lit(1)).cast("decimal(18,2)")
 
 
-def base_financials(applications: DataFrame) -> DataFrame:
-    """The working financial row of every applicant with its defaults."""
+RATIO_DEFAULTS = {"debt_service_coverage": "1.5", "current_ratio": "1.2", "debt_to_equity": "1.5", "revenue_growth": "0.1"}
+
+
+def base_financials(applications: DataFrame, stated: Sequence[str] = ()) -> DataFrame:
+    """The working financial row of every applicant with its defaults.
+
+    ``stated`` names the ratio columns that ``applications`` itself brings along.
+    """
     coverage = F.round(collateral_coverage(F.col("collateral_value"), F.col("loan_amount")), 6)
     net_worth = F.coalesce("turnover", F.lit(10_000_000)).cast("decimal(18,2)") * dec("0.3", "decimal(2,1)")
     fixed = {
@@ -48,10 +55,8 @@ def base_financials(applications: DataFrame) -> DataFrame:
         F.lower(F.coalesce("collateral_type", F.lit("immovable"))).alias("collateral_type"),
         coverage.cast("decimal(20,6)").alias("collateral_coverage"),
         F.lit("positive").alias("sector_outlook"),
-        dec("1.5", "decimal(20,6)").alias("debt_service_coverage"),
-        dec("1.2", "decimal(20,6)").alias("current_ratio"),
-        dec("1.5", "decimal(20,6)").alias("debt_to_equity"),
-        dec("0.1", "decimal(20,6)").alias("revenue_growth"),
+        *[(F.coalesce(F.col(c).cast("decimal(20,6)"), dec(v, "decimal(20,6)")) if c in stated else dec(v, "decimal(20,6)")).alias(c)
+          for c, v in RATIO_DEFAULTS.items()],
         net_worth.cast("decimal(24,2)").alias("net_worth"),
         *[F.lit(v).alias(c) for c, v in fixed.items()],
     )
