@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,38 +10,81 @@ from pyspark.sql import functions as F
 from creditloom import fixedvalues as fv
 
 
-def contains_any(c: Column, words: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def first_rule(c: Column, rules: Iterable[tuple[str, list[str]]]) -> Column:
-    """The name of the first rule with a word inside ``c``; null when none applies."""
-    out = None
+def _any_of(column: str, words: Iterable[str]) -> str:
+    return " OR ".join(f"contains({column}, {_quoted(w)})" for w in words)
+
+
+def contains_any(column: str, words: Iterable[str]) -> Column:
+    """Whether the named column contains one of the words. Long word lists are built as one expression text."""
+    return F.expr(_any_of(column, words))
+
+
+def minimal_rules(rules: Iterable[tuple[str, list[str]]], ordered: bool) -> list[tuple[str, str]]:
+    """(rule, word) pairs without the words that cannot change a result.
+
+    A word containing another word of its rule is redundant; if only the first rule counts, so is a word
+    containing a word of an earlier rule.
+    """
+    out: list[tuple[str, str]] = []
     for name, words in rules:
-        hit = contains_any(c, words)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+        earlier = [w for _, w in out] if ordered else []
+        kept = [w for w in words if not any(e in w for e in earlier) and not any(o != w and o in w for o in words)]
+        out += [(name, w) for w in dict.fromkeys(kept)]
     return out
 
 
-def field_of(label: Column, match: str = "first") -> Column:
-    """Spreadsheet field named by a label.
+def first_rule(column: str, rules: Iterable[tuple[str, list[str]]]) -> Column:
+    """The name of the first rule with a word inside the named column; null when none applies.
+
+    A CASE, so a long text is not searched beyond the first hit.
+    """
+    by_rule: list[tuple[str, list[str]]] = []
+    for name, word in minimal_rules(rules, ordered=True):
+        if by_rule and by_rule[-1][0] == name:
+            by_rule[-1][1].append(word)
+        else:
+            by_rule.append((name, [word]))
+    return F.expr("CASE " + " ".join(f"WHEN {_any_of(column, words)} THEN {_quoted(name)}" for name, words in by_rule) + " END")
+
+
+def _hits(label: str, pairs: list[tuple[str, str]]) -> str:
+    """The pairs whose word occurs in a short label: a constant list tested by one lambda.
+
+    A CASE over some hundred words would compile to a method too large for the JIT.
+    """
+    listed = ", ".join(f"struct({_quoted(name)} AS rule, {_quoted(word)} AS word)" for name, word in pairs)
+    return f"filter(array({listed}), p -> contains({label}, p.word))"
+
+
+def field_of(label: str, match: str = "first") -> Column:
+    """Spreadsheet field named by a label column.
 
     ``first`` takes the first field of the dictionary with a hit (so "debt to equity" reads as net worth);
     ``longest`` takes the field whose matching keyword is longest.
     """
     if match == "first":
-        return first_rule(label, fv.FIELD_KEYWORDS.items())
-    if match != "longest":
+        pairs = minimal_rules(fv.FIELD_KEYWORDS.items(), ordered=True)
+    elif match == "longest":
+        # The sort is stable, so equally long words keep the order of the dictionary.
+        pairs = sorted(((f, w) for f, words in fv.FIELD_KEYWORDS.items() for w in words), key=lambda p: -len(p[1]))
+    else:
         raise ValueError(f"unknown match rule: {match}")
-    by_length = sorted(
-        ((len(w), -i, field, w) for i, (field, words) in enumerate(fv.FIELD_KEYWORDS.items()) for w in words), reverse=True
-    )
-    return first_rule(label, [(field, [w]) for _, _, field, w in by_length])
+    return F.expr(f"get({_hits(label, pairs)}, 0).rule")
+
+
+def fields_of(header: str) -> Column:
+    """All spreadsheet fields the named header column feeds."""
+    pairs = minimal_rules(fv.FIELD_KEYWORDS.items(), ordered=False)
+    return F.expr(f"array_distinct(transform({_hits(header, pairs)}, p -> p.rule))")
 
 
-def fields_of(header: Column) -> Column:
-    """All spreadsheet fields a column header feeds."""
-    return F.array_compact(F.array(*[F.when(contains_any(header, ws), f) for f, ws in fv.FIELD_KEYWORDS.items()]))
+def words_present(column: str, words: Iterable[str]) -> Column:
+    """How many of the words occur in the named column."""
+    return F.expr(" + ".join(f"int(contains({column}, {_quoted(w)}))" for w in words))
 
 
 def texts_where(*pairs: tuple[Column, Column | str]) -> Column:
@@ -64,7 +106,7 @@ def slice_n(c: Column, n: int) -> Column:
 
 
 def infer_sector(c: Column) -> Column:
-    return F.when(contains_any(F.lower(c), fv.SECTOR_WORDS), "textile").otherwise("MSME")
+    return F.when(F.lower(c).rlike("|".join(fv.SECTOR_WORDS)), "textile").otherwise("MSME")
 
 
 def rating_band(c: Column) -> Column:

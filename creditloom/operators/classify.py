@@ -8,42 +8,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom import fixedvalues as fv
-from creditloom.functions.rules import contains_any, first_rule
+from creditloom.functions.rules import contains_any, first_rule, words_present
 
 
-def classify_doc(name: Column, preview: Column) -> Column:
-    """File-name rules first, then content rules, then the general type."""
-    return F.coalesce(
-        first_rule(F.lower(name), fv.NAME_RULES), first_rule(F.lower(preview), fv.CONTENT_RULES), F.lit(fv.DEFAULT_DOC_TYPE))
+def classify_docs(docs: DataFrame, name: str, preview: str, out: str = "doc_type") -> DataFrame:
+    """Adds the type of every document: file-name rules, then content rules, then the general type.
 
+    Both texts are lower-cased once, ahead of the rules.
+    """
+    lowered = docs.withColumns({"_name": F.lower(name), "_preview": F.lower(preview)})
+    chosen = F.coalesce(first_rule("_name", fv.NAME_RULES), first_rule("_preview", fv.CONTENT_RULES), F.lit(fv.DEFAULT_DOC_TYPE))
+    return lowered.withColumn(out, chosen).drop("_name", "_preview")
 
-def classify_fallback(prompt: Column) -> Column:
-    return F.coalesce(first_rule(F.lower(prompt), fv.PROMPT_RULES), F.lit(fv.DEFAULT_DOC_TYPE))
 
+def classify_fallback(prompt: str) -> Column:
+    return F.coalesce(first_rule(f"lower({prompt})", fv.PROMPT_RULES), F.lit(fv.DEFAULT_DOC_TYPE))
 
-def fallback_reply(prompt: Column) -> Column:
-    """The reply used for a prompt when no model answers."""
-    p = F.lower(prompt)
+
+def fallback_reply(prompt: str) -> Column:
+    """The reply used for a prompt column when no model answers."""
+    p = f"lower({prompt})"
     return (
         F.when(contains_any(p, ["classify", "classification"]), classify_fallback(prompt))
-        .when(p.contains("swot"), json.dumps(fv.SWOT_STATIC))
+        .when(contains_any(p, ["swot"]), json.dumps(fv.SWOT_STATIC))
         .when(contains_any(p, ["extract", "financial"]), "{}")
         .otherwise(fv.PROMPT_DEFAULT_REPLY)
     )
 
 
-def type_scores(text: Column) -> list[Column]:
-    low = F.lower(text)
-    return [
-        sum((low.contains(w).cast("int") for w in words), F.lit(0)).alias(doc_type)
-        for doc_type, words in fv.TYPE_KEYWORDS.items()
-    ]
-
-
 def detect_doc_type(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The type with most distinct keywords present; ties go to the earlier type. No shuffle, texts are read whole."""
-    scored = texts.select(key, *type_scores(F.col(text)))
     types = list(fv.TYPE_KEYWORDS)
+    lowered = texts.select(key, F.lower(text).alias("_low"))
+    scored = lowered.select(key, *[words_present("_low", words).alias(t) for t, words in fv.TYPE_KEYWORDS.items()])
     best = F.greatest(*types)
     winner = F.coalesce(*[F.when(F.col(t) == best, F.lit(t)) for t in types])
     return scored.select(key, winner.alias("detected_type"), best.alias("score"))

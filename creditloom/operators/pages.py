@@ -131,7 +131,7 @@ def bureau_flags(page_text: DataFrame, table_cells: DataFrame | None = None,
     numbers = F.concat(inside, F.array_compact(F.array(F.when(tail != "", across))))
     marked = parts.select(
         "doc_id", "part_no", numbers.alias("_numbers"),
-        contains_any(t, fv.DPD_MENTIONS).alias("_mention"),
+        contains_any("_t", fv.DPD_MENTIONS).alias("_mention"),
         *[t.contains(k).alias(f"_flag{i}") for i, k in enumerate(fv.BUREAU_RED_FLAGS)],
     )
     # A number too long for a bigint certainly exceeds 30.

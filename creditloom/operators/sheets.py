@@ -34,7 +34,7 @@ def kv_by_sheet(rows: DataFrame, match: str = "first") -> DataFrame:
         F.when(F.size("_f") >= 2, F.lower(F.trim(F.col("_f")[0].value))).alias("_label"),
         F.when(F.size("_f") >= 2, clean_value(F.element_at("_f", -1).value)).alias("value"),
     )
-    field = F.when(F.col("value").isNotNull(), field_of(F.col("_label"), match))
+    field = F.when(F.col("value").isNotNull(), field_of("_label", match))
     per_sheet = pairs.groupBy("doc_id", "sheet_no", field.alias("field")).agg(
         F.max_by("value", "row_no").alias("value"), F.max("_width").alias("_width"))
     # At most one row per field remains in a sheet here.
@@ -99,8 +99,8 @@ def columns_by_sheet(rows: DataFrame) -> DataFrame:
         F.max(F.when(~promoted, F.lower("header"))).alias("_given"),
         F.min_by("_number", "_at").alias("value"),
     )
-    named = columns.where(F.col("value").isNotNull()).select(
-        F.explode(fields_of(F.coalesce("_promoted", "_given"))).alias("field"), "doc_id", "sheet_no", "col_no", "value")
+    headed = columns.where(F.col("value").isNotNull()).withColumn("_header", F.coalesce("_promoted", "_given"))
+    named = headed.select(F.explode(fields_of("_header")).alias("field"), "doc_id", "sheet_no", "col_no", "value")
     return merge_last(named, "col_no", ("doc_id", "sheet_no", "field"))
 
 

@@ -164,7 +164,8 @@ def model_features(spark, sf):
 @query("apply_overrides")
 def apply_overrides(spark, sf):
     first = fx.page_text(spark, sf).where("page_no = 1")
-    auto = first.select("doc_id", classify.classify_doc(F.lit("upload"), F.col("text")).alias("auto_type"))
+    named = first.withColumn("name", F.lit("upload"))
+    auto = classify.classify_docs(named, "name", "text", "auto_type").select("doc_id", "auto_type")
     edits = first.where("doc_id % 10 < 2").selectExpr("doc_id", "CASE doc_id % 10 WHEN 0 THEN 'ALM' ELSE 'Portfolio_Data' END AS edited_type")
     return classify.apply_overrides(auto, edits)
 
@@ -212,8 +213,8 @@ def assemble_case(spark, sf):
 @query("schema_lookup")
 def schema_lookup(spark, sf):
     docs = fx.table(spark, sf, "documents")
-    return sheets.schema_lookup(docs.select(classify.classify_doc(F.col("source"), F.col("text")).alias("doc_type")).unionByName(
-        docs.select(F.col("lang").alias("doc_type"))))
+    typed = classify.classify_docs(docs.select("source", "text"), "source", "text").select("doc_type")
+    return sheets.schema_lookup(typed.unionByName(docs.select(F.col("lang").alias("doc_type"))))
 
 
 @query("reply_cache")
@@ -416,12 +417,13 @@ def bureau_flags(spark, sf):
 
 @query("classify_doc")
 def classify_doc(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", classify.classify_doc(F.col("source"), F.col("text")).alias("doc_type"))
+    docs = fx.table(spark, sf, "documents").select("doc_id", "source", "text")
+    return classify.classify_docs(docs, "source", "text").select("doc_id", "doc_type")
 
 
 @query("classify_fallback")
 def classify_fallback(spark, sf):
-    return fx.table(spark, sf, "conversations").select("conv_id", "turn", classify.classify_fallback(F.col("text")).alias("doc_type"))
+    return fx.table(spark, sf, "conversations").select("conv_id", "turn", classify.classify_fallback("text").alias("doc_type"))
 
 
 @query("parse_reply")
