@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from creditloom import fixedvalues as fv
 from creditloom.operators.sheets import doc_fields as _doc_fields
@@ -13,8 +14,15 @@ from creditloom.sources.cells import to_sheet_rows
 STATED = ["debt_service_coverage", "current_ratio", "debt_to_equity", "revenue_growth"]
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is looked up once per process."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def gst_returns(spark: SparkSession, sf: str) -> DataFrame:
