@@ -71,16 +71,32 @@ def swot_points(applications: DataFrame, replies: DataFrame | None = None) -> Da
     return df.select("company_id", F.inline(quadrants)).select("company_id", "quadrant", F.posexplode("points").alias("point_no", "point"))
 
 
+def percent_text(v: Column) -> Column:
+    """A rate as percent; rates below one are taken as fractions."""
+    return F.concat(F.round(F.when(v < 1, v * 100).otherwise(v), 1).cast("decimal(28,1)").cast("string"), F.lit("%"))
+
+
+def ratio_text(v: Column) -> Column:
+    return F.concat(F.round(v, 2).cast("decimal(28,2)").cast("string"), F.lit("x"))
+
+
+def styled(field: str, value: Column) -> Column:
+    """A financial value in the style of its field."""
+    v = value.try_cast("decimal(28,6)")
+    if field in fv.RUPEE_FIELDS:
+        return format_inr(v)
+    return percent_text(v) if field in fv.PERCENT_FIELDS else ratio_text(v)
+
+
 def format_financials(facts: DataFrame) -> DataFrame:
     """(company_id, label, shown) for (company_id, field, value) rows, each field in its own style."""
     field, value = F.col("field"), F.col("value")
     v = value.try_cast("decimal(28,6)")
-    pct = F.when(v < 1, v * 100).otherwise(v)
     shown = (
         F.when(v.isNull(), F.coalesce(value.cast("string"), F.lit("None")))
         .when(field.isin(fv.RUPEE_FIELDS), format_inr(v))
-        .when(field.isin(fv.PERCENT_FIELDS), F.concat(F.round(pct, 1).cast("decimal(28,1)").cast("string"), F.lit("%")))
-        .when(field.isin(fv.RATIO_FIELDS), F.concat(F.round(v, 2).cast("decimal(28,2)").cast("string"), F.lit("x")))
+        .when(field.isin(fv.PERCENT_FIELDS), percent_text(v))
+        .when(field.isin(fv.RATIO_FIELDS), ratio_text(v))
         .otherwise(value.cast("string"))
     )
     return facts.select("company_id", title_label(field).alias("label"), shown.alias("shown"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from creditloom import fixedvalues as fv
 from creditloom.functions.numbers import format_inr
 from creditloom.functions.rules import rating_band
-from creditloom.operators.explain import format_financials, plain
+from creditloom.operators.explain import plain, styled
+from creditloom.operators.research import research_items
 
 SHOWN_SOURCES = 5
 FINANCIALS = [*fv.RUPEE_FIELDS, *fv.PERCENT_FIELDS, *fv.RATIO_FIELDS]
@@ -20,21 +21,21 @@ def _item(section: int, no: int, label: str, value: Column) -> Column:
                     F.lit(label).alias("label"), value.cast("string").alias("value"))
 
 
-def memo_sections(cases: DataFrame, assessment_date: str, prepared_by: str = "creditloom",
-                  research: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
+def memo_sections(cases: DataFrame, assessment_date: str, prepared_by: str = "creditloom", notes: DataFrame | None = None) -> DataFrame:
     """(company_id, decision, sec_no, item_no, title, label, value) rows of every memo, in section order.
 
-    The fixed sections are exploded within the row. ``research`` (company_id, label, content) and ``notes``
-    (company_id, note_no, note) add their rows to their sections; notes are ordered by number.
+    All sections come from one pass over the cases, exploded within the row. ``notes`` (company_id, note_no,
+    note) adds rows ordered by number; ``cases`` is then read twice, so it should be a stored table.
     """
     banner = F.lit("OVERALL RATING: MEDIUM RISK ⚠️")
     for decision, text in fv.MEMO_BANNERS.items():
         banner = F.when(F.col("decision") == decision, text).otherwise(banner)
     date = F.lit(assessment_date)
-    no_premium = F.coalesce(F.concat(plain(F.col("risk_premium")), F.lit("%")), F.lit("N/A"))
+    premium = F.coalesce(F.concat(plain(F.col("risk_premium")), F.lit("%")), F.lit("N/A"))
     itc = F.concat(F.lit("GSTR-2B Analysis — "), F.when(F.col("gst_risk_level") == "high", "High Risk").otherwise("Compliant"))
     flags = F.when(F.size("gst_flags") > 0, F.array_join("gst_flags", ", ")).otherwise(fv.NO_WARNINGS)
     sources = F.array_join(F.slice("sources", 1, SHOWN_SOURCES), ", ")
+    zero = F.lit(0).cast("decimal(28,2)")
     items = [
         _item(-1, 0, "meta", F.concat(F.lit("Borrower: "), F.col("company_name"), F.lit("  |  Date: "), date, F.lit(f"  |  Prepared by: {prepared_by}"))),
         _item(-1, 1, "banner", banner),
@@ -47,13 +48,14 @@ def memo_sections(cases: DataFrame, assessment_date: str, prepared_by: str = "cr
         _item(1, 0, "", F.col("explanation")),
         _item(2, 0, "Decision", F.col("decision")),
         _item(2, 1, "Credit Limit", format_inr(F.col("credit_limit"))),
-        _item(2, 2, "Risk Premium", no_premium),
+        _item(2, 2, "Risk Premium", premium),
         _item(2, 3, "Credit Score", F.concat(plain(F.col("score")), F.lit("/100"))),
         _item(2, 4, "Ml Model Score", F.concat(plain(F.col("ml_score")), F.lit("/100"))),
         *[_item(3, i, c.title(), F.concat(F.lit(f"{c.title()} ("), F.col(c).cast("string"), F.lit("/100 — "), rating_band(F.col(c)), F.lit(f"): {text}")))
           for i, (c, text) in enumerate(fv.FIVE_CS_TEXTS.items())],
-        _item(5, 0, "Gst Revenue", format_inr(F.coalesce("gst_revenue", F.lit(0).cast("decimal(28,2)")))),
-        _item(5, 1, "Bank Credits", format_inr(F.coalesce("bank_credits", F.lit(0).cast("decimal(28,2)")))),
+        *[_item(4, i, f.replace("_", " ").title(), styled(f, F.col(f))) for i, f in enumerate(FINANCIALS)],
+        _item(5, 0, "Gst Revenue", format_inr(F.coalesce("gst_revenue", zero))),
+        _item(5, 1, "Bank Credits", format_inr(F.coalesce("bank_credits", zero))),
         _item(5, 2, "Discrepancy", F.concat(plain(F.col("discrepancy_pct")), F.lit("%"))),
         _item(5, 3, "Itc Compliance", itc),
         _item(5, 4, "Risk Level", F.upper("gst_risk_level")),
@@ -61,31 +63,21 @@ def memo_sections(cases: DataFrame, assessment_date: str, prepared_by: str = "cr
         _item(6, 100, "References & Data Sources", F.when(F.size("sources") > 0, sources)),
         _item(8, 0, "", F.lit(fv.MEMO_DISCLAIMER)),
     ]
+    silent = _item(7, 0, "", F.lit(fv.MEMO_NO_NOTES))
     if notes is None:
-        items.append(_item(7, 0, "", F.lit(fv.MEMO_NO_NOTES)))
-    out = cases.select("company_id", "decision", F.inline(F.array(*items))).where(F.col("value").isNotNull())
-    numbers = cases.select("company_id", "decision", *[F.col(c).cast("double").alias(c) for c in FINANCIALS]).unpivot(
-        ["company_id", "decision"], FINANCIALS, "field", "value")
-    order = F.array_position(F.array(*[F.lit(c) for c in FINANCIALS]), F.col("field")).cast("int") - 1
-    styled = numbers.select("company_id", "decision", order.alias("item_no"), "field", "value")
-    labelled = format_financials(styled.select(F.struct("company_id", "decision", "item_no").alias("company_id"), "field", "value"))
-    out = out.unionByName(labelled.select(
-        "company_id.company_id", "company_id.decision", F.lit(5).alias("sec_no"), "company_id.item_no",
-        F.lit(fv.MEMO_SECTIONS[4]).alias("title"), "label", F.col("shown").alias("value")))
-    decisions = cases.select("company_id", "decision")
-    if research is not None:
-        out = out.unionByName(research.join(decisions, "company_id").select(
-            "company_id", "decision", F.lit(7).alias("sec_no"), F.lit(0).alias("item_no"), F.lit(fv.MEMO_SECTIONS[6]).alias("title"),
-            "label", F.col("content").alias("value")))
+        items.append(silent)
+    else:
+        noted = notes.select("company_id", F.lit(True).alias("_noted")).distinct()
+        cases = cases.join(noted, "company_id", "left")
+        items.append(F.when(F.col("_noted").isNull(), silent))
+    findings = F.transform(research_items(F.col("reply")), lambda r: F.struct(
+        F.lit(7).alias("sec_no"), F.lit(0).alias("item_no"), F.lit(fv.MEMO_SECTIONS[6]).alias("title"), r.label.alias("label"), r.content.alias("value")))
+    rows = F.concat(F.array_compact(F.array(*items)), findings)
+    out = cases.select("company_id", "decision", F.inline(rows)).where(F.col("value").isNotNull())
     if notes is not None:
-        title = F.lit(fv.MEMO_SECTIONS[7]).alias("title")
-        given = notes.join(decisions, "company_id").select(
-            "company_id", "decision", F.lit(8).alias("sec_no"), F.col("note_no").cast("int").alias("item_no"), title,
-            F.lit("").alias("label"), F.col("note").alias("value"))
-        silent = decisions.join(notes.select("company_id").distinct(), "company_id", "left_anti").select(
-            "company_id", "decision", F.lit(8).alias("sec_no"), F.lit(0).alias("item_no"), title, F.lit("").alias("label"),
-            F.lit(fv.MEMO_NO_NOTES).alias("value"))
-        out = out.unionByName(given).unionByName(silent)
+        out = out.unionByName(notes.join(cases.select("company_id", "decision"), "company_id").select(
+            "company_id", "decision", F.lit(8).alias("sec_no"), F.col("note_no").cast("int").alias("item_no"),
+            F.lit(fv.MEMO_SECTIONS[7]).alias("title"), F.lit("").alias("label"), F.col("note").alias("value")))
     return out
 
 

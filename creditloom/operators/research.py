@@ -93,26 +93,35 @@ def _item_text(v: Column) -> Column:
     return F.when(is_list, as_list).when(text.startswith("["), from_text).when(F.is_variant_null(v), "None").otherwise(text)
 
 
-def flatten_research(replies: DataFrame) -> DataFrame:
-    """(company_id, label, content) rows of a JSON reply; one row with the cleaned text if it is not JSON.
+def _members(v: Column) -> Column:
+    """Key/value entries of a JSON object; null for anything else."""
+    return F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def research_items(reply: Column) -> Column:
+    """(label, content) entries of a JSON reply; one entry with the cleaned text if it is not JSON.
 
-    Nested objects give one row per inner key. Only explodes within the row, no shuffle.
+    Nested objects give one entry per inner key.
     """
-    parsed = replies.select("company_id", strip_fences(F.col("reply")).alias("clean"), parse_fenced(F.col("reply")).alias("v"))
-    junk = parsed.where(F.col("v").isNull()).select(
-        "company_id", F.lit("Research Findings").alias("label"), F.substring("clean", 1, FINDINGS_CHARS).alias("content"))
-    # An object given as map keeps keys; anything else has no rows.
-    top = parsed.where(F.schema_of_variant("v").startswith("OBJECT")).select(
-        "company_id", F.explode(F.expr("try_variant_get(v, '$', 'map<string,variant>')")).alias("key", "value"))
-    nested = F.schema_of_variant("value").startswith("OBJECT")
-    flat = top.where(~F.coalesce(nested, F.lit(False))).select("company_id", title_label(F.col("key")).alias("label"), _item_text(F.col("value")).alias("content"))
-    inner = top.where(nested).select(
-        "company_id", "key", F.explode(F.expr("try_variant_get(value, '$', 'map<string,variant>')")).alias("subkey", "subvalue")
-    ).select(
-        "company_id", F.concat(title_label(F.col("key")), F.lit(" — "), title_label(F.col("subkey"))).alias("label"),
-        _item_text(F.col("subvalue")).alias("content"))
-    cut = F.substring("content", 1, LABEL_CHARS).alias("content")
-    return junk.unionByName(flat.unionByName(inner).select("company_id", "label", cut))
+    v = parse_fenced(reply)
+
+    def item(label: Column, content: Column) -> Column:
+        return F.struct(label.alias("label"), F.substring(content, 1, LABEL_CHARS).alias("content"))
+
+    def expand(e: Column) -> Column:
+        label = title_label(e.key)
+        inner = F.transform(_members(e.value), lambda s: item(F.concat(label, F.lit(" — "), title_label(s.key)), _item_text(s.value)))
+        return F.coalesce(inner, F.array(item(label, _item_text(e.value))))
+
+    junk = F.struct(F.lit("Research Findings").alias("label"), F.substring(strip_fences(reply), 1, FINDINGS_CHARS).alias("content"))
+    parsed = F.flatten(F.transform(_members(v), expand))
+    none = F.array().cast("array<struct<label:string,content:string>>")
+    return F.when(v.isNull(), F.array(junk)).otherwise(F.coalesce(parsed, none))
+
+
+def flatten_research(replies: DataFrame) -> DataFrame:
+    """Research entries of every reply as rows; works within the row, no shuffle."""
+    return replies.select("company_id", F.inline(research_items(F.col("reply"))))
 
 
 def prompt_key(c: Column) -> Column:

@@ -12,7 +12,7 @@ from creditloom.operators import (attributions, classify, explain, gst, loans, m
                                   screening, sheets)
 from creditloom.plans import assessment
 from creditloom.plans import fixtures as fx
-from creditloom.session import shared_folder
+from creditloom.session import ensure_checkpoint_dir, shared_folder
 from creditloom.sources import cells, defaulters, files, tables
 
 SEP = " ; "
@@ -554,8 +554,9 @@ def swot_fallback(spark, sf):
 @query("memo_sections")
 def memo_sections(spark, sf):
     sources = research.build_context(fx.search_hits(spark, sf)).select("company_id", "sources")
-    cases = _decided(spark, sf).join(sources, "company_id", "left")
-    return memo.memo_sections(cases, MEMO_DATE, research=research.flatten_research(fx.research_replies(spark, sf)), notes=fx.officer_notes(spark, sf))
+    ensure_checkpoint_dir(spark)
+    cases = _decided(spark, sf).join(sources, "company_id", "left").checkpoint()
+    return memo.memo_sections(cases, MEMO_DATE, notes=fx.officer_notes(spark, sf))
 
 
 # --- model ---
