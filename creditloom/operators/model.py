@@ -22,9 +22,11 @@ SYNTHETIC_LOANS = 1000
 
 def train_default_model(loans: DataFrame, rounds: int = ROUNDS, label: str = "label") -> PipelineModel:
     """Boosted trees with balanced classes on the non-test rows of ``loans`` (key loan_id, features, label)."""
-    ensure_checkpoint_dir(loans.sparkSession)  # long boosting lineages are cut every ten rounds
+    ensure_checkpoint_dir(loans.sparkSession)
     split = stratified_split(prepare_loans(loans, label=label), label)
-    train = balanced_weights(split.where(~F.col("is_test")), label)
+    train = balanced_weights(split.where(~F.col("is_test")), label).select(*fv.MODEL_FEATURES, label, "weight")
+    # Boosting reads its rows again in every round, so they are stored once instead of derived again.
+    train = train.checkpoint()
     trees = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, stepSize=RATE,
                           maxDepth=DEPTH, seed=SEED, checkpointInterval=10)
     assembler = VectorAssembler(inputCols=fv.MODEL_FEATURES, outputCol="features")
