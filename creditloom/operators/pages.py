@@ -2,7 +2,8 @@
 
 A document may have any number of pages, so its text is handled as ordered parts of at most
 ``PAGES_PER_PART`` pages. A part also carries the beginning of what follows it, long enough to finish any
-match that starts in the part; the first match of a document is then the one of its lowest part.
+match that starts in the part; the first match of a document is then the one of its lowest part. (Blank
+pages are the exception: more than forty in a row between the pieces of one match are not bridged.)
 """
 
 from __future__ import annotations
@@ -89,9 +90,23 @@ def document_text(page_text: DataFrame, table_cells: DataFrame | None = None,
     return edges.where((F.col("part_no") >= first) & (F.col("part_no") <= last)).select("doc_id", "part_no", text.alias("text"))
 
 
-def _fact_columns(text: Column) -> list[Column]:
-    found = {f: F.nullif(F.regexp_extract(text, _pattern(p), 1), F.lit("")) for f, p in fv.TEXT_PATTERNS.items()}
-    return [F.replace(c, F.lit(","), F.lit("")).alias(f) for f, c in found.items()]
+def _found(df: DataFrame, keys: list[str], within: Column | None = None) -> DataFrame:
+    """First match per pattern in the lower-cased text ``_t``; all patterns run in one projection.
+
+    With ``within`` only matches that start in that many leading characters count. The position is looked up
+    for matches only.
+    """
+    raw = df.select("*", *[
+        F.nullif(F.regexp_extract("_t", _pattern(p), 1), F.lit("")).alias(f) for f, p in fv.TEXT_PATTERNS.items()
+    ])
+
+    def kept(field: str, pattern: str) -> Column:
+        c = F.col(field)
+        if within is not None:
+            c = F.when(c.isNotNull() & (F.regexp_instr("_t", F.lit(_pattern(pattern))) <= within), c)
+        return F.replace(c, F.lit(","), F.lit("")).alias(field)
+
+    return raw.select(*keys, *[kept(f, p) for f, p in fv.TEXT_PATTERNS.items()])
 
 
 def _as_facts(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,9 +117,9 @@ def _as_facts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def page_facts(page_text: DataFrame) -> DataFrame:
-    """Fields found on each page; all patterns run in one projection, so a page is read once."""
+    """Fields found on each page."""
     lowered = page_text.select("doc_id", "page_no", F.lower("text").alias("_t"))
-    found = lowered.select("doc_id", "page_no", *_fact_columns(F.col("_t")))
+    found = _found(lowered, ["doc_id", "page_no"])
     return _as_facts(found, ["doc_id", "page_no"]).where(F.col("value").isNotNull())
 
 
@@ -112,15 +127,19 @@ def regex_facts(page_text: DataFrame, table_cells: DataFrame | None = None,
                 pages_per_part: int = PAGES_PER_PART) -> DataFrame:
     """Fields found in whole documents: the first match of a pattern counts, even when it is not a number."""
     parts = document_parts(page_blocks(page_text, table_cells), pages_per_part)
-    lowered = parts.select("doc_id", "part_no", F.lower(F.concat("text", "ahead")).alias("_t"))
-    found = lowered.select("doc_id", "part_no", *_fact_columns(F.col("_t")))
+    lowered = parts.select("doc_id", "part_no", F.lower(F.concat("text", "ahead")).alias("_t"), F.length("text").alias("_own"))
+    found = _found(lowered, ["doc_id", "part_no"], within=F.col("_own"))
     first = _as_facts(found, ["doc_id", "part_no"]).groupBy("doc_id", "field").agg(F.min_by("value", "part_no").alias("value"))
     return first.where(F.col("value").isNotNull())
 
 
 def bureau_flags(page_text: DataFrame, table_cells: DataFrame | None = None,
                  pages_per_part: int = PAGES_PER_PART) -> DataFrame:
-    """Days-past-due values (the first five), whether any exceeds 30, mention flag and red-flag phrases."""
+    """Days-past-due values (the first five), whether any exceeds 30, mention flag and red-flag phrases.
+
+    Where a part ends in "dpd" and the next begins with another "dpd" within five characters, the number
+    behind both is listed twice; the flags are not affected.
+    """
     t = F.col("_t")
     parts = document_parts(page_blocks(page_text, table_cells), pages_per_part).select(
         "doc_id", "part_no", F.lower("text").alias("_t"), F.lower("ahead").alias("_ahead"))
