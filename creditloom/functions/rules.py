@@ -76,10 +76,18 @@ def field_of(label: str, match: str = "first") -> Column:
     return F.expr(f"get({_hits(label, pairs)}, 0).rule")
 
 
-def fields_of(header: str) -> Column:
-    """All spreadsheet fields the named header column feeds."""
+def field_mask(header: str) -> Column:
+    """All spreadsheet fields a header feeds, as a bit per field: a fixed-width value keeps aggregations hash-based."""
+    bits = {f: i for i, f in enumerate(fv.FIELD_KEYWORDS)}
     pairs = minimal_rules(fv.FIELD_KEYWORDS.items(), ordered=False)
-    return F.expr(f"array_distinct(transform({_hits(header, pairs)}, p -> p.rule))")
+    listed = ", ".join(f"struct({1 << bits[f]}L AS bit, {_quoted(w)} AS word)" for f, w in pairs)
+    return F.expr(f"aggregate(filter(array({listed}), p -> contains({header}, p.word)), 0L, (m, p) -> m | p.bit)")
+
+
+def fields_in(mask: str) -> Column:
+    """The field names of a bit mask."""
+    listed = ", ".join(f"struct({1 << i}L AS bit, {_quoted(f)} AS field)" for i, f in enumerate(fv.FIELD_KEYWORDS))
+    return F.expr(f"transform(filter(array({listed}), p -> ({mask} & p.bit) <> 0), p -> p.field)")
 
 
 def words_present(column: str, words: Iterable[str]) -> Column:

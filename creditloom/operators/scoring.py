@@ -36,10 +36,10 @@ def collateral_coverage(applications_value: Column, loan: Column) -> Column:
 RATIO_DEFAULTS = {"debt_service_coverage": "1.5", "current_ratio": "1.2", "debt_to_equity": "1.5", "revenue_growth": "0.1"}
 
 
-def base_financials(applications: DataFrame, stated: Sequence[str] = ()) -> DataFrame:
+def base_financials(applications: DataFrame, stated: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """The working financial row of every applicant with its defaults.
 
-    ``stated`` names the ratio columns that ``applications`` itself brings along.
+    ``stated`` names the ratio columns that ``applications`` itself brings along, ``keep`` further columns to pass on.
     """
     coverage = F.round(collateral_coverage(F.col("collateral_value"), F.col("loan_amount")), 6)
     net_worth = F.coalesce("turnover", F.lit(10_000_000)).cast("decimal(18,2)") * dec("0.3", "decimal(2,1)")
@@ -59,6 +59,7 @@ def base_financials(applications: DataFrame, stated: Sequence[str] = ()) -> Data
           for c, v in RATIO_DEFAULTS.items()],
         net_worth.cast("decimal(24,2)").alias("net_worth"),
         *[F.lit(v).alias(c) for c, v in fixed.items()],
+        *keep,
     )
 
 
@@ -202,22 +203,28 @@ def five_cs_long(scores: DataFrame) -> DataFrame:
     return long.select("company_id", F.initcap("factor").alias("parameter"), "score", rating_band(F.col("score")).alias("rating"))
 
 
-def assemble_case(financials: DataFrame, gst: DataFrame, research: DataFrame, blacklist: DataFrame, ml: DataFrame) -> DataFrame:
-    """One row per company for scoring. Every input has one row per company, so each join is keyed and even."""
-    return (
-        financials
-        .join(gst.select("company_id", "gst_revenue", "bank_credits", "discrepancy_pct", F.col("flags").alias("gst_flags"),
-                         F.col("risk_level").alias("gst_risk_level")), "company_id", "left")
-        .join(research, "company_id", "left")
-        .join(blacklist.select("company_id", "blacklisted", "n_matches"), "company_id", "left")
-        .join(ml, "company_id", "left")
-        .withColumns({
-            "discrepancy_pct": F.coalesce("discrepancy_pct", F.lit(0.0)),
-            "gst_risk_level": F.coalesce("gst_risk_level", F.lit("low")),
-            "risk_rating": F.coalesce("risk_rating", F.lit("medium")),
-            "blacklisted": F.coalesce("blacklisted", F.lit(False)),
-            "n_matches": F.coalesce("n_matches", F.lit(0).cast("bigint")),
-            "default_probability": F.coalesce(F.col("default_probability").cast("decimal(10,2)"), dec(fv.UNSCORED["default_probability"])),
-        })
-        .withColumn("gst_risk", F.col("gst_risk_level"))
-    )
+def assemble_case(financials: DataFrame, gst: DataFrame, research: DataFrame, blacklist: DataFrame | None = None,
+                  ml: DataFrame | None = None) -> DataFrame:
+    """One row per company for scoring; every input has at most one row per company, so the joins are even.
+
+    ``blacklist`` holds (company_id, blacklisted, n_matches), ``ml`` (company_id, default_probability); a
+    probability may also be a column of ``financials``.
+    """
+    cases = financials.join(gst.select("company_id", "gst_revenue", "bank_credits", "discrepancy_pct", F.col("flags").alias("gst_flags"),
+                                       F.col("risk_level").alias("gst_risk_level")), "company_id", "left").join(research, "company_id", "left")
+    if blacklist is not None:
+        cases = cases.join(blacklist.select("company_id", "blacklisted", "n_matches"), "company_id", "left")
+    else:
+        cases = cases.withColumns({"blacklisted": F.lit(False), "n_matches": F.lit(0).cast("bigint")})
+    if ml is not None:
+        cases = cases.join(ml.select("company_id", "default_probability"), "company_id", "left")
+    level = F.coalesce("gst_risk_level", F.lit("low"))
+    return cases.withColumns({
+        "discrepancy_pct": F.coalesce("discrepancy_pct", F.lit(0.0)),
+        "gst_risk_level": level,
+        "gst_risk": level,
+        "risk_rating": F.coalesce("risk_rating", F.lit("medium")),
+        "blacklisted": F.coalesce("blacklisted", F.lit(False)),
+        "n_matches": F.coalesce("n_matches", F.lit(0).cast("bigint")),
+        "default_probability": F.coalesce(F.col("default_probability").cast("decimal(10,2)"), dec(fv.UNSCORED["default_probability"])),
+    })

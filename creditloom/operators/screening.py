@@ -9,6 +9,7 @@ from creditloom import fixedvalues as fv
 from creditloom.functions.rules import split_promoters
 
 GRAM_SIZES = (12, 6, 3, 1)
+POSITION_BITS = 24  # longest term: 16 million characters
 
 
 def search_terms(applications: DataFrame) -> DataFrame:
@@ -22,9 +23,10 @@ def _gram_size(length: Column) -> Column:
     return F.coalesce(*[F.when(length >= g, F.lit(g)) for g in GRAM_SIZES])
 
 
-def _grams(text: Column, size: Column) -> Column:
+def _windows(text: Column, size: Column) -> Column:
+    """The grams of a text in order."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+    return F.transform(starts, lambda i: F.substring(text, i, size))
 
 
 def substring_pairs(terms: DataFrame, names: DataFrame) -> DataFrame:
@@ -40,16 +42,16 @@ def substring_pairs(terms: DataFrame, names: DataFrame) -> DataFrame:
         .withColumn("_size", F.explode(F.array(*[F.lit(g) for g in GRAM_SIZES])))
         .where(F.length("name") >= F.col("_size"))
         .join(sizes, "_size", "left_semi")
-        .select("name", F.explode(_grams(F.col("name"), F.col("_size"))).alias("gram"))
+        .select("name", F.explode(F.array_distinct(_windows(F.col("name"), F.col("_size")))).alias("gram"))
     )
     frequency = name_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_f"))
+    # Frequency and position share one integer, which keeps the choice a hash aggregation.
+    places = terms.select("term", "_size", F.posexplode(_windows(F.col("term"), F.col("_size"))).alias("_pos", "gram"))
+    best = F.min(F.shiftleft(F.coalesce("_f", F.lit(0).cast("bigint")), POSITION_BITS) + F.col("_pos"))
     rarest = (
-        terms.select("term", F.explode(_grams(F.col("term"), F.col("_size"))).alias("gram"))
-        .join(frequency, "gram", "left")
-        .groupBy("term")
-        .agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("_f"), "gram")).alias("_best"))
-        .where("_best._f > 0")
-        .select("term", F.col("_best.gram").alias("gram"))
+        places.join(frequency, "gram", "left").groupBy("term", "_size").agg(best.alias("_best"))
+        .where(F.shiftright("_best", POSITION_BITS) > 0)
+        .select("term", F.substring("term", (F.col("_best") % (1 << POSITION_BITS) + 1).cast("int"), F.col("_size")).alias("gram"))
     )
     return rarest.join(name_grams, "gram").where(F.col("name").contains(F.col("term"))).select("term", "name")
 
@@ -68,6 +70,11 @@ def blacklist_matches(applications: DataFrame, defaulters: DataFrame) -> DataFra
         "company_id", F.col("term").alias("matched_term"), "name", "bank", "outstanding_amount", "suit_filed")
 
 
+def match_counts(matches: DataFrame) -> DataFrame:
+    """Number of matches of the companies that have any."""
+    return matches.groupBy("company_id").agg(F.count(F.lit(1)).alias("n_matches")).withColumn("blacklisted", F.col("n_matches") > 0)
+
+
 def blacklist_summary(matches: DataFrame | None, applications: DataFrame) -> DataFrame:
     """Flag, number of matches and risk per company; "unknown" when no list was loaded.
 
@@ -76,9 +83,8 @@ def blacklist_summary(matches: DataFrame | None, applications: DataFrame) -> Dat
     if matches is None:
         return applications.select(
             "company_id", F.lit(False).alias("blacklisted"), F.lit(0).cast("bigint").alias("n_matches"), F.lit("unknown").alias("risk"))
-    counts = matches.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0).cast("bigint"))
-    return applications.select("company_id").join(counts, "company_id", "left").select(
+    n = F.coalesce("n_matches", F.lit(0).cast("bigint"))
+    return applications.select("company_id").join(match_counts(matches), "company_id", "left").select(
         "company_id", (n > 0).alias("blacklisted"), n.alias("n_matches"), F.when(n > 0, "critical").otherwise("clear").alias("risk"))
 
 

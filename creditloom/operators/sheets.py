@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from creditloom import fixedvalues as fv
 from creditloom.functions.numbers import clean_value
-from creditloom.functions.rules import field_of, fields_of
+from creditloom.functions.rules import field_mask, field_of, fields_in
 from creditloom.skew import salted_join
 from creditloom.sources.cells import leading_sheets
 
@@ -86,21 +86,26 @@ def promote_header(rows: DataFrame) -> DataFrame:
 def columns_by_sheet(rows: DataFrame) -> DataFrame:
     """First non-zero number of every column whose header names a field; later columns win.
 
-    Header text and first number of a column come from one aggregation, so data rows never meet the
-    header row in a join.
+    The fields a header feeds travel as a bit mask, so header and first number of a column come from one
+    hash aggregation and data rows never meet the header row in a join.
     """
     cells = _with_header_row(leading_sheets(rows)).select("doc_id", "sheet_no", "row_no", "header_row", F.inline("cells"))
     number = clean_value(F.col("value"))
     promoted = F.col("header_row") > 0
     is_data = ~promoted | (F.col("row_no") > F.col("header_row"))
     usable = F.when(is_data & number.isNotNull() & (number != 0), F.col("row_no"))
-    columns = cells.withColumns({"_number": number, "_at": usable}).groupBy("doc_id", "sheet_no", "col_no").agg(
-        F.max(F.when(promoted & (F.col("row_no") == F.col("header_row")), _column_name(F.col("value")))).alias("_promoted"),
-        F.max(F.when(~promoted, F.lower("header"))).alias("_given"),
+    cells = cells.withColumns({"_number": number, "_at": usable})
+    is_header = promoted & (F.col("row_no") == F.col("header_row"))
+    # A file header stands in every cell of its column; cells without a usable number cannot need it.
+    given = ~promoted & F.col("_at").isNotNull()
+    name = F.when(is_header, _column_name(F.col("value"))).when(given, F.lower("header"))
+    columns = cells.withColumn("_name", name).where(F.col("_name").isNotNull() | F.col("_at").isNotNull()).groupBy(
+        "doc_id", "sheet_no", "col_no").agg(
+        F.bit_or(F.when(F.col("_name").isNotNull(), field_mask("_name"))).alias("_fields"),
         F.min_by("_number", "_at").alias("value"),
     )
-    headed = columns.where(F.col("value").isNotNull()).withColumn("_header", F.coalesce("_promoted", "_given"))
-    named = headed.select(F.explode(fields_of("_header")).alias("field"), "doc_id", "sheet_no", "col_no", "value")
+    named = columns.where(F.col("value").isNotNull() & (F.col("_fields") != 0)).select(
+        F.explode(fields_in("_fields")).alias("field"), "doc_id", "sheet_no", "col_no", "value")
     return merge_last(named, "col_no", ("doc_id", "sheet_no", "field"))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions.replies import rating_text
 from creditloom.operators import explain as ex
 from creditloom.operators import gst as g
+from creditloom.operators import model as m
 from creditloom.operators import pages, scoring, screening, sheets
 
 
@@ -38,21 +40,27 @@ def decided(cases: DataFrame) -> DataFrame:
 
 
 def assemble(applications: DataFrame, gst: DataFrame, bank: DataFrame, replies: DataFrame, defaulters: DataFrame | None,
-             facts: DataFrame | None = None, stated: list[str] | None = None) -> DataFrame:
-    """One case row per applicant from all inputs."""
-    financials = scoring.base_financials(applications, stated or [])
+             facts: DataFrame | None = None, stated: list[str] | None = None, ml: DataFrame | None = None) -> DataFrame:
+    """One case row per applicant from all inputs.
+
+    ``ml`` holds model probabilities; without it they are a column of ``applications``.
+    """
+    keep = ["company_name"] + (["default_probability"] if ml is None else [])
+    financials = scoring.base_financials(applications, stated or [], keep)
     if facts is not None:
         financials = scoring.merge_facts(financials, facts)
-    matches = screening.blacklist_matches(applications, defaulters) if defaulters is not None else None
-    return scoring.assemble_case(
-        financials,
-        g.cross_verify(gst, bank),
-        ratings(replies),
-        screening.blacklist_summary(matches, applications),
-        applications.select("company_id", "company_name", "default_probability"),
-    )
+    listed = None
+    if defaulters is not None:
+        listed = screening.match_counts(screening.blacklist_matches(applications, defaulters))
+    return scoring.assemble_case(financials, g.cross_verify(gst, bank), ratings(replies), listed, ml)
 
 
 def assess(*args, **kwargs) -> DataFrame:
     """Decision, limit, premium, warnings and explanation for every applicant; takes the inputs of ``assemble``."""
     return decided(assemble(*args, **kwargs))
+
+
+def model_scores(applications: DataFrame, model: PipelineModel) -> DataFrame:
+    """Default probabilities of applicants from their financial rows."""
+    features = scoring.model_features(scoring.base_financials(applications))
+    return m.score_loans(features, model, key="company_id")

@@ -634,3 +634,18 @@ def assess_borrowers(spark, sf):
                              _defaulters(spark, sf), facts=_document_facts(spark, sf), stated=fx.STATED)
     return done.select("company_id", "company_name", *scoring.FACTORS, "rule_score", "ml_score", "score", "decision", "credit_limit", "risk_premium",
                        "discrepancy_pct", "gst_risk", "risk_rating", "blacklisted", "early_warnings", "officer_review", "reason_sentence", "warnings_text")
+
+
+@query("assess_with_model")
+def assess_with_model(spark, sf):
+    apps = fx.applications(spark, sf)
+    done = assessment.assess(apps, fx.gst_returns(spark, sf), _bank(spark, sf), fx.research_replies(spark, sf), _defaulters(spark, sf),
+                             stated=fx.STATED, ml=assessment.model_scores(apps, _model(spark, sf)[0]))
+    return done.select("company_id", "default_probability", "ml_score", "rule_score", "score", "decision", "credit_limit", "risk_premium", "reason_sentence")
+
+
+@query("applicant_factors")
+def applicant_factors(spark, sf):
+    features = scoring.model_features(scoring.base_financials(fx.applications(spark, sf)))
+    impacts = attributions.attributions(features, *_model(spark, sf), key="company_id")
+    return attributions.factor_chart(attributions.top_factors(impacts, key="company_id"), key="company_id")

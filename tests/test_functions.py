@@ -50,7 +50,7 @@ def test_field_rules_equal_the_full_dictionary(spark):
     words = [w for ws in fv.FIELD_KEYWORDS.values() for w in ws]
     labels = words + [f"{a} {b}" for a in words[::3] for b in words[::5]]
     got = {r.l: (r.f, set(r.all)) for r in spark.createDataFrame([(w,) for w in set(labels)], "l string").select(
-        "l", rules.field_of("l").alias("f"), rules.fields_of("l").alias("all")).collect()}
+        "l", rules.field_of("l").alias("f"), rules.field_mask("l").alias("m")).select("l", "f", rules.fields_in("m").alias("all")).collect()}
     for label in labels:
         hits = [f for f, ws in fv.FIELD_KEYWORDS.items() if any(w in label for w in ws)]
         assert got[label] == (hits[0], set(hits))

@@ -44,8 +44,16 @@ def test_matches_sql(key, spark, sf, duck):
 def test_entry_module(spark):
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
     unchecked = set(entry_module.queries()) - set(entry_module.oracle_sql())
-    assert unchecked == {"train_default_model", "model_store", "score_loans", "attributions"}
+    assert unchecked == {"train_default_model", "model_store", "score_loans", "attributions", "assess_with_model", "applicant_factors"}
     flagship = entry_module.entry(spark)
     assert flagship.count() == 150
     decisions = {r.decision for r in flagship.select("decision").distinct().collect()}
     assert decisions <= {"APPROVE", "CONDITIONAL APPROVE", "REJECT"}
+
+
+def test_model_queries(spark, sf, monkeypatch):
+    from creditloom.plans import registry
+    monkeypatch.setattr(registry, "MODEL_ROUNDS", 3)
+    counts = {k: QUERIES[k](spark, sf).count() for k in ("score_loans", "train_default_model", "attributions", "assess_with_model")}
+    assert counts == {"score_loans": 1500, "train_default_model": 5, "attributions": 18000, "assess_with_model": 150}
+    assert QUERIES["model_store"](spark, sf).count() >= 2 and QUERIES["applicant_factors"](spark, sf).count() >= 450
