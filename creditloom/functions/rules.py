@@ -40,7 +40,8 @@ def minimal_rules(rules: Iterable[tuple[str, list[str]]], ordered: bool) -> list
 def first_rule(column: str, rules: Iterable[tuple[str, list[str]]]) -> Column:
     """The name of the first rule with a word inside the named column; null when none applies.
 
-    A CASE, so a long text is not searched beyond the first hit.
+    A CASE, so a text is not searched beyond the first hit. Dropping the words that cannot matter also keeps
+    the compiled method small enough for the JIT.
     """
     by_rule: list[tuple[str, list[str]]] = []
     for name, word in minimal_rules(rules, ordered=True):
@@ -51,15 +52,6 @@ def first_rule(column: str, rules: Iterable[tuple[str, list[str]]]) -> Column:
     return F.expr("CASE " + " ".join(f"WHEN {_any_of(column, words)} THEN {_quoted(name)}" for name, words in by_rule) + " END")
 
 
-def _hits(label: str, pairs: list[tuple[str, str]]) -> str:
-    """The pairs whose word occurs in a short label: a constant list tested by one lambda.
-
-    A CASE over some hundred words would compile to a method too large for the JIT.
-    """
-    listed = ", ".join(f"struct({_quoted(name)} AS rule, {_quoted(word)} AS word)" for name, word in pairs)
-    return f"filter(array({listed}), p -> contains({label}, p.word))"
-
-
 def field_of(label: str, match: str = "first") -> Column:
     """Spreadsheet field named by a label column.
 
@@ -67,17 +59,21 @@ def field_of(label: str, match: str = "first") -> Column:
     ``longest`` takes the field whose matching keyword is longest.
     """
     if match == "first":
-        pairs = minimal_rules(fv.FIELD_KEYWORDS.items(), ordered=True)
-    elif match == "longest":
-        # The sort is stable, so equally long words keep the order of the dictionary.
-        pairs = sorted(((f, w) for f, words in fv.FIELD_KEYWORDS.items() for w in words), key=lambda p: -len(p[1]))
-    else:
+        return first_rule(label, fv.FIELD_KEYWORDS.items())
+    if match != "longest":
         raise ValueError(f"unknown match rule: {match}")
-    return F.expr(f"get({_hits(label, pairs)}, 0).rule")
+    # The sort is stable, so equally long words keep the order of the dictionary.
+    by_length = sorted(((f, w) for f, words in fv.FIELD_KEYWORDS.items() for w in words), key=lambda p: -len(p[1]))
+    return first_rule(label, [(f, [w]) for f, w in by_length])
+
+
+def field_mask_of(header: str) -> int:
+    """All spreadsheet fields a known header feeds, as a bit per field."""
+    return sum(1 << i for i, words in enumerate(fv.FIELD_KEYWORDS.values()) if any(w in header.lower() for w in words))
 
 
 def field_mask(header: str) -> Column:
-    """All spreadsheet fields a header feeds, as a bit per field: a fixed-width value keeps aggregations hash-based."""
+    """``field_mask_of`` for a lower-cased header column; a fixed-width value keeps aggregations hash-based."""
     bits = {f: i for i, f in enumerate(fv.FIELD_KEYWORDS)}
     pairs = minimal_rules(fv.FIELD_KEYWORDS.items(), ordered=False)
     listed = ", ".join(f"struct({1 << bits[f]}L AS bit, {_quoted(w)} AS word)" for f, w in pairs)

@@ -94,14 +94,13 @@ def columns_by_sheet(rows: DataFrame) -> DataFrame:
     promoted = F.col("header_row") > 0
     is_data = ~promoted | (F.col("row_no") > F.col("header_row"))
     usable = F.when(is_data & number.isNotNull() & (number != 0), F.col("row_no"))
-    cells = cells.withColumns({"_number": number, "_at": usable})
     is_header = promoted & (F.col("row_no") == F.col("header_row"))
-    # A file header stands in every cell of its column; cells without a usable number cannot need it.
-    given = ~promoted & F.col("_at").isNotNull()
-    name = F.when(is_header, _column_name(F.col("value"))).when(given, F.lower("header"))
-    columns = cells.withColumn("_name", name).where(F.col("_name").isNotNull() | F.col("_at").isNotNull()).groupBy(
-        "doc_id", "sheet_no", "col_no").agg(
-        F.bit_or(F.when(F.col("_name").isNotNull(), field_mask("_name"))).alias("_fields"),
+    cells = cells.withColumns({"_number": number, "_at": usable, "_name": F.when(is_header, _column_name(F.col("value")))})
+    # Unpromoted columns whose own header feeds no field end here, before anything is shuffled.
+    useful = F.col("_name").isNotNull() | (F.col("_at").isNotNull() & (promoted | (F.col("header_fields") != 0)))
+    fields = F.when(F.col("_name").isNotNull(), field_mask("_name")).when(~promoted, F.col("header_fields"))
+    columns = cells.where(useful).groupBy("doc_id", "sheet_no", "col_no").agg(
+        F.bit_or(fields).alias("_fields"),
         F.min_by("_number", "_at").alias("value"),
     )
     named = columns.where(F.col("value").isNotNull() & (F.col("_fields") != 0)).select(

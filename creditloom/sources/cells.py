@@ -12,8 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.functions.rules import field_mask, field_mask_of
+
 MAX_SHEETS = 5
-CELL = "array<struct<col_no:int,header:string,value:string,is_text:boolean>>"
+# ``header_fields`` has a bit for every field the file's own header of the column feeds.
+CELL = "array<struct<col_no:int,header:string,header_fields:bigint,value:string,is_text:boolean>>"
 NUMERIC = ("byte", "short", "int", "bigint", "float", "double", "decimal", "tinyint", "smallint")
 
 
@@ -23,6 +26,7 @@ def _cell_array(df: DataFrame, columns: Sequence[str], with_header: bool) -> Col
         F.struct(
             F.lit(i).alias("col_no"),
             F.lit(c if with_header else None).cast("string").alias("header"),
+            F.lit(field_mask_of(c) if with_header else 0).cast("bigint").alias("header_fields"),
             F.col(c).cast("string").alias("value"),
             F.lit(not types[c].startswith(NUMERIC)).alias("is_text"),
         )
@@ -41,7 +45,7 @@ def to_sheet_rows(df: DataFrame, doc_id: Column, row_no: Column, columns: Sequen
 
 def explode_cells(rows: DataFrame) -> DataFrame:
     """Sheet rows to long cells."""
-    return rows.select("doc_id", "sheet_no", "row_no", F.inline("cells"))
+    return rows.select("doc_id", "sheet_no", "row_no", F.inline("cells")).drop("header_fields")
 
 
 def to_cells(df: DataFrame, doc_id: Column, row_no: Column, columns: Sequence[str], sheet_no: int = 0) -> DataFrame:
@@ -51,8 +55,10 @@ def to_cells(df: DataFrame, doc_id: Column, row_no: Column, columns: Sequence[st
 
 def rows_from_cells(cells: DataFrame) -> DataFrame:
     """Long cells to sheet rows; a group is one sheet row, so its size is the sheet's width."""
-    header = F.col("header") if "header" in cells.columns else F.lit(None).cast("string")
-    cell = F.struct(F.col("col_no").cast("int").alias("col_no"), header.alias("header"), "value", "is_text")
+    named = "header" in cells.columns
+    header = F.col("header") if named else F.lit(None).cast("string")
+    fields = F.coalesce(field_mask("lower(header)"), F.lit(0).cast("bigint")) if named else F.lit(0).cast("bigint")
+    cell = F.struct(F.col("col_no").cast("int").alias("col_no"), header.alias("header"), fields.alias("header_fields"), "value", "is_text")
     return cells.groupBy("doc_id", "sheet_no", "row_no").agg(F.array_sort(F.collect_list(cell)).cast(CELL).alias("cells"))
 
 
