@@ -89,19 +89,19 @@ def columns_by_sheet(rows: DataFrame) -> DataFrame:
     The fields a header feeds travel as a bit mask, so header and first number of a column come from one
     hash aggregation and data rows never meet the header row in a join.
     """
-    cells = _with_header_row(leading_sheets(rows)).select("doc_id", "sheet_no", "row_no", "header_row", F.inline("cells"))
-    number = clean_value(F.col("value"))
     promoted = F.col("header_row") > 0
-    is_data = ~promoted | (F.col("row_no") > F.col("header_row"))
-    usable = F.when(is_data & number.isNotNull() & (number != 0), F.col("row_no"))
+    # Columns of unpromoted sheets whose own header feeds no field end here, before their cells are read.
+    cells = _with_header_row(leading_sheets(rows)).select(
+        "doc_id", "sheet_no", "row_no", "header_row", F.inline("cells")).where(promoted | (F.col("header_fields") != 0))
     is_header = promoted & (F.col("row_no") == F.col("header_row"))
-    cells = cells.withColumns({"_number": number, "_at": usable, "_name": F.when(is_header, _column_name(F.col("value")))})
-    # Unpromoted columns whose own header feeds no field end here, before anything is shuffled.
-    useful = F.col("_name").isNotNull() | (F.col("_at").isNotNull() & (promoted | (F.col("header_fields") != 0)))
+    is_data = ~promoted | (F.col("row_no") > F.col("header_row"))
+    cells = cells.withColumns({
+        "_name": F.when(is_header, _column_name(F.col("value"))), "_number": F.when(is_data, clean_value(F.col("value")))})
+    usable = F.when(F.col("_number") != 0, F.col("row_no"))
     fields = F.when(F.col("_name").isNotNull(), field_mask("_name")).when(~promoted, F.col("header_fields"))
-    columns = cells.where(useful).groupBy("doc_id", "sheet_no", "col_no").agg(
+    columns = cells.groupBy("doc_id", "sheet_no", "col_no").agg(
         F.bit_or(fields).alias("_fields"),
-        F.min_by("_number", "_at").alias("value"),
+        F.min_by("_number", usable).alias("value"),
     )
     named = columns.where(F.col("value").isNotNull() & (F.col("_fields") != 0)).select(
         F.explode(fields_in("_fields")).alias("field"), "doc_id", "sheet_no", "col_no", "value")
