@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import bpe, packing, quality, warc
+from creditloom.llm import bpe, licenses, ordermin, packing, quality, warc
 from creditloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,16 @@ SELECT *, NOT (base_failed OR word_chars > n_words * 25 OR word_chars < n_words
                OR n_symbols > n_words OR n_dup_lines * 4 > n_words) AS kept
 FROM b
 """
+
+
+@query
+def op3_order_minhash(spark, sf):
+    rows = ordermin.fingerprints(documents(spark, sf))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.array_join("fingerprint", " ").alias("fingerprint"),
+        F.array_join("edited_fingerprint", " ").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query
+def op4_licenses(spark, sf):
+    return licenses.scan(documents(spark, sf))
