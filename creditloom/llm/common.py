@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +46,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z, nothing else changes."""
     return F.translate(text, UPPER, LOWER)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered while they are at most ``limit``."""
+
+    limit = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
+def words_lower(text: str) -> list[bytes]:
+    """The words of a text: A-Z lowered, split at ASCII white space."""
+    return text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
+
+
+def connected(edges: DataFrame, name: str) -> DataFrame:
+    """``node, component`` for every node of the edges ``u, v``: the smallest node it is connected with.
+
+    Alternates the large-star and small-star steps until the edges no longer change. Every step is a pre-aggregated
+    minimum and a plain join; each round is written to shared storage, so lineage stays short.
+    """
+    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-edges")
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges = stored(small.distinct(), f"{name}-edges")
+        after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
+        if after == before:
+            break
+        before = after
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import bpe, licenses, linededup, ordermin, packing, quality, warc
+from creditloom.llm import bpe, jaccard, licenses, linededup, ordermin, packing, quality, warc
 from creditloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op4_licenses(spark, sf):
 def op6_line_dedup(spark, sf):
     rows = linededup.dedup(documents(spark, sf))
     return rows.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query
+def op8_jaccard(spark, sf):
+    return jaccard.groups(documents(spark, sf))
