@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import bpe, jaccard, licenses, linededup, ordermin, packing, quality, repeats, warc
+from creditloom.llm import bpe, jaccard, licenses, linededup, lm, ordermin, packing, quality, repeats, warc
 from creditloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,8 @@ def op8_jaccard(spark, sf):
 def op5_repeats(spark, sf):
     rows = repeats.dedup(documents(spark, sf))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query
+def op2_lm(spark, sf):
+    return lm.score_texts(documents(spark, sf))
