@@ -57,12 +57,18 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     df = df.withColumn(chosen, F.filter(order, lambda h, i: (i < PER_BIN) | ~F.coalesce(_bin(F.get(order, i - PER_BIN)) == _bin(h), F.lit(False))))
 
     def place(h: Column) -> Column:
-        """Where in the text the chosen one stands."""
-        at = (F.array_position(keys, h) - 1).cast("int")
-        gram, number = F.get(F.col(base), at), F.coalesce(F.get(F.col(nth), at), F.lit(0))
-        first = (F.array_position(grams, gram) - 1).cast("int")
-        others = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.get(F.col(grams), i) == gram)
-        return F.when(number == 0, first).otherwise(F.get(others, number))
+        """Where in the text the chosen one stands. Values are bound before the inner lambda, which would compute them per element."""
+
+        def look(x: Column) -> Column:
+            first = (F.array_position(grams, x["gram"]) - 1).cast("int")
+            others = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.get(F.col(grams), i) == x["gram"])
+            return F.when(x["number"] == 0, first).otherwise(F.get(others, x["number"]))
+
+        def found(at: Column) -> Column:
+            bound = F.struct(F.get(F.col(base), at).alias("gram"), F.coalesce(F.get(F.col(nth), at), F.lit(0)).alias("number"))
+            return F.element_at(F.transform(F.array(bound), look), 1)
+
+        return F.element_at(F.transform(F.array((F.array_position(keys, h) - 1).cast("int")), found), 1)
 
     df = df.withColumn(p + "placed", F.transform(chosen, lambda h: F.struct(place(h).alias("at"), h.alias("h"))))
     placed = F.col(p + "placed")
@@ -90,10 +96,11 @@ def with_next(rows: DataFrame, id_col: str, carried: list[str], buckets: int | N
     """
     spark = rows.sparkSession
     buckets = buckets or min(MAX_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = rows.select(id_col)
-    cuts = sorted(set(ids.approxQuantile(id_col, [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
-    ends = ids.agg(F.min(id_col).alias("low"), F.count_if(F.col(id_col).isNull()).alias("nulls")).collect()[0]
-    cuts = [int(c) for c in cuts if ends["low"] is not None and c > ends["low"]]
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)] or [F.lit(0.5)])
+    ends = rows.agg(
+        F.min(id_col).alias("low"), F.count_if(F.col(id_col).isNull()).alias("nulls"),
+        F.percentile_approx(id_col, shares, F.lit(max(10_000, 10 * buckets))).alias("cuts")).collect()[0]
+    cuts = sorted({c for c in ends["cuts"] or [] if c > ends["low"]}) if buckets > 1 else []
     own = F.col(id_col)
     marks = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
     bucket = F.coalesce(F.size(F.filter(marks, lambda c: c <= own)), F.lit(0))
