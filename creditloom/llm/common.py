@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +54,7 @@ def ascii_lower(text: Column) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, remembered while they are at most ``limit``."""
 
-    limit = 500_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -88,3 +91,41 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+#: Slots of a bit map that tells keys apart which surely miss a set; 1 MB whatever the data. More keys only let more pass.
+FILTER_BITS = 1 << 23
+
+
+def key_bits(keys: DataFrame, *columns: str) -> np.ndarray:
+    """A bit map in which the slot of every key is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy()] = True
+        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()]})
+
+    slots = keys.select(F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)).alias("slot")).repartition(4)
+    return np.bitwise_or.reduce([np.frombuffer(p["bits"], np.uint8) for p in slots.mapInArrow(run, "bits binary").collect()])
+
+
+def has_bit(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return ((bits[slot >> 3] >> (7 - (slot & 7))) & 1).astype(bool)
+
+
+def passing(rows: DataFrame, bits: np.ndarray, columns: list[str], wanted: bool) -> DataFrame:
+    """The rows whose key the bit map may hold, or those whose key it surely misses. A key with a null first column is missed."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = has_bit(shared.value, batch.column(batch.num_columns - 1).fill_null(0).to_numpy()) == wanted
+            out = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(out.columns[:-1], names=out.schema.names[:-1])
+
+    slot = F.when(F.col(columns[0]).isNotNull(), F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)))
+    known = rows.withColumn("_slot", slot)
+    if wanted:
+        return known.where("_slot is not null").mapInArrow(run, rows.schema)
+    return known.where("_slot is not null").mapInArrow(run, rows.schema).unionByName(rows.where(F.col(columns[0]).isNull()))

@@ -6,10 +6,10 @@ depend on nearby lines alone, so inserting or deleting lines elsewhere moves no
 with their first occurrence (smallest id, then place) and removed when equal.
 
 Only chunk hashes are grouped, after pre-aggregation; only chunks whose hash repeats travel with their bytes, in a plain
-join that adaptive execution splits when one chunk is very common.
+join that adaptive execution splits when one chunk is very common, and only texts that lose lines are shuffled.
 
 Defined results: a null text is treated as empty and stays null; texts without repeated chunks stay byte for byte. Rows that
-repeat id and text count as one document and get equal results. A text may become empty; its row stays. Extra columns
+repeat id and text count as one document and get equal results; rows without id keep their lines. A text may become empty; its row stays. Extra columns
 stay; names beginning with ``_l_`` are reserved. A column ``n_chars`` is not touched here.
 """
 
@@ -17,12 +17,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from creditloom.llm.common import FILTER_BITS, has_bit, key_bits, passing, stored
+
 WINDOW = 2
 DIVISOR = 3
 MIN_LINES = 2
@@ -59,7 +62,10 @@ def _eligible(lines: list[str], a: int, b: int) -> bool:
     return b - a >= MIN_LINES and sum(1 for x in lines[a:b] if x.strip()) >= MIN_LINES
 
 
-def _chunk_rows(keyed: DataFrame, with_bytes: bool) -> DataFrame:
+def _chunk_rows(keyed: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """All eligible chunks by hash; with ``bits`` only those whose hash the bit map may hold, with their bytes."""
+    shared = None if bits is None else keyed.sparkSession.sparkContext.broadcast(bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
@@ -68,7 +74,12 @@ def _chunk_rows(keyed: DataFrame, with_bytes: bool) -> DataFrame:
                 for k, (a, b) in enumerate(spans):
                     if _eligible(lines, a, b):
                         raw = "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")
-                        rows.append((doc, text_hash, k, xxhash.xxh128_digest(raw), raw if with_bytes else None))
+                        rows.append((doc, text_hash, k, xxhash.xxh128_digest(raw), raw))
+            if shared is None:
+                rows = [(*r[:4], None) for r in rows]
+            elif rows:
+                slots = np.array([xxhash.xxh64_intdigest(r[3], 42) & (FILTER_BITS - 1) for r in rows])  # as xxhash64() has it
+                rows = [r for r, hit in zip(rows, has_bit(shared.value, slots), strict=True) if hit]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
@@ -81,10 +92,11 @@ def removals(keyed: DataFrame) -> DataFrame:
     """``_l_id, _l_hash, _l_drop``: numbers of the chunks to remove, per text that loses any."""
     key = F.struct("_l_id", "_l_hash", "_l_place")
     repeated = (
-        _chunk_rows(keyed, False).groupBy("_l_chunk").agg(F.min(key).alias("_l_first"), F.max(key).alias("_l_last"))
+        _chunk_rows(keyed).groupBy("_l_chunk").agg(F.min(key).alias("_l_first"), F.max(key).alias("_l_last"))
         .where("_l_first <> _l_last").select("_l_chunk", "_l_first")
     )
-    bodies = _chunk_rows(keyed, True).join(repeated, "_l_chunk")
+    repeated = stored(repeated, "lines-repeated")
+    bodies = _chunk_rows(keyed, key_bits(repeated, "_l_chunk")).join(repeated, "_l_chunk")
     is_first = F.struct("_l_id", "_l_hash", "_l_place").eqNullSafe(F.col("_l_first"))
     firsts = bodies.where(is_first).groupBy("_l_chunk").agg(F.first("_l_bytes").alias("_l_kept"))
     again = bodies.where(~is_first).join(firsts, "_l_chunk").where(F.col("_l_bytes") == F.col("_l_kept"))
@@ -94,9 +106,12 @@ def removals(keyed: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with repeated chunks removed from ``text_col``, and ``n_lines`` and ``n_lines_removed``."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select("*", F.col(f"`{id_col}`").alias("_l_id"), F.xxhash64(text).alias("_l_hash"))
-    drops = removals(rows.select("_l_id", "_l_hash", text.alias("_l_text"))).withColumnsRenamed({"_l_id": "_d_id", "_l_hash": "_d_hash"})
-    joined = rows.join(drops, F.col("_l_id").eqNullSafe(F.col("_d_id")) & (F.col("_l_hash") == F.col("_d_hash")), "left")
+    rows = docs.select("*", F.col(f"`{id_col}`").cast("long").alias("_l_id"), F.xxhash64(text).alias("_l_hash"))
+    key = ["_l_id", "_l_hash"]
+    drops = stored(removals(rows.where("_l_id is not null").select(*key, text.alias("_l_text"))), "lines-drops")
+    bits = key_bits(drops, *key)
+    hit = passing(rows, bits, key, True).join(drops, key, "left")
+    joined = hit.unionByName(passing(rows, bits, key, False).withColumn("_l_drop", F.lit(None).cast("array<bigint>")))
     counts = ("n_lines", "n_lines_removed")
     kept = [f for f in docs.schema.fields if f.name not in counts]
     names = [f.name for f in kept]

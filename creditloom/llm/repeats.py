@@ -30,18 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from creditloom.llm.common import stored
+from creditloom.llm.common import key_bits, passing, stored
 
 LENGTH = 100
 GRAM = 24
 HOT = 50_000
 CHUNK = 20_000  # anchors in one suffix array, unless a hash has more
 PLACE_BITS = 24
-FILTER_BITS = 1 << 23
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -170,40 +169,6 @@ def _postings(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.select("_r_id", "_r_text").mapInArrow(run, "_r_h long, _r_id long, _r_place long")
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit map of fixed size in which every id's hash is set: it may let others pass, which only costs work."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy()] = True
-        yield _table([("bits", pa.binary())], [[np.packbits(bits).tobytes()]])
-
-    slots = ids.select(_slot("_r_id").alias("slot")).repartition(16)
-    parts = slots.mapInArrow(run, "bits binary").collect()  # sixteen maps of one MB
-    return np.bitwise_or.reduce([np.frombuffer(p["bits"], np.uint8) for p in parts])
-
-
-def _slot(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-
-
-def _passing(rows: DataFrame, bits: np.ndarray, wanted: bool) -> DataFrame:
-    """The rows whose id the bit map has (or surely has not)."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = batch.column(batch.num_columns - 1).fill_null(0).to_numpy()
-            hit = ((shared.value[slot >> 3] >> (7 - (slot & 7))) & 1).astype(bool)
-            known = batch.column(batch.schema.get_field_index("_r_id")).is_valid().to_numpy(zero_copy_only=False)
-            keep = (hit & known) if wanted else ~(hit & known)
-            out = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(out.columns[:-1], names=out.schema.names[:-1])
-
-    return rows.withColumn("_r_slot", _slot("_r_id")).mapInArrow(run, rows.schema)
-
-
 def _around(texts: DataFrame, length: int, windows: bool) -> DataFrame:
     """Per listed anchor its two sides, or with ``windows`` every window it stands for by its hash."""
 
@@ -239,6 +204,11 @@ def _later_spans(contexts: DataFrame, length: int) -> DataFrame:
     """Spans of all occurrences of maximal repeats but the first. Rows come sorted by hash, id, text hash and place."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
+        # Rows that repeat id and text are one document.
+        mark = [table[c].to_numpy() for c in ("_r_h", "_r_id", "_r_hash", "_r_place")]
+        fresh = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in mark], axis=0)])
+        if not fresh.all():
+            table = table.filter(pa.array(fresh))
         left, right = table["_r_left"].to_pylist(), table["_r_right"].to_pylist()
         place = table["_r_place"].to_pylist()
         spans: set[tuple[int, int, int]] = set()
@@ -296,7 +266,7 @@ def spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
             F.collect_set(F.when(F.col("_r_often") > hot, F.col("_r_place"))).alias("_r_many"))
     )
     listed = stored(listed, "repeats-places")
-    texts = _passing(keyed, _id_filter(listed.select("_r_id")), True).join(listed, "_r_id").join(copies.drop("_r_n"), ["_r_id", "_r_hash"], "left_anti")
+    texts = passing(keyed, key_bits(listed, "_r_id"), ["_r_id"], True).join(listed, "_r_id").join(copies.drop("_r_n"), ["_r_id", "_r_hash"], "left_anti")
     found = _later_spans(_around(texts.where(F.size("_r_few") > 0).select("_r_id", "_r_hash", "_r_text", "_r_few"), length, False), length)
     if not often.where(F.col("_r_often") > hot).isEmpty():
         windows = _around(texts.where(F.size("_r_many") > 0).select("_r_id", "_r_hash", "_r_text", "_r_many"), length, True)
@@ -318,7 +288,7 @@ def _cut(rows: DataFrame, text_col: str) -> DataFrame:
     schema = StructType([*[StructField(f.name, StringType()) if f.name == text_col else f for f in kept], *[StructField(n, t) for n, t, _ in RESULTS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):  # a row leaves twice as long as it came
             texts, results = [], []
             for text, starts, ends in zip(batch.column(at), batch.column(len(names)), batch.column(len(names) + 1), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
@@ -333,8 +303,7 @@ def _cut(rows: DataFrame, text_col: str) -> DataFrame:
             arrays = list(batch.columns[:len(names)])
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(c, t) for c, (_, _, t) in zip(zip(*results, strict=True), RESULTS, strict=True)]],
-                                             names=[*names, *[n for n, _, _ in RESULTS]]) if results else pa.RecordBatch.from_arrays(
-                [*arrays, *[pa.array([], t) for _, _, t in RESULTS]], names=[*names, *[n for n, _, _ in RESULTS]])
+                                             names=[*names, *[n for n, _, _ in RESULTS]])
 
     return rows.select(*[f"`{n}`" for n in names], "_r_starts", "_r_ends").mapInArrow(run, schema)
 
@@ -348,8 +317,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.drop(*results).withColumns({"_r_id": F.col(f"`{id_col}`").cast("long"), "_r_hash": F.xxhash64(text)})
     going = stored(spans(rows.select("_r_id", "_r_hash", text.alias("_r_text")), length, hot), "repeats-spans")
-    bits = _id_filter(going.select("_r_id"))
+    bits, key = key_bits(going, "_r_id", "_r_hash"), ["_r_id", "_r_hash"]
     none = F.lit(None).cast("array<bigint>")
-    hit = _passing(rows, bits, True).join(going, ["_r_id", "_r_hash"], "left")
-    missed = _passing(rows, bits, False).withColumns({"_r_starts": none, "_r_ends": none})
+    hit = passing(rows, bits, key, True).join(going, key, "left")
+    missed = passing(rows, bits, key, False).withColumns({"_r_starts": none, "_r_ends": none})
     return _cut(hit.unionByName(missed), text_col)
