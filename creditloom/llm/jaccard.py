@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from creditloom.llm.common import WordHashes, connected, stored, words_lower
 
 SHINGLE = 5
-SKETCH = 1 << 19
+SKETCH = 1 << 18
 BLOCK = 4096
 BAND = 1.1
 _hashes = WordHashes()
@@ -71,34 +71,36 @@ def _profiles(keyed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["id", "n", "s1", "s2", "sketch"], [pa.int64()] * 4 + [pa.binary()]
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch, slots, held = np.zeros(SKETCH, np.int64), [np.empty(0, np.int64)], 0
         for batch in batches:
             rows = []
             for doc, text in zip(*batch.columns, strict=True):
                 s = shingles(text.as_py())
-                if len(s) > SKETCH // 64:
-                    sketch += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                else:
-                    np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                slots.append((s & np.uint64(SKETCH - 1)).astype(np.int64))
+                held += len(s)
+                if held > SKETCH:
+                    sketch += np.bincount(np.concatenate(slots), minlength=SKETCH)
+                    slots, held = [], 0
                 d = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
                 rows.append((doc.as_py(), len(s), int(d[0]), int(d[1]), None))
             yield _batch(names, types, rows)
-        yield _batch(names, types, [(None, None, None, None, sketch.tobytes())])
+        sketch += np.bincount(np.concatenate([*slots, np.empty(0, np.int64)]), minlength=SKETCH)
+        yield _batch(names, types, [(None, None, None, None, sketch.astype(np.int32).tobytes())])
 
     return keyed.mapInArrow(run, "id long, n long, s1 long, s2 long, sketch binary")
 
 
 def _sum_sketches(sketches: DataFrame) -> np.ndarray:
-    """The sum of all sketches; at most sixteen partial sums of fixed size reach the driver."""
+    """The sum of all sketches; four partial sums of fixed size (2 MB) reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                total += np.frombuffer(x.as_py(), np.int64)
+                total += np.frombuffer(x.as_py(), np.int32)
         yield _batch(["sketch"], [pa.binary()], [(total.tobytes(),)])
 
-    parts = sketches.repartition(16).mapInArrow(run, "sketch binary").collect()
+    parts = sketches.repartition(4).mapInArrow(run, "sketch binary").collect()
     return np.sum([np.frombuffer(p["sketch"], np.int64) for p in parts], axis=0)
 
 
