@@ -18,6 +18,7 @@ unknown token is 1.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import WordHashes, stored, words_lower
+from creditloom.llm.common import LOWER_BYTES, WordHashes, stored
 
 LAMBDA = 0.6
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 END, START = 0x8E51A3D2C4B69F07, 0x1F83D9ABFB41BD6B  # hashes of the end token and of the context before a text
 WORD, PAIR = 0, 1
 _hashes = WordHashes()
@@ -58,10 +59,10 @@ def _unpack_sorted(blob: bytes) -> np.ndarray:
 class Block:
     """The tokens of a block's texts, its distinct words and pairs as sorted hashes, and their counts in training texts."""
 
-    def __init__(self, texts: list[str | None], training: np.ndarray):
+    def __init__(self, texts: list[bytes], training: np.ndarray):
         coded, sizes = [], []
         for text in texts:
-            words = words_lower(text) if text else []
+            words = text.translate(LOWER_BYTES).split()
             coded.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
             coded.append(np.array([END], np.uint64))
             sizes.append(len(words) + 1)
@@ -71,8 +72,12 @@ class Block:
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
         before[starts] = START
-        pairs = (before ^ (before >> np.uint64(29))) * _MIX[0] + tokens
-        pairs = (pairs ^ (pairs >> np.uint64(32))) * _MIX[1]
+        pairs = before
+        pairs ^= pairs >> np.uint64(29)
+        pairs *= _MIX[0]
+        pairs += tokens
+        pairs ^= pairs >> np.uint64(32)
+        pairs *= _MIX[1]
         learnt = np.repeat(training, sizes)
         self.words, self.word_at = np.unique(tokens, return_inverse=True)
         self.pairs, self.pair_at = np.unique(pairs, return_inverse=True)
@@ -132,9 +137,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
     rows = rows.withColumns({"held_out": held, "block": F.pmod(F.xxhash64("id", "text"), F.lit(blocks))})
+    n_texts = rows.where(~F.col("held_out")).count()
+    kind = dict(rows.dtypes)["id"]
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = pa.array([press.compress(t.as_buffer()) for t in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts], names=["id", "held_out", "block", "packed"])
+
+    # Texts are dealt out twice; compressed they take half the room of a shuffle's own compression.
+    rows = rows.select("id", "held_out", "block", "text").mapInArrow(squeeze, f"id {kind}, held_out boolean, block long, packed binary")
 
     def block_of(table: pa.Table) -> Block:
-        return Block(table["text"].to_pylist(), ~table["held_out"].to_numpy())
+        return Block([zstandard.decompress(t) for t in table["packed"].to_pylist()], ~table["held_out"].to_numpy())
 
     def send(table: pa.Table) -> pa.Table:
         number = table["block"][0].as_py()
@@ -169,7 +185,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         lists.groupBy("kind", "range").applyInArrow(add, "block long, kind long, range long, totals binary, n long, v long"), "lm-totals")
     known = answers.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()[0]
     n, v = known["n"] or 0, known["v"] or 0
-    n_texts = rows.where(~F.col("held_out")).count()
 
     def traverse(texts: pa.Table, totals: pa.Table) -> pa.Table:
         block = block_of(texts)
@@ -190,6 +205,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             id_col: texts["id"], "held_out": texts["held_out"], "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known, pa.int64()),
             "train_tokens": pa.array([n] * len(sizes), pa.int64()), "base_score": pa.array(base), "score": pa.array(scores)})
 
-    kind = dict(rows.dtypes)["id"]
     return rows.groupBy("block").cogroup(answers.where("block >= 0").select("block", "kind", "range", "totals").groupBy("block")).applyInArrow(
         traverse, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
