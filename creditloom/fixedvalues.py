@@ -131,6 +131,11 @@ FEATURE_DEFAULTS = {
     "delinquency_two_years": 0.0, "inquiries_six_months": 0.0, "open_accounts": 5.0, "public_record": 0.0,
     "total_accounts": 10.0,
 }
+# The order in which the memo lists a borrower's financial values.
+FINANCIAL_KEYS = ["loan_amount_requested", "interest_rate", "collateral_type", "collateral_coverage", "sector_outlook",
+                  "debt_service_coverage", "current_ratio", "debt_to_equity", "revenue_growth", "net_worth",
+                  "delinquency_two_years", "inquiries_six_months", "open_accounts", "public_record", "total_accounts",
+                  "revolving_balance", "revolving_utilities", "total_current_balance", "total_revolving_credit_limit"]
 UNSCORED = {"ml_score": "65.00", "default_probability": "35.00", "recommendation": "MEDIUM RISK"}
 UNSCORED_RISKS = {"interest_rate": "0.1500", "debt_to_income": "0.1200", "public_record": "0.0800"}
 UNSCORED_POSITIVES = {"open_accounts": "-0.0500", "total_accounts": "-0.0400", "revolving_utilities": "-0.0300"}

@@ -21,20 +21,37 @@ def resolve_column(df: DataFrame, tokens: Sequence[str], default: str | None = N
     return next((c for c in df.columns if any(t in c.lower() for t in tokens)), default)
 
 
+EXACT = "decimal(28,6)"
+
+
+def _amount(column: str) -> Column:
+    """A cell as an exact number; null for text that is none, so that one bad cell does not end the job."""
+    return F.col(column).try_cast(EXACT)
+
+
+def _total(amount: Column) -> Column:
+    """Summed exactly and rounded once."""
+    return F.round(F.sum(amount), 2).try_cast("decimal(28,2)")
+
+
+def _n_unusable(column: str) -> Column:
+    return F.count_if(F.col(column).isNotNull() & _amount(column).isNull())
+
+
 def gst_revenue(gst: DataFrame, key: str = "company_id") -> DataFrame:
     others = [c for c in gst.columns if c != key]
     column = resolve_column(gst, TAXABLE, others[2] if len(others) > 2 else None)
-    return gst.groupBy(key).agg(F.sum(F.col(column).cast("decimal(18,2)")).alias("gst_revenue"))
+    return gst.groupBy(key).agg(_total(_amount(column)).alias("gst_revenue"), _n_unusable(column).alias("n_unusable_values"))
 
 
 def bank_credits(bank: DataFrame, key: str = "company_id") -> DataFrame:
     kind, amount = resolve_column(bank, TXN_TYPE), resolve_column(bank, AMOUNT)
     if kind and amount:
-        value = F.when(is_credit(F.col(kind)), F.col(amount).cast("decimal(18,2)"))
+        value, unusable = F.when(is_credit(F.col(kind)), _amount(amount)), _n_unusable(amount)
     else:
-        value = F.lit(0).cast("decimal(18,2)")
-    total = F.coalesce(F.sum(value), F.lit(0).cast("decimal(28,2)"))
-    return bank.groupBy(key).agg(total.alias("bank_credits"))
+        value, unusable = F.lit(0).cast(EXACT), F.lit(0).cast("bigint")
+    total = F.coalesce(_total(value), F.lit(0).cast("decimal(28,2)"))
+    return bank.groupBy(key).agg(total.alias("bank_credits"), unusable.alias("n_unusable_values"))
 
 
 def gst_bank_align(gst: DataFrame, bank: DataFrame, key: str = "company_id") -> DataFrame:
@@ -85,10 +102,10 @@ def itc_reconcile(gst: DataFrame, key: str = "company_id") -> DataFrame:
             key, *[F.lit(0.0).alias(c) for c in ("itc_claimed", "itc_available", "itc_variance", "itc_variance_pct", "signed_variance")],
             F.array(F.lit(fv.FLAG_NO_RETURN_TYPE)).alias("flags"), F.lit("low").alias("risk_level"),
         )
-    tax = F.col("total_tax").cast("decimal(18,4)") if "total_tax" in gst.columns else F.lit(0).cast("decimal(18,4)")
+    tax = _amount("total_tax") if "total_tax" in gst.columns else F.lit(0).cast(EXACT)
 
     def total(kind: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("return_type") == kind, tax)), zero)
+        return F.coalesce(F.sum(F.when(F.col("return_type") == kind, tax)).try_cast("decimal(28,4)"), zero)
 
     sums = gst.groupBy(key).agg(total("GSTR3B").alias("_claimed"), total("GSTR2A").alias("_available"))
     matched = F.col("_available") > 0

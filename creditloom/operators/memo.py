@@ -12,7 +12,14 @@ from creditloom.operators.explain import plain, styled
 from creditloom.operators.research import research_items
 
 SHOWN_SOURCES = 5
-FINANCIALS = [*fv.RUPEE_FIELDS, *fv.PERCENT_FIELDS, *fv.RATIO_FIELDS]
+STYLED = {*fv.RUPEE_FIELDS, *fv.PERCENT_FIELDS, *fv.RATIO_FIELDS}
+
+
+def _financial(field: str, kind: str) -> Column:
+    """A value as the memo's financial analysis shows it; counts without decimals, texts as they are."""
+    if field in STYLED:
+        return styled(field, F.col(field))
+    return F.col(field) if kind == "string" else F.col(field).try_cast("bigint").cast("string")
 
 
 def _item(section: int, no: int, label: str, value: Column) -> Column:
@@ -36,6 +43,7 @@ def memo_sections(cases: DataFrame, assessment_date: str, prepared_by: str = "cr
     flags = F.when(F.size("gst_flags") > 0, F.array_join("gst_flags", ", ")).otherwise(fv.NO_WARNINGS)
     sources = F.array_join(F.slice("sources", 1, SHOWN_SOURCES), ", ")
     zero = F.lit(0).cast("decimal(28,2)")
+    types = dict(cases.dtypes)
     items = [
         _item(-1, 0, "meta", F.concat(F.lit("Borrower: "), F.col("company_name"), F.lit("  |  Date: "), date, F.lit(f"  |  Prepared by: {prepared_by}"))),
         _item(-1, 1, "banner", banner),
@@ -53,7 +61,8 @@ def memo_sections(cases: DataFrame, assessment_date: str, prepared_by: str = "cr
         _item(2, 4, "Ml Model Score", F.concat(plain(F.col("ml_score")), F.lit("/100"))),
         *[_item(3, i, c.title(), F.concat(F.lit(f"{c.title()} ("), F.col(c).cast("string"), F.lit("/100 — "), rating_band(F.col(c)), F.lit(f"): {text}")))
           for i, (c, text) in enumerate(fv.FIVE_CS_TEXTS.items())],
-        *[_item(4, i, f.replace("_", " ").title(), styled(f, F.col(f))) for i, f in enumerate(FINANCIALS)],
+        *[_item(4, i, f.replace("_", " ").title(), _financial(f, types[f])) for i, f in enumerate(fv.FINANCIAL_KEYS)],
+        *([_item(4, len(fv.FINANCIAL_KEYS), "Turnover", plain(F.col("turnover")))] if "turnover" in types else []),
         _item(5, 0, "Gst Revenue", format_inr(F.coalesce("gst_revenue", zero))),
         _item(5, 1, "Bank Credits", format_inr(F.coalesce("bank_credits", zero))),
         _item(5, 2, "Discrepancy", F.concat(plain(F.col("discrepancy_pct")), F.lit("%"))),

@@ -127,7 +127,10 @@ def regex_facts(page_text: DataFrame, table_cells: DataFrame | None = None,
                 pages_per_part: int = PAGES_PER_PART) -> DataFrame:
     """Fields found in whole documents: the first match of a pattern counts, even when it is not a number."""
     parts = document_parts(page_blocks(page_text, table_cells), pages_per_part)
-    lowered = parts.select("doc_id", "part_no", F.lower(F.concat("text", "ahead")).alias("_t"), F.length("text").alias("_own"))
+    own = F.lower("text")
+    # Lowered separately, and measured as regexp_instr counts: in UTF-16 units.
+    units = (F.octet_length(F.encode(own, "UTF-16BE")) / 2).cast("int")
+    lowered = parts.select("doc_id", "part_no", F.concat(own, F.lower("ahead")).alias("_t"), units.alias("_own"))
     found = _found(lowered, ["doc_id", "part_no"], within=F.col("_own"))
     first = _as_facts(found, ["doc_id", "part_no"]).groupBy("doc_id", "field").agg(F.min_by("value", "part_no").alias("value"))
     return first.where(F.col("value").isNotNull())

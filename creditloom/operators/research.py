@@ -11,7 +11,7 @@ from creditloom.functions.replies import parse_fenced, strip_fences
 from creditloom.functions.rules import infer_sector
 from creditloom.skew import salted_join
 
-LABEL_CHARS, FINDINGS_CHARS = 800, 1000
+LABEL_CHARS, FINDINGS_CHARS = 800, 1000  # what a page-sized memo shows of one entry
 MIN_ANALYSIS, MIN_FINDINGS = 50, 30
 
 
@@ -37,25 +37,31 @@ def query_fanout(applications: DataFrame) -> DataFrame:
     return applications.select("company_id", F.inline(rows))
 
 
-def topk_hits(hits: DataFrame, k: int = 2) -> DataFrame:
+RESEARCH_SHAPE = {"kind": "research", "k": 2, "per_hit": 500, "total": 6000}
+LEGAL_SHAPE = {"kind": "legal", "k": 2, "per_hit": 400, "total": 5000}
+
+
+def topk_hits(hits: DataFrame, k: int) -> DataFrame:
     """The best ``k`` hits of every search. The rank filter is applied before the shuffle as well."""
-    w = Window.partitionBy("company_id", "query_no").orderBy("hit_rank")
+    w = Window.partitionBy("company_id", "kind", "query_no").orderBy("hit_rank")
     return hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
-def build_context(hits: DataFrame, per_hit: int = 500, total: int = 6000, k: int = 2,
-                  queries: int = len(fv.RESEARCH_QUERIES)) -> DataFrame:
-    """Numbered source texts per company, cut to ``total`` characters, and all source addresses.
+def build_context(hits: DataFrame, kind: str = "research", k: int = 2, per_hit: int | None = None, total: int | None = None) -> DataFrame:
+    """Numbered source texts per company from the searches of one kind, and all source addresses.
 
-    A company has at most ``k`` hits for each of a fixed number of searches, so its list is short.
+    Texts are whole unless ``per_hit`` and ``total`` cut them for a reader with little room (``RESEARCH_SHAPE``,
+    ``LEGAL_SHAPE``). A company has at most ``k`` hits for each of a fixed number of searches, so its list is short.
     """
-    kept = topk_hits(hits.where(F.col("query_no") < queries), k)
-    ordered = F.array_sort(F.collect_list(F.struct("query_no", "rn", "url", F.substring("content", 1, per_hit).alias("content"))))
+    kept = topk_hits(hits.where(F.col("kind") == kind), k)
+    content = F.col("content") if per_hit is None else F.substring("content", 1, per_hit)
+    ordered = F.array_sort(F.collect_list(F.struct("query_no", "rn", "url", content.alias("content"))))
     lists = kept.groupBy("company_id").agg(ordered.alias("_hits"))
     entries = F.transform("_hits", lambda h, i: F.concat(
         F.lit("Source "), (i + 1).cast("string"), F.lit(": "), h.url, F.lit("\n"), h.content))
+    context = F.array_join(entries, "\n\n")
     return lists.select(
-        "company_id", F.substring(F.array_join(entries, "\n\n"), 1, total).alias("context"),
+        "company_id", (context if total is None else F.substring(context, 1, total)).alias("context"),
         F.transform("_hits", lambda h: h.url).alias("sources"))
 
 
@@ -69,6 +75,15 @@ def with_reply_fallbacks(companies: DataFrame, replies: DataFrame) -> DataFrame:
     ))
 
 
+def usable_reply(column: str) -> list[Column]:
+    """The research reply, or the fallback where it is too short, and the list of sources that failed."""
+    poor = F.length(F.coalesce(column, F.lit(""))) < MIN_ANALYSIS
+    return [
+        F.when(poor, fv.RESEARCH_TOO_SHORT).otherwise(F.col(column)).alias(column),
+        F.array_compact(F.array(F.when(poor, "secondary_research"))).alias("quota_warnings"),
+    ]
+
+
 def apply_fallbacks(df: DataFrame) -> DataFrame:
     """Replaces replies that are too short and names the sources concerned."""
     poor_research = F.length(F.coalesce("analysis", F.lit(""))) < MIN_ANALYSIS
@@ -98,22 +113,25 @@ def _members(v: Column) -> Column:
     return F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
 
 
-def research_items(reply: Column) -> Column:
+def research_items(reply: Column, label_chars: int | None = None, findings_chars: int | None = None) -> Column:
     """(label, content) entries of a JSON reply; one entry with the cleaned text if it is not JSON.
 
-    Nested objects give one entry per inner key.
+    Nested objects give one entry per inner key. Contents are whole unless a number of characters is asked for.
     """
+    def cut(c: Column, n: int | None) -> Column:
+        return c if n is None else F.substring(c, 1, n)
+
     v = parse_fenced(reply)
 
     def item(label: Column, content: Column) -> Column:
-        return F.struct(label.alias("label"), F.substring(content, 1, LABEL_CHARS).alias("content"))
+        return F.struct(label.alias("label"), cut(content, label_chars).alias("content"))
 
     def expand(e: Column) -> Column:
         label = title_label(e.key)
         inner = F.transform(_members(e.value), lambda s: item(F.concat(label, F.lit(" — "), title_label(s.key)), _item_text(s.value)))
         return F.coalesce(inner, F.array(item(label, _item_text(e.value))))
 
-    junk = F.struct(F.lit("Research Findings").alias("label"), F.substring(strip_fences(reply), 1, FINDINGS_CHARS).alias("content"))
+    junk = F.struct(F.lit("Research Findings").alias("label"), cut(strip_fences(reply), findings_chars).alias("content"))
     parsed = F.flatten(F.transform(_members(v), expand))
     none = F.array().cast("array<struct<label:string,content:string>>")
     return F.when(v.isNull(), F.array(junk)).otherwise(F.coalesce(parsed, none))
@@ -121,7 +139,7 @@ def research_items(reply: Column) -> Column:
 
 def flatten_research(replies: DataFrame) -> DataFrame:
     """Research entries of every reply as rows; works within the row, no shuffle."""
-    return replies.select("company_id", F.inline(research_items(F.col("reply"))))
+    return replies.select("company_id", F.inline(research_items(F.col("reply"), LABEL_CHARS, FINDINGS_CHARS)))
 
 
 def prompt_key(c: Column) -> Column:

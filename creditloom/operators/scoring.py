@@ -72,7 +72,8 @@ def merge_facts(base: DataFrame, facts: DataFrame) -> DataFrame:
     """Financial rows with positive document facts laid over the defaults; later documents win.
 
     ``facts`` has company_id, source_kind (pdf or sheet), doc_order (integer), field, value. Net worth read
-    from page text is in lakhs; spreadsheet revenue becomes turnover.
+    from page text is in lakhs; spreadsheet revenue becomes turnover. A fact too large for its field keeps the
+    default and is counted in ``n_unusable_facts``.
     """
     kind, field, value = F.col("source_kind"), F.col("field"), F.col("value")
     wanted = ((kind == "pdf") & field.isin(PDF_FIELDS)) | ((kind == "sheet") & field.isin(SHEET_FIELDS))
@@ -83,8 +84,10 @@ def merge_facts(base: DataFrame, facts: DataFrame) -> DataFrame:
         for f in SHEET_FIELDS
     ])
     types = dict(base.dtypes)
-    over = {f: F.coalesce(F.col(f"_{f}").cast(types[f]), F.col(f)) for f in SHEET_FIELDS if f in types}
-    joined = base.join(latest, "company_id", "left").withColumns(over).withColumn("turnover", F.col("_revenue"))
+    over = {f: F.coalesce(F.col(f"_{f}").try_cast(types[f]), F.col(f)) for f in SHEET_FIELDS if f in types}
+    unusable = sum((F.when(F.col(f"_{f}").isNotNull() & F.col(f"_{f}").try_cast(types[f]).isNull(), 1).otherwise(0) for f in over), F.lit(0))
+    joined = base.join(latest, "company_id", "left").withColumn("n_unusable_facts", unusable.cast("bigint"))
+    joined = joined.withColumns(over).withColumn("turnover", F.col("_revenue"))
     return joined.drop(*[f"_{f}" for f in SHEET_FIELDS])
 
 
@@ -226,5 +229,6 @@ def assemble_case(financials: DataFrame, gst: DataFrame, research: DataFrame, bl
         "risk_rating": F.coalesce("risk_rating", F.lit("medium")),
         "blacklisted": F.coalesce("blacklisted", F.lit(False)),
         "n_matches": F.coalesce("n_matches", F.lit(0).cast("bigint")),
+        "quota_warnings": F.coalesce("quota_warnings", F.array().cast("array<string>")) if "quota_warnings" in cases.columns else F.array().cast("array<string>"),
         "default_probability": F.coalesce(F.col("default_probability").cast("decimal(10,2)"), dec(fv.UNSCORED["default_probability"])),
     })

@@ -20,13 +20,13 @@ def _filled() -> Column:
     return F.filter("cells", lambda c: c.value.isNotNull() & (F.trim(c.value) != ""))
 
 
-def kv_by_sheet(rows: DataFrame, match: str = "first") -> DataFrame:
-    """Label/value rows of sheets with at most three columns; later rows win.
+def kv_by_sheet(rows: DataFrame, match: str = "first", max_sheets: int | None = None, max_width: int = KV_MAX_WIDTH) -> DataFrame:
+    """Label/value rows of sheets with at most ``max_width`` columns; later rows win.
 
     Labels are resolved inside the row, so only (document, sheet, field) partial results are shuffled.
     The ordering column is a plain integer, which keeps the aggregation hash-based.
     """
-    pairs = leading_sheets(rows).select(
+    pairs = leading_sheets(rows, max_sheets).select(
         "doc_id", "sheet_no", "row_no", _filled().alias("_f"),
         (F.array_max(F.transform("cells", lambda c: c.col_no)) + 1).alias("_width"),
     ).select(
@@ -41,14 +41,14 @@ def kv_by_sheet(rows: DataFrame, match: str = "first") -> DataFrame:
     width = F.max("_width").over(Window.partitionBy("doc_id", "sheet_no"))
     return (
         per_sheet.withColumn("_sheet_width", width)
-        .where((F.col("_sheet_width") <= KV_MAX_WIDTH) & F.col("field").isNotNull())
+        .where((F.col("_sheet_width") <= max_width) & F.col("field").isNotNull())
         .select("doc_id", "sheet_no", "field", "value")
     )
 
 
-def kv_extract(rows: DataFrame, match: str = "first") -> DataFrame:
+def kv_extract(rows: DataFrame, match: str = "first", max_sheets: int | None = None) -> DataFrame:
     """Label/value fields of a document; later sheets win."""
-    return merge_last(kv_by_sheet(rows, match), "sheet_no")
+    return merge_last(kv_by_sheet(rows, match, max_sheets), "sheet_no")
 
 
 def header_rows(rows: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def promote_header(rows: DataFrame) -> DataFrame:
     )
 
 
-def columns_by_sheet(rows: DataFrame) -> DataFrame:
+def columns_by_sheet(rows: DataFrame, max_sheets: int | None = None) -> DataFrame:
     """First non-zero number of every column whose header names a field; later columns win.
 
     The fields a header feeds travel as a bit mask, so header and first number of a column come from one
@@ -91,7 +91,7 @@ def columns_by_sheet(rows: DataFrame) -> DataFrame:
     """
     promoted = F.col("header_row") > 0
     # Columns of unpromoted sheets whose own header feeds no field end here, before their cells are read.
-    cells = _with_header_row(leading_sheets(rows)).select(
+    cells = _with_header_row(leading_sheets(rows, max_sheets)).select(
         "doc_id", "sheet_no", "row_no", "header_row", F.inline("cells")).where(promoted | (F.col("header_fields") != 0))
     is_header = promoted & (F.col("row_no") == F.col("header_row"))
     is_data = ~promoted | (F.col("row_no") > F.col("header_row"))

@@ -10,7 +10,7 @@ from creditloom.functions.replies import rating_text
 from creditloom.operators import explain as ex
 from creditloom.operators import gst as g
 from creditloom.operators import model as m
-from creditloom.operators import pages, scoring, screening, sheets
+from creditloom.operators import pages, research, scoring, screening, sheets
 
 
 def document_facts(page_text: DataFrame, page_owner: DataFrame | None = None) -> DataFrame:
@@ -30,7 +30,9 @@ def workbook_facts(rows: DataFrame, owner: DataFrame) -> DataFrame:
 
 
 def ratings(replies: DataFrame) -> DataFrame:
-    return replies.select("company_id", "reply", rating_text(F.col("reply")).alias("risk_rating"))
+    """Rating text of every reply. Replies too short to be one are replaced first, and named in ``quota_warnings``."""
+    checked = replies.select("company_id", *research.usable_reply("reply"))
+    return checked.withColumn("risk_rating", rating_text(F.col("reply")))
 
 
 def decided(cases: DataFrame) -> DataFrame:

@@ -90,8 +90,11 @@ def sheet_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Thirty hits a company over its six research and three legal searches; companies grow with the table."""
     return table(spark, sf, "pages").selectExpr(
-        "page_id % 25 AS company_id", "CAST(floor(page_id / 25) AS INT) % 6 AS query_no", "page_id AS hit_rank", "url", "html AS content")
+        "page_id DIV 30 AS company_id", "CASE WHEN page_id % 30 % 9 < 6 THEN 'research' ELSE 'legal' END AS kind",
+        "CAST(CASE WHEN page_id % 30 % 9 < 6 THEN page_id % 30 % 9 ELSE page_id % 30 % 9 - 6 END AS INT) AS query_no", "page_id AS hit_rank", "url",
+        "html AS content")
 
 
 def research_replies(spark: SparkSession, sf: str) -> DataFrame:

@@ -149,7 +149,8 @@ VIEWS: dict[str, str] = {
         CASE l_linenumber % 4 WHEN 0 THEN concat('₹ ', CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR))
             WHEN 1 THEN concat('(', CAST(CAST(l_quantity AS INT) AS VARCHAR), ',000)')
             WHEN 2 THEN concat(CAST(CAST(l_discount AS DECIMAL(4,2)) AS VARCHAR), '%') ELSE 'n/a' END AS value FROM lineitem""",
-    "fx_search_hits": "SELECT page_id % 25 AS company_id, CAST(floor(page_id / 25) AS INT) % 6 AS query_no, page_id AS hit_rank, url, html AS content FROM pages",
+    "fx_search_hits": """SELECT page_id // 30 AS company_id, CASE WHEN n < 6 THEN 'research' ELSE 'legal' END AS kind, CASE WHEN n < 6 THEN n ELSE n - 6 END AS query_no,
+        page_id AS hit_rank, url, html AS content FROM (SELECT *, page_id % 30 % 9 AS n FROM pages)""",
     "fx_research": """SELECT c_custkey AS company_id, CASE c_custkey % 6
         WHEN 0 THEN '```json {"overall_external_risk_rating":"Low","early_warning_signals_if_any":[]} ```'
         WHEN 1 THEN '```json {"overall_external_risk_rating":" HIGH ","early_warning_signals_if_any":["a","b","c"]} ```'
@@ -210,6 +211,12 @@ VIEWS: dict[str, str] = {
         coalesce(sum(total_tax) FILTER (WHERE return_type = 'GSTR2A'), 0) AS available FROM fx_gst_returns GROUP BY company_id""",
     "cleaned": """SELECT company_id, reply, CASE WHEN json_valid(t) THEN t END AS j FROM (
         SELECT company_id, reply, trim(regexp_replace(reply, '```json|```', '', 'g')) AS t FROM fx_research)""",
+    "sound": f"""SELECT company_id, CASE WHEN length(coalesce(reply, '')) < 50 THEN {q(fv.RESEARCH_TOO_SHORT)} ELSE reply END AS reply,
+        CASE WHEN length(coalesce(reply, '')) < 50 THEN 'secondary_research' ELSE '' END AS quota_warnings FROM fx_research""",
+    "sound_rated": """SELECT company_id, quota_warnings, CASE WHEN j IS NULL THEN 'high' ELSE trim(lower(coalesce(json_extract_string(j, '$.overall_external_risk_rating'),
+        json_extract_string(j, '$.overall_risk'), 'medium'))) END AS risk_rating, CAST(json_extract(j, '$.early_warning_signals_if_any') AS VARCHAR[]) AS early
+        FROM (SELECT company_id, quota_warnings, CASE WHEN json_valid(t) THEN t END AS j FROM (
+            SELECT company_id, quota_warnings, trim(regexp_replace(reply, '```json|```', '', 'g')) AS t FROM sound))""",
     "rated": """SELECT company_id, CASE WHEN j IS NULL THEN 'high' ELSE trim(lower(coalesce(json_extract_string(j, '$.overall_external_risk_rating'),
         json_extract_string(j, '$.overall_risk'), 'medium'))) END AS risk_rating, CAST(json_extract(j, '$.early_warning_signals_if_any') AS VARCHAR[]) AS early FROM cleaned""",
     "listed": "SELECT company_id, count(h.matched_term) AS n_matches FROM fx_applications LEFT JOIN hits h USING (company_id) GROUP BY company_id",
@@ -231,9 +238,9 @@ VIEWS: dict[str, str] = {
     "override_row": "SELECT company_id, " + ", ".join(
         f"max(value) FILTER (WHERE field = '{f}') AS new_{f}" for f in ("debt_service_coverage", "current_ratio", "debt_to_equity", "revenue_growth", "net_worth", "revenue")
     ) + " FROM overrides GROUP BY company_id",
-    "cases": """SELECT f.*, gst_revenue, bank_credits, coalesce(discrepancy_pct, 0) AS discrepancy_pct, flag_one, flag_two, coalesce(v.risk_level, 'low') AS gst_risk, r.risk_rating, r.early,
+    "cases": """SELECT f.*, gst_revenue, bank_credits, coalesce(discrepancy_pct, 0) AS discrepancy_pct, flag_one, flag_two, coalesce(v.risk_level, 'low') AS gst_risk, r.risk_rating, r.early, coalesce(r.quota_warnings, '') AS quota_warnings,
         l.n_matches, l.n_matches > 0 AS blacklisted
-        FROM financials f LEFT JOIN verified v USING (company_id) LEFT JOIN rated r USING (company_id) LEFT JOIN listed l USING (company_id)""",
+        FROM financials f LEFT JOIN verified v USING (company_id) LEFT JOIN sound_rated r USING (company_id) LEFT JOIN listed l USING (company_id)""",
     "full_cases": """SELECT c.* REPLACE (
         CASE WHEN new_debt_service_coverage IS NULL THEN c.debt_service_coverage ELSE CAST(new_debt_service_coverage AS DECIMAL(20,6)) END AS debt_service_coverage,
         CASE WHEN new_current_ratio IS NULL THEN c.current_ratio ELSE CAST(new_current_ratio AS DECIMAL(20,6)) END AS current_ratio,
@@ -243,8 +250,8 @@ VIEWS: dict[str, str] = {
         FROM cases c LEFT JOIN override_row USING (company_id)""",
     **chain("c", "cases"),
     **chain("w", "full_cases"),
-    "ranked_hits": "SELECT *, row_number() OVER (PARTITION BY company_id, query_no ORDER BY hit_rank) AS rn FROM fx_search_hits",
-    "numbered_hits": "SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY query_no, rn) AS i FROM ranked_hits WHERE rn <= 2 AND query_no < 6",
+    "ranked_hits": "SELECT *, row_number() OVER (PARTITION BY company_id, kind, query_no ORDER BY hit_rank) AS rn FROM fx_search_hits",
+    "numbered_hits": "SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY query_no, rn) AS i FROM ranked_hits WHERE rn <= 2 AND kind = 'research'",
     "context": """SELECT company_id, substring(string_agg(concat('Source ', i, ': ', url, chr(10), substring(content, 1, 500)), concat(chr(10), chr(10)) ORDER BY i), 1, 6000) AS context,
         list(url ORDER BY i) AS sources FROM numbered_hits GROUP BY company_id""",
     "headers": """SELECT doc_id, coalesce(min(row_no) FILTER (WHERE n_text >= 2), 0) AS h FROM (
@@ -284,6 +291,9 @@ RESEARCH_ITEMS = f"""SELECT company_id, 'Research Findings' AS label, trim(regex
     UNION ALL SELECT company_id, {title('k')}, CASE WHEN json_type(j, concat('$.', k)) = 'ARRAY' THEN array_to_string(CAST(json_extract(j, concat('$.', k)) AS VARCHAR[]), ' | ')
         ELSE json_extract_string(j, concat('$.', k)) END FROM (SELECT company_id, j, unnest(json_keys(j)) AS k FROM cleaned WHERE j IS NOT NULL)"""
 VIEWS["research_items"] = RESEARCH_ITEMS
+VIEWS["sound_cleaned"] = """SELECT company_id, reply, CASE WHEN json_valid(t) THEN t END AS j FROM (
+    SELECT company_id, reply, trim(regexp_replace(reply, '```json|```', '', 'g')) AS t FROM sound)"""
+VIEWS["sound_items"] = RESEARCH_ITEMS.replace("FROM cleaned", "FROM sound_cleaned")
 
 
 def memo_sql() -> str:
@@ -318,8 +328,8 @@ def memo_sql() -> str:
     item(5, 5, "Fraud Flags", f"CASE WHEN flag_one IS NULL THEN {q(fv.NO_WARNINGS)} ELSE concat_ws(', ', flag_one, flag_two) END")
     item(6, 100, "References & Data Sources", "array_to_string(sources[1:5], ', ')")
     item(8, 0, "", q(fv.MEMO_DISCLAIMER))
-    financial = f"""SELECT company_id, decision, 5, item_no, {q(m[4])}, label, shown FROM shown_financials JOIN memo_cases USING (company_id)"""
-    research = f"SELECT company_id, decision, 7, 0, {q(m[6])}, label, content FROM research_items JOIN memo_cases USING (company_id)"
+    financial = f"""SELECT company_id, decision, 5, item_no, {q(m[4])}, label, shown FROM memo_financials JOIN memo_cases USING (company_id)"""
+    research = f"SELECT company_id, decision, 7, 0, {q(m[6])}, label, content FROM sound_items JOIN memo_cases USING (company_id)"
     notes = f"""SELECT company_id, decision, 8, note_no, {q(m[7])}, '', note FROM fx_notes JOIN memo_cases USING (company_id)
         UNION ALL SELECT company_id, decision, 8, 0, {q(m[7])}, '', {q(fv.MEMO_NO_NOTES)} FROM memo_cases WHERE company_id NOT IN (SELECT company_id FROM fx_notes)"""
     union = " UNION ALL ".join([*rows, financial, research, notes])
@@ -343,12 +353,20 @@ def styled(f: str, v: str) -> str:
 VIEWS["shown_financials"] = " UNION ALL ".join(
     f"SELECT company_id, {i} AS item_no, {q(f.replace('_', ' ').title())} AS label, {styled(f, ZERO_FIELDS.get(f, f))} AS shown FROM financials"
     for i, f in enumerate(STYLES))
+PLAIN_VALUES = {"collateral_type": "collateral_type", "sector_outlook": "'positive'", "delinquency_two_years": "'0'", "inquiries_six_months": "'0'",
+                "open_accounts": "'5'", "public_record": "'0'", "total_accounts": "'10'"}
+VIEWS["memo_financials"] = " UNION ALL ".join(
+    f"SELECT company_id, {i} AS item_no, {q(f.replace('_', ' ').title())} AS label, {PLAIN_VALUES.get(f) or styled(f, ZERO_FIELDS.get(f, f))} AS shown FROM financials"
+    for i, f in enumerate(["loan_amount_requested", "interest_rate", "collateral_type", "collateral_coverage", "sector_outlook", "debt_service_coverage",
+                           "current_ratio", "debt_to_equity", "revenue_growth", "net_worth", "delinquency_two_years", "inquiries_six_months", "open_accounts",
+                           "public_record", "total_accounts", "revolving_balance", "revolving_utilities", "total_current_balance",
+                           "total_revolving_credit_limit"]))
 
 CHECKS: dict[str, str] = {
     "csv_source": "SELECT company_id, return_id, return_type, CAST(taxable_value AS DOUBLE) AS taxable_value, CAST(total_tax AS DOUBLE) AS total_tax FROM fx_gst_returns",
     "records": "SELECT concat('{\"return_id\":', return_id, ',\"company_id\":', company_id, ',\"return_type\":\"', return_type, '\",\"taxable_value\":\"', CAST(taxable_value AS VARCHAR), '\"}') AS record FROM fx_gst_returns",
     "defaulter_union": "SELECT * FROM fx_defaulters",
-    "warehouse_load": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 1000",
+    "warehouse_load": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "file_preview": """SELECT doc_id, concat('Columns: label, value', chr(10), 'Sample rows:', chr(10), string_agg(concat(label, ' | ', value), chr(10) ORDER BY row_no)) AS preview
         FROM fx_cells WHERE row_no <= 3 GROUP BY doc_id""",
     "raw_preview": f"""SELECT doc_id, CAST(sheet_no AS BIGINT) AS sheet_no, CAST(row_no AS BIGINT) AS row_no, string_agg(value, {q(SEP)} ORDER BY col_no) AS filled
@@ -364,7 +382,9 @@ CHECKS: dict[str, str] = {
         UNION ALL SELECT l_orderkey, 0, l_linenumber, 2, 'price', CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), FALSE FROM lineitem""",
     "validate_columns": """SELECT 'gst' AS kind, count(*) AS n_rows, TRUE AS valid FROM fx_gst_returns UNION ALL SELECT 'bank', count(*), TRUE FROM fx_bank_txns
         UNION ALL SELECT 'bank as gst', count(*), FALSE FROM fx_bank_txns""",
-    "resolve_column": "SELECT company_id, CAST(bank_credits AS DOUBLE) AS bank_credits FROM bank_totals",
+    "resolve_column": """SELECT company_id, CAST(bank_credits AS DOUBLE) AS bank_credits, n_unusable_values FROM bank_totals JOIN (
+        SELECT company_id, count(*) FILTER (WHERE amount IS NOT NULL AND TRY_CAST(amount AS DECIMAL(28,6)) IS NULL) AS n_unusable_values
+        FROM fx_bank_txns GROUP BY company_id) USING (company_id)""",
     "credit_filter": "SELECT company_id, transaction_type, CAST(amount AS DOUBLE) AS amount FROM fx_bank_txns WHERE transaction_type IN ('NEFT Credit', 'CREDIT')",
     "onboarding_check": f"""SELECT company_id, concat_ws({q(SEP)}, CASE WHEN coalesce(company_name, '') = '' THEN 'company_name' END, CASE WHEN coalesce(cin, '') = '' THEN 'cin' END,
         CASE WHEN coalesce(pan, '') = '' THEN 'pan' END) AS missing, coalesce(company_name, '') <> '' AND coalesce(cin, '') <> '' AND coalesce(pan, '') <> '' AS complete FROM fx_applications""",
@@ -394,8 +414,12 @@ CHECKS: dict[str, str] = {
         WHERE md5(text) IN (SELECT md5(text) FROM conversations WHERE role = 'user' AND conv_id % 2 = 0)
         UNION ALL SELECT 'todo', NULL, md5(text), min(text) FROM conversations
         WHERE md5(text) NOT IN (SELECT md5(text) FROM conversations WHERE role = 'user' AND conv_id % 2 = 0) GROUP BY md5(text)""",
-    "gst_revenue": "SELECT company_id, CAST(gst_revenue AS DOUBLE) AS gst_revenue FROM gst_totals",
-    "bank_credits": "SELECT company_id, CAST(bank_credits AS DOUBLE) AS bank_credits FROM bank_totals",
+    "gst_revenue": """SELECT company_id, CAST(gst_revenue AS DOUBLE) AS gst_revenue, n_unusable_values FROM gst_totals JOIN (
+        SELECT company_id, count(*) FILTER (WHERE taxable_value IS NOT NULL AND TRY_CAST(taxable_value AS DECIMAL(28,6)) IS NULL) AS n_unusable_values
+        FROM fx_gst_returns GROUP BY company_id) USING (company_id)""",
+    "bank_credits": """SELECT company_id, CAST(bank_credits AS DOUBLE) AS bank_credits, n_unusable_values FROM bank_totals JOIN (
+        SELECT company_id, count(*) FILTER (WHERE amount IS NOT NULL AND TRY_CAST(amount AS DECIMAL(28,6)) IS NULL) AS n_unusable_values
+        FROM fx_bank_txns GROUP BY company_id) USING (company_id)""",
     "cross_verify": f"""SELECT company_id, CAST(gst_revenue AS DOUBLE) AS gst_revenue, CAST(bank_credits AS DOUBLE) AS bank_credits, discrepancy_pct,
         concat_ws({q(SEP)}, flag_one, flag_two) AS flags, risk_level, no_bank_data FROM verified""",
     "itc_reconcile": f"""SELECT company_id, CASE WHEN available > 0 THEN CAST(round(claimed, 2) AS DOUBLE) ELSE 0 END AS itc_claimed,
@@ -448,7 +472,12 @@ CHECKS: dict[str, str] = {
         CASE WHEN n >= 5 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM (
         SELECT s.*, (SELECT count(*) FROM turn_facts f WHERE f.doc_id = s.doc_id) AS n FROM scan s)""",
     "header_row": "SELECT doc_id, CAST(sheet_no AS BIGINT) AS sheet_no, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, header, value, is_text FROM promoted",
-    "topk_hits": "SELECT company_id, CAST(query_no AS BIGINT) AS query_no, rn, url FROM ranked_hits WHERE rn <= 2",
+    "legal_context": """SELECT company_id, substring(string_agg(concat('Source ', i, ': ', url, chr(10), substring(content, 1, 400)), concat(chr(10), chr(10)) ORDER BY i), 1, 5000) AS context,
+        array_to_string(list(url ORDER BY i), ' ; ') AS sources FROM (
+        SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY query_no, rn) AS i FROM ranked_hits WHERE rn <= 2 AND kind = 'legal') GROUP BY company_id""",
+    "whole_context": """SELECT company_id, string_agg(concat('Source ', i, ': ', url, chr(10), content), concat(chr(10), chr(10)) ORDER BY i) AS context,
+        array_to_string(list(url ORDER BY i), ' ; ') AS sources FROM numbered_hits GROUP BY company_id""",
+    "topk_hits": "SELECT company_id, kind, CAST(query_no AS BIGINT) AS query_no, rn, url FROM ranked_hits WHERE rn <= 2",
     "top_factors": "SELECT * FROM factors",
     "head_lists": f"SELECT company_id, " + ", ".join(f"array_to_string(sources[1:{n}], {q(SEP)}) AS first_{n}" for n in (5, 6, 8)) + " FROM context",
     "key_pages": """SELECT doc_id, page_no, scanned FROM (SELECT doc_id, page_no, count(*) OVER (PARTITION BY doc_id) AS n,
@@ -472,7 +501,7 @@ CHECKS: dict[str, str] = {
         f"SELECT company_id, {q(c.title())} AS parameter, CAST({c} AS BIGINT) AS score, CASE WHEN {c} >= 70 THEN 'Strong' WHEN {c} >= 50 THEN 'Adequate' ELSE 'Weak' END AS rating FROM c_five"
         for c in fv.FIVE_CS_WEIGHTS),
     "risk_band": "SELECT company_id, CASE WHEN default_probability > 50 THEN 'HIGH RISK' WHEN default_probability > 25 THEN 'MEDIUM RISK' ELSE 'LOW RISK' END AS band FROM fx_applications",
-    "research_rating": "SELECT company_id, risk_rating, CAST(CASE risk_rating WHEN 'low' THEN 90 WHEN 'high' THEN 30 ELSE 60 END AS BIGINT) AS character FROM rated",
+    "research_rating": "SELECT company_id, risk_rating, CAST(CASE risk_rating WHEN 'low' THEN 90 WHEN 'high' THEN 30 ELSE 60 END AS BIGINT) AS character FROM sound_rated",
     "infer_sector": "SELECT p_partkey, p_name, CASE WHEN regexp_matches(lower(p_name), 'textile|fabric|garment') THEN 'textile' ELSE 'MSME' END AS sector FROM part",
     "query_fanout": f"SELECT company_id, kind, CAST(query_no AS BIGINT) AS query_no, query FROM ({fanout_rows()})",
     "flatten_research": "SELECT company_id, label, content FROM research_items",
@@ -507,7 +536,7 @@ CHECKS: dict[str, str] = {
         FROM (SELECT *, company_id % 3 <> 0 AS k FROM fx_applications)""",
     "assess_borrowers": "SELECT company_id, company_name, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in fv.FIVE_CS_WEIGHTS) + """, CAST(rule_score AS DOUBLE) AS rule_score,
         CAST(ml_score AS DOUBLE) AS ml_score, CAST(score AS DOUBLE) AS score, decision, CAST(credit_limit AS DOUBLE) AS credit_limit, CAST(risk_premium AS DOUBLE) AS risk_premium,
-        discrepancy_pct, gst_risk, risk_rating, blacklisted, early_warnings, officer_review, reason_sentence, warnings_text FROM w_final""",
+        discrepancy_pct, gst_risk, risk_rating, blacklisted, early_warnings, officer_review, reason_sentence, warnings_text, quota_warnings FROM w_final""",
 }
 VIEWS["turn_text"] = "SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS text FROM fx_conversation_pages GROUP BY doc_id"
 VIEWS["turn_facts"] = fact_union("turn_text", "doc_id", "text")

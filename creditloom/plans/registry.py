@@ -288,6 +288,16 @@ def column_extract(spark, sf):
 
 @query("research_context")
 def research_context(spark, sf):
+    return research.build_context(fx.search_hits(spark, sf), **research.RESEARCH_SHAPE)
+
+
+@query("legal_context")
+def legal_context(spark, sf):
+    return research.build_context(fx.search_hits(spark, sf), **research.LEGAL_SHAPE)
+
+
+@query("whole_context")
+def whole_context(spark, sf):
     return research.build_context(fx.search_hits(spark, sf))
 
 
@@ -366,7 +376,7 @@ def header_row(spark, sf):
 
 @query("topk_hits")
 def topk_hits(spark, sf):
-    return research.topk_hits(fx.search_hits(spark, sf)).select("company_id", "query_no", "rn", "url")
+    return research.topk_hits(fx.search_hits(spark, sf), k=2).select("company_id", "kind", "query_no", "rn", "url")
 
 
 @query("top_factors")
@@ -442,7 +452,7 @@ def format_inr(spark, sf):
 
 def _long_financials(spark, sf):
     base = scoring.base_financials(fx.applications(spark, sf), fx.STATED)
-    kept = [*memo.FINANCIALS]
+    kept = sorted(memo.STYLED)
     return base.select("company_id", *[F.col(c).cast("double").alias(c) for c in kept]).unpivot("company_id", kept, "field", "value")
 
 
@@ -633,7 +643,8 @@ def assess_borrowers(spark, sf):
     done = assessment.assess(fx.applications(spark, sf), fx.gst_returns(spark, sf), _bank(spark, sf), fx.research_replies(spark, sf),
                              _defaulters(spark, sf), facts=_document_facts(spark, sf), stated=fx.STATED)
     return done.select("company_id", "company_name", *scoring.FACTORS, "rule_score", "ml_score", "score", "decision", "credit_limit", "risk_premium",
-                       "discrepancy_pct", "gst_risk", "risk_rating", "blacklisted", "early_warnings", "officer_review", "reason_sentence", "warnings_text")
+                       "discrepancy_pct", "gst_risk", "risk_rating", "blacklisted", "early_warnings", "officer_review", "reason_sentence", "warnings_text",
+                       "quota_warnings")
 
 
 @query("assess_with_model")

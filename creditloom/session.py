@@ -25,10 +25,13 @@ def local_session(cpus: str | int = "*", memory: str = "16g", app: str = "credit
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder on the storage named by ``spark.checkpoint.dir``; a temporary one only if that is unset."""
+    """A fresh folder on the storage named by ``spark.checkpoint.dir``; a temporary one only under a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return f"{root.rstrip('/')}/creditloom/{name}-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{tempfile.mkdtemp(prefix='creditloom-')}/{name}"
 
 

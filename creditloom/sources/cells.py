@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.rules import field_mask, field_mask_of
 
-MAX_SHEETS = 5
 # ``header_fields`` has a bit for every field the file's own header of the column feeds.
 CELL = "array<struct<col_no:int,header:string,header_fields:bigint,value:string,is_text:boolean>>"
 NUMERIC = ("byte", "short", "int", "bigint", "float", "double", "decimal", "tinyint", "smallint")
 
 
+def plain_text(c: Column, kind: str) -> Column:
+    """A value as text; floating-point numbers as digits without an exponent."""
+    if not kind.startswith(("float", "double")):
+        return c.cast("string")
+    digits = F.regexp_replace(c.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    return F.coalesce(F.when(c == 0, F.lit("0")), digits, c.cast("string"))
+
+
 def _cell_array(df: DataFrame, columns: Sequence[str], with_header: bool) -> Column:
     types = dict(df.dtypes)
     return F.array(*[
@@ -27,7 +34,7 @@ def _cell_array(df: DataFrame, columns: Sequence[str], with_header: bool) -> Col
             F.lit(i).alias("col_no"),
             F.lit(c if with_header else None).cast("string").alias("header"),
             F.lit(field_mask_of(c) if with_header else 0).cast("bigint").alias("header_fields"),
-            F.col(c).cast("string").alias("value"),
+            plain_text(F.col(c), types[c]).alias("value"),
             F.lit(not types[c].startswith(NUMERIC)).alias("is_text"),
         )
         for i, c in enumerate(columns)
@@ -62,9 +69,9 @@ def rows_from_cells(cells: DataFrame) -> DataFrame:
     return cells.groupBy("doc_id", "sheet_no", "row_no").agg(F.array_sort(F.collect_list(cell)).cast(CELL).alias("cells"))
 
 
-def leading_sheets(rows: DataFrame) -> DataFrame:
-    """Only the first sheets of a workbook are read."""
-    return rows.where(F.col("sheet_no") < MAX_SHEETS)
+def leading_sheets(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """The first ``most`` sheets of every workbook, or all of them."""
+    return rows if most is None else rows.where(F.col("sheet_no") < most)
 
 
 def _row_text(sep: str) -> Column:

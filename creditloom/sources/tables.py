@@ -20,20 +20,24 @@ def to_records(df: DataFrame, name: str = "record") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
 
 
-def load_or_fallback(spark: SparkSession, table: str, path: str, order_by: list[str], n: int = 1000) -> DataFrame:
-    """First ``n`` rows of a catalog table, or the whole file when there is no such table.
+def _first(df: DataFrame, order_by: list[str], n: int | None) -> DataFrame:
+    return df if n is None else df.orderBy(*order_by).limit(n)
 
-    The row limit is part of this loader's meaning; the order makes the chosen rows repeatable.
+
+def load_or_fallback(spark: SparkSession, table: str, path: str, order_by: list[str], n: int | None = None) -> DataFrame:
+    """A catalog table, or the file when there is no such table.
+
+    ``n`` asks for the first rows of the table by ``order_by``; without it the whole table is returned.
     """
     if spark.catalog.tableExists(table):
-        return spark.table(table).orderBy(*order_by).limit(n)
+        return _first(spark.table(table), order_by, n)
     return read_table(spark, path)
 
 
-def load_jdbc_or_fallback(spark: SparkSession, options: dict[str, str], path: str, order_by: list[str], n: int = 1000) -> DataFrame:
+def load_jdbc_or_fallback(spark: SparkSession, options: dict[str, str], path: str, order_by: list[str], n: int | None = None) -> DataFrame:
     """As ``load_or_fallback`` for an outside warehouse reached over JDBC; empty options mean the file."""
     if options:
-        return spark.read.format("jdbc").options(**options).load().orderBy(*order_by).limit(n)
+        return _first(spark.read.format("jdbc").options(**options).load(), order_by, n)
     return read_table(spark, path)
 
 

@@ -121,7 +121,8 @@ def test_label_rows_need_narrow_sheets_and_later_sheets_win(spark):
     assert facts(sheets.kv_extract(sheet(spark, wide))) == {}
     assert facts(sheets.kv_extract(sheet(spark, [["Revenue", 1]], [["Revenue", 2]], wide))) == {"revenue": 2.0}
     six = [[["Revenue", n]] for n in range(1, 7)]
-    assert facts(sheets.kv_extract(sheet(spark, *six))) == {"revenue": 5.0}
+    assert facts(sheets.kv_extract(sheet(spark, *six))) == {"revenue": 6.0}
+    assert facts(sheets.kv_extract(sheet(spark, *six), max_sheets=5)) == {"revenue": 5.0}
 
 
 def test_header_columns(spark):
@@ -156,3 +157,28 @@ def test_previews(spark):
     assert tuple(cells.shape_of(rows).select("n_rows", "n_cols").first()) == (30, 2)
     names = spark.createDataFrame([("a.PDF",), ("b.txt",)], "n string").select(cells.bare_preview(F.col("n"))).collect()
     assert [r[0] for r in names] == ["PDF document: a.PDF", "File: b.txt"]
+
+
+def test_numeric_cells_keep_their_size(spark):
+    from pyspark.sql import functions as F
+
+    from creditloom.sources import cells
+
+    values = [12_345_678.9, 25_000_000.0, 1e12, 0.0005, -0.25, 0.0, 7.0]
+    df = spark.createDataFrame([(i, "Total Revenue", v, int(v)) for i, v in enumerate(values)], "n long, label string, amount double, whole long")
+    got = {r["doc_id"]: r["value"] for r in sheets.kv_extract(
+        cells.to_sheet_rows(df, F.col("n"), F.lit(0), ["label", "amount"], with_header=False)).collect()}
+    assert got == dict(enumerate(values))
+    texts = [r["value"] for r in cells.to_cells(df, F.col("n"), F.lit(0), ["amount"]).orderBy("doc_id").collect()]
+    assert texts == ["12345678.9", "25000000", "1000000000000", "0.0005", "-0.25", "0", "7"]
+    whole = {r["doc_id"]: r["value"] for r in sheets.kv_extract(
+        cells.to_sheet_rows(df, F.col("n"), F.lit(0), ["label", "whole"], with_header=False)).collect()}
+    assert whole == {i: float(int(v)) for i, v in enumerate(values)}
+
+
+def test_matches_behind_characters_of_two_units_are_kept(spark):
+    rows = [(1, 1, "\U0001F600" * 20 + " total assets 500"), (2, 1, "\u0130" * 20 + " total assets 500"), (3, 1, "total assets 500")]
+    df = spark.createDataFrame(rows, "doc_id int, page_no int, text string")
+    for size in (1, 2, 64):
+        got = {(r["doc_id"], r["field"], r["value"]) for r in pages.regex_facts(df, pages_per_part=size).collect()}
+        assert got == {(r["doc_id"], r["field"], r["value"]) for r in pages.page_facts(df).collect()} and len(got) == 3

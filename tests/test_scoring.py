@@ -104,3 +104,31 @@ def test_book_properties(spark, sf):
     assert bad.count() == 0
     assert book.count() == fx.applications(spark, sf).count()
     assert scoring.missing_required(fx.applications(spark, sf)).where("NOT complete").count() > 0
+
+
+def test_unusable_values_do_not_end_the_job(spark):
+    from creditloom.operators import gst, scoring
+
+    returns = spark.createDataFrame([(1, "GSTR3B", "1,200.50", "x"), (1, "GSTR3B", "100.129", "5"), (2, "GSTR2A", None, None)],
+                                    "company_id long, return_type string, taxable_value string, total_tax string")
+    got = {r["company_id"]: (r["gst_revenue"], r["n_unusable_values"]) for r in gst.gst_revenue(returns).collect()}
+    assert {k: (None if v[0] is None else float(v[0]), v[1]) for k, v in got.items()} == {1: (100.13, 1), 2: (None, 0)}
+    assert gst.itc_reconcile(returns).count() == 2
+    bank = spark.createDataFrame([(1, "Credit", "abc"), (1, "Credit", "7.5")], "company_id long, transaction_type string, amount string")
+    assert [(float(r["bank_credits"]), r["n_unusable_values"]) for r in gst.bank_credits(bank).collect()] == [(7.5, 1)]
+    apps = spark.createDataFrame([(1, 5e6, 1e6, "land", 11.0, 1e7)],
+                                 "company_id long, loan_amount double, collateral_value double, collateral_type string, interest_rate double, turnover double")
+    facts = spark.createDataFrame([(1, "pdf", 1, "net_worth", 1e22), (1, "pdf", 1, "current_ratio", 1e15), (1, "pdf", 1, "debt_to_equity", 2.5)],
+                                  "company_id long, source_kind string, doc_order int, field string, value double")
+    row = scoring.merge_facts(scoring.base_financials(apps), facts).collect()[0]
+    assert (float(row["current_ratio"]), float(row["debt_to_equity"]), float(row["net_worth"]), row["n_unusable_facts"]) == (1.2, 2.5, 3e6, 2)
+
+
+def test_short_replies_are_replaced_before_rating(spark):
+    from creditloom.plans import assessment
+
+    replies = spark.createDataFrame([(1, "short"), (2, None), (3, '{"overall_external_risk_rating": "Low", "risk_justification": "sound business"}')],
+                                    "company_id long, reply string")
+    got = {r["company_id"]: (r["risk_rating"], r["quota_warnings"]) for r in assessment.ratings(replies).collect()}
+    failed = ("high \u2014 manual verification required", ["secondary_research"])
+    assert got == {1: failed, 2: failed, 3: ("low", [])}

@@ -156,13 +156,16 @@ def test_reply_cache(spark):
 
 
 def test_research_context(spark):
-    hits = spark.createDataFrame([(1, q, r, f"u{q}{r}", "c" * 600) for q in range(7) for r in range(3)], "company_id int, query_no int, hit_rank int, url string, content string")
-    row = research.build_context(hits).first()
+    asked = [("research", q) for q in range(6)] + [("legal", q) for q in range(3)]
+    hits = spark.createDataFrame([(1, kind, q, r, f"{kind[0] if kind == 'legal' else 'u'}{q}{r}", "c" * 600) for kind, q in asked for r in range(3)],
+                                 "company_id int, kind string, query_no int, hit_rank int, url string, content string")
+    row = research.build_context(hits, **research.RESEARCH_SHAPE).first()
     assert row.sources == [f"u{q}{r}" for q in range(6) for r in range(2)]
     whole = "\n\n".join(f"Source {i + 1}: {u}\n" + "c" * 500 for i, u in enumerate(row.sources))
     assert row.context == whole[:6000]
-    legal = research.build_context(hits, per_hit=400, total=5000, queries=3).first()
-    assert len(legal.sources) == 6 and legal.context.count("c" * 400) == 6
+    legal = research.build_context(hits, **research.LEGAL_SHAPE).first()
+    assert legal.sources == [f"l{q}{r}" for q in range(3) for r in range(2)] and legal.context.count("c" * 400) == 6
+    assert research.build_context(hits).first().context.count("c" * 600) == 12
 
 
 def test_note_parts_and_adjustment(spark):
