@@ -30,7 +30,7 @@ NO_RANK = 1 << 60
 CACHE_PIECES = 400_000
 CACHE_PIECE_CHARS = 64
 #: The code points that `\s` stands for in the tokenizer files.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class PieceCache(dict):
