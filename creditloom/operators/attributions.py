@@ -8,7 +8,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom import fixedvalues as fv
@@ -94,21 +94,30 @@ def attributions(features: DataFrame, model: PipelineModel, path: str, key: str
     return wide.unpivot(key, fv.MODEL_FEATURES, "feature", "impact").withColumn("impact", F.round("impact", 4))
 
 
+def _ranked(items: str, kind: str, sign: int, k: int) -> Column:
+    by = F.array_sort(F.transform(items, lambda x: F.struct((x.impact * sign).alias("s"), x.ord.alias("ord"), x.feature.alias("feature"), x.impact.alias("impact"))))
+    return F.transform(F.slice(by, 1, k), lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), (i + 1).alias("rank"), x.feature.alias("feature"), x.impact.alias("impact")))
+
+
 def top_factors(attr: DataFrame, k: int = 3, key: str = "loan_id") -> DataFrame:
     """The ``k`` largest and ``k`` smallest impacts per row, ties in feature order.
 
     A row has one impact per feature, so the collected lists hold at most twelve entries.
     """
     order = F.array_position(F.array(*[F.lit(f) for f in fv.MODEL_FEATURES]), F.col("feature")).cast("int").alias("ord")
-    item = F.struct("impact", order, "feature")
-    lists = attr.groupBy(key).agg(F.collect_list(item).alias("_all"))
-
-    def ranked(kind: str, sign: int):
-        by = F.array_sort(F.transform("_all", lambda x: F.struct((x.impact * sign).alias("s"), x.ord.alias("ord"), x.feature.alias("feature"), x.impact.alias("impact"))))
-        return F.transform(F.slice(by, 1, k), lambda x, i: F.struct(
-            F.lit(kind).alias("kind"), (i + 1).alias("rank"), x.feature.alias("feature"), x.impact.alias("impact")))
-
-    return lists.select(key, F.inline(F.concat(ranked("risk", -1), ranked("positive", 1))))
+    lists = attr.groupBy(key).agg(F.collect_list(F.struct("impact", order, "feature")).alias("_all"))
+    return lists.select(key, F.inline(F.concat(_ranked("_all", "risk", -1, k), _ranked("_all", "positive", 1, k))))
+
+
+def factor_chart_of_wide(wide: DataFrame, k: int = 3, key: str = "loan_id") -> DataFrame:
+    """``factor_chart`` of the top factors, straight from the wide contributions: sorted in the row, without a shuffle."""
+    items = F.array(*[F.struct(F.round(f, 4).alias("impact"), F.lit(i + 1).alias("ord"), F.lit(f).alias("feature")) for i, f in enumerate(fv.MODEL_FEATURES)])
+    lists = wide.select(key, items.alias("_all")).select(key, _ranked("_all", "risk", -1, k).alias("_risk"), _ranked("_all", "positive", 1, k).alias("_good"))
+    only_risk = F.filter("_risk", lambda r: ~F.exists("_good", lambda p: p.feature == r.feature))
+    chart = F.transform(F.concat(only_risk, F.col("_good")), lambda x: F.struct(
+        x.feature.alias("feature"), x.impact.alias("impact"), F.when(x.impact > 0, "Risk").otherwise("Positive").alias("type")))
+    return lists.select(key, F.inline(chart))
 
 
 def factor_chart(factors: DataFrame, key: str = "loan_id") -> DataFrame:

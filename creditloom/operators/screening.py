@@ -70,6 +70,15 @@ def blacklist_matches(applications: DataFrame, defaulters: DataFrame) -> DataFra
         "company_id", F.col("term").alias("matched_term"), "name", "bank", "outstanding_amount", "suit_filed")
 
 
+def hit_counts(applications: DataFrame, defaulters: DataFrame) -> DataFrame:
+    """``match_counts`` of ``blacklist_matches`` without its rows: the lists' rows are counted per name, summed per
+    term that a name contains, and then per company."""
+    terms = search_terms(applications)
+    names = defaulters.where(F.col("name").isNotNull()).groupBy(F.lower("name").alias("name")).agg(F.count(F.lit(1)).alias("_rows"))
+    per_term = substring_pairs(terms, names.select("name")).join(names, "name").groupBy("term").agg(F.sum("_rows").alias("_rows"))
+    return terms.join(per_term, "term").groupBy("company_id").agg(F.sum("_rows").alias("n_matches")).withColumn("blacklisted", F.col("n_matches") > 0)
+
+
 def match_counts(matches: DataFrame) -> DataFrame:
     """Number of matches of the companies that have any."""
     return matches.groupBy("company_id").agg(F.count(F.lit(1)).alias("n_matches")).withColumn("blacklisted", F.col("n_matches") > 0)

@@ -53,7 +53,7 @@ def assemble(applications: DataFrame, gst: DataFrame, bank: DataFrame, replies:
         financials = scoring.merge_facts(financials, facts)
     listed = None
     if defaulters is not None:
-        listed = screening.match_counts(screening.blacklist_matches(applications, defaulters))
+        listed = screening.hit_counts(applications, defaulters)
     return scoring.assemble_case(financials, g.cross_verify(gst, bank), ratings(replies), listed, ml)
 
 

@@ -658,5 +658,5 @@ def assess_with_model(spark, sf):
 @query("applicant_factors")
 def applicant_factors(spark, sf):
     features = scoring.model_features(scoring.base_financials(fx.applications(spark, sf)))
-    impacts = attributions.attributions(features, *_model(spark, sf), key="company_id")
-    return attributions.factor_chart(attributions.top_factors(impacts, key="company_id"), key="company_id")
+    wide = attributions.attributions_wide(features, *_model(spark, sf), key="company_id")
+    return attributions.factor_chart_of_wide(wide, key="company_id")

@@ -124,3 +124,17 @@ def test_fallback_scores(spark):
     assert (got[1].default_probability, got[1].recommendation, got[1].risk_factors) == (20.0, "LOW RISK", None)
     assert (got[2].default_probability, got[2].ml_score, got[2].recommendation) == (35.0, 65.0, "MEDIUM RISK")
     assert [f.feature for f in got[2].risk_factors] == ["interest_rate", "debt_to_income", "public_record"]
+
+
+def test_chart_in_the_row_equals_the_long_one(spark):
+    import random
+
+    from creditloom import fixedvalues as fv
+
+    chance = random.Random(1)
+    rows = [(i, *[chance.choice([-0.2, -0.1, 0.0, 0.1, 0.30004]) for _ in fv.MODEL_FEATURES]) for i in range(30)]
+    wide = spark.createDataFrame(rows, "loan_id int, " + ", ".join(f"{f} double" for f in fv.MODEL_FEATURES))
+    long = wide.unpivot("loan_id", fv.MODEL_FEATURES, "feature", "impact").withColumn("impact", F.round("impact", 4))
+    want = attributions.factor_chart(attributions.top_factors(long)).select("loan_id", "feature", "impact", "type").collect()
+    got = attributions.factor_chart_of_wide(wide).select("loan_id", "feature", "impact", "type").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))

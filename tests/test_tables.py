@@ -176,3 +176,11 @@ def test_note_parts_and_adjustment(spark):
     replies = spark.createDataFrame([(1, '```json {"score_adjustment": 20}```'), (2, "nope"), (3, '{"score_adjustment": -200}'), (4, "{}")], "company_id int, reply string")
     got = {r.company_id: (r.adjusted_score, r.raw_response) for r in research.qualitative_adjust(scores, replies).collect()}
     assert got == {1: (100.0, None), 2: (90.0, "nope"), 3: (0.0, None), 4: (90.0, None), 5: (90.0, None)}
+
+
+def test_hit_counts_equal_counted_matches(spark):
+    apps = spark.createDataFrame([(1, "Acme", "Bob, Al"), (2, "Zed", ""), (3, "acme", None)], "company_id int, company_name string, promoter_names string")
+    lists = spark.createDataFrame([("Acme Ltd", "b"), ("ACME ltd", "c"), ("Bobby", "d"), (None, "e"), ("x", "f")], "name string, bank string").selectExpr(
+        "name", "bank", "'1' AS outstanding_amount", "'y' AS suit_filed")
+    want = sorted(map(tuple, screening.match_counts(screening.blacklist_matches(apps, lists)).select("company_id", "n_matches", "blacklisted").collect()))
+    assert want and sorted(map(tuple, screening.hit_counts(apps, lists).select("company_id", "n_matches", "blacklisted").collect())) == want
