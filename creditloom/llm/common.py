@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,7 +108,8 @@ def key_bits(keys: DataFrame, *columns: str) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()]})
 
     slots = keys.select(F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)).alias("slot")).repartition(4)
-    return np.bitwise_or.reduce([np.frombuffer(p["bits"], np.uint8) for p in slots.mapInArrow(run, "bits binary").collect()])
+    parts = slots.mapInArrow(run, "bits binary").collect()
+    return np.bitwise_or.reduce([np.zeros(FILTER_BITS // 8, np.uint8), *[np.frombuffer(p["bits"], np.uint8) for p in parts]])
 
 
 def has_bit(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
@@ -129,3 +131,40 @@ def passing(rows: DataFrame, bits: np.ndarray, columns: list[str], wanted: bool)
     if wanted:
         return known.where("_slot is not null").mapInArrow(run, rows.schema)
     return known.where("_slot is not null").mapInArrow(run, rows.schema).unionByName(rows.where(F.col(columns[0]).isNull()))
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Integers as compressed byte planes."""
+    v = np.ascontiguousarray(values, "<u8")
+    return zstandard.compress(v.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.uint64)
+
+
+def bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of the equal hash ranges begins in sorted keys."""
+    return np.searchsorted(keys >> np.uint64(32), (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
+
+
+def squeezed(rows: DataFrame) -> DataFrame:
+    """Rows whose last column, a text, is replaced by ``packed``: its UTF-8 bytes compressed one by one."""
+    names = rows.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = pa.array([press.compress(t.as_buffer()) for t in batch.columns[-1]], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*names, "packed"])
+
+    return rows.mapInArrow(run, ", ".join([*[f"`{n}` {t}" for n, t in rows.dtypes[:-1]], "packed binary"]))

@@ -1,7 +1,6 @@
 """Jaccard join on word shingles by T-occurrence search, and the groups that its links form.
 
-Shingles are ordered by frequency, rarest first. Frequencies come from a count sketch of fixed size over all texts; any
-order gives the same links, a good one short lists. Of a text with n shingles every partner shares at least
+Shingles are ordered by their frequency over all texts, rarest first. Of a text with n shingles every partner shares at least
 ceil(0.75 n), so it shares one of the first n - ceil(0.75 n) + 1: these short lists are merged, the long lists of the
 other shingles are only probed. The search has two steps, so that a group of many near copies is never expanded into
 its pairs:
@@ -27,22 +26,25 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import WordHashes, connected, stored, words_lower
+from creditloom.llm.common import (LOWER_BYTES, WordHashes, bounds, connected, key_bits, pack, pack_sorted, passing, squeezed,
+                                   stored, unpack, unpack_sorted)
 
 SHINGLE = 5
-SKETCH = 1 << 18
+SHORT = np.uint64(16)
+BLOCK_BYTES = 4 << 20
 BLOCK = 4096
 BAND = 1.1
 _hashes = WordHashes()
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of a text's five-word shingles; with fewer words one hash of them all."""
-    words = words_lower(text) if text else []
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the five-word shingles of a text in UTF-8; with fewer words one hash of them all."""
+    words = text.translate(LOWER_BYTES).split()
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
@@ -66,78 +68,71 @@ def _batch(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def _profiles(keyed: DataFrame) -> DataFrame:
-    """``id, n, s1, s2`` per row (the last two identify its shingle set), and one row with a count sketch per task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["id", "n", "s1", "s2", "sketch"], [pa.int64()] * 4 + [pa.binary()]
-        sketch, slots, held = np.zeros(SKETCH, np.int64), [np.empty(0, np.int64)], 0
-        for batch in batches:
-            rows = []
-            for doc, text in zip(*batch.columns, strict=True):
-                s = shingles(text.as_py())
-                slots.append((s & np.uint64(SKETCH - 1)).astype(np.int64))
-                held += len(s)
-                if held > SKETCH:
-                    sketch += np.bincount(np.concatenate(slots), minlength=SKETCH)
-                    slots, held = [], 0
-                d = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
-                rows.append((doc.as_py(), len(s), int(d[0]), int(d[1]), None))
-            yield _batch(names, types, rows)
-        sketch += np.bincount(np.concatenate([*slots, np.empty(0, np.int64)]), minlength=SKETCH)
-        yield _batch(names, types, [(None, None, None, None, sketch.astype(np.int32).tobytes())])
-
-    return keyed.mapInArrow(run, "id long, n long, s1 long, s2 long, sketch binary")
-
-
-def _sum_sketches(sketches: DataFrame) -> np.ndarray:
-    """The sum of all sketches; four partial sums of fixed size (2 MB) reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                total += np.frombuffer(x.as_py(), np.int32)
-        yield _batch(["sketch"], [pa.binary()], [(total.tobytes(),)])
-
-    parts = sketches.repartition(4).mapInArrow(run, "sketch binary").collect()
-    return np.sum([np.frombuffer(p["sketch"], np.int64) for p in parts], axis=0)
-
-
-def _postings(keyed: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``h, id``: the rarest shingles of every row, enough that any partner shares one."""
-    shared = keyed.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
-        for batch in batches:
-            ids, texts = batch.columns
-            sizes, parts = [], []
-            for text in texts:
-                s = shingles(text.as_py())
-                take = len(s) - least_shared(len(s)) + 1 if len(s) else 0
-                order = np.lexsort((s, often[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))
-                parts.append(s[order[:take]])
-                sizes.append(take)
-            h = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
-            owner = ids.take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            for at in range(0, len(h), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(h[at:at + (1 << 18)]), owner.slice(at, 1 << 18)], names=["h", "id"])
-
-    return keyed.where("id is not null").mapInArrow(run, "h long, id long")
-
-
-def _sets(keyed: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.columns
-            yield pa.RecordBatch.from_arrays([ids, pa.array([shingles(t.as_py()).tobytes() for t in texts], pa.binary())], names=["id", "own"])
-
-    return keyed.mapInArrow(run, "id long, own binary")
+def _rare_first(keyed: DataFrame) -> DataFrame:
+    """One row per text (kind 0: ``id, n, s1, s2``, the last two naming its shingle set) and one per posting (kind 1:
+    ``h, id``): the rarest shingles of a text, enough that any partner shares one, without those no other text has.
+    Texts with postings bring their sorted shingles along.
+
+    Texts are dealt into blocks. A block sends its distinct shingles with counts to hash ranges, and each range answers
+    with totals in the order of the block's own list. Counts go by the upper 48 bits of a hash: two shingles that share
+    them look more frequent than they are, which makes lists longer but loses nothing.
+    """
+    spark = keyed.sparkSession
+    size = keyed.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    blocks, ranges = max(1, -(-size // BLOCK_BYTES)), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = squeezed(keyed.select("id", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), F.coalesce("text", F.lit("")).alias("text")))
+
+    def sets_of(table: pa.Table) -> list[np.ndarray]:
+        return [shingles(zstandard.decompress(t)) for t in table["packed"].to_pylist()]
+
+    def short(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([np.empty(0, np.uint64), *sets]) >> SHORT, return_counts=True)
+
+    def send(table: pa.Table) -> pa.Table:
+        keys, counts = short(sets_of(table))
+        at, out = bounds(keys << SHORT, ranges), []
+        for r in range(ranges):
+            a, b = at[r], at[r + 1]
+            if a < b:
+                out.append((r, table["block"][0].as_py(), pack_sorted(keys[a:b]), pack(counts[a:b])))
+        return pa.Table.from_batches([_batch(["range", "block", "keys", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], out)])
+
+    def add(table: pa.Table) -> pa.Table:
+        lists = [unpack_sorted(x) for x in table["keys"].to_pylist()]
+        counts = np.concatenate([unpack(x) for x in table["counts"].to_pylist()])
+        keys, at = np.unique(np.concatenate(lists), return_inverse=True)
+        totals = np.bincount(at, counts, len(keys)).astype(np.uint64)[at]
+        parts = np.split(totals, np.cumsum([len(x) for x in lists])[:-1])
+        out = [(b, r, pack(t)) for b, r, t in zip(table["block"].to_pylist(), table["range"].to_pylist(), parts, strict=True)]
+        return pa.Table.from_batches([_batch(["block", "range", "totals"], [pa.int64(), pa.int64(), pa.binary()], out)])
+
+    def choose(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        sets = sets_of(texts)
+        keys, _ = short(sets)
+        often = np.concatenate([np.empty(0, np.uint64), *[unpack(x) for x in answers.sort_by("range")["totals"].to_pylist()]])
+        out: list[tuple] = []
+        for doc, s in zip(texts["id"].to_pylist(), sets, strict=True):
+            count = often[np.searchsorted(keys, s >> SHORT)]
+            take = len(s) - least_shared(len(s)) + 1 if len(s) and doc is not None else 0
+            first = np.lexsort((s, count))[:take]
+            first = s[first[count[first] > 1]].view(np.int64).tolist()
+            d = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
+            out.append((0, doc, len(s), int(d[0]), int(d[1]), None, s.tobytes() if first else None))
+            out += [(1, doc, None, None, None, h, None) for h in first]
+        names = ["kind", "id", "n", "s1", "s2", "h", "own"]
+        return pa.Table.from_batches([_batch(names, [pa.int32(), *[pa.int64()] * 5, pa.binary()], out)])
+
+    lists = rows.groupBy("block").applyInArrow(send, "range long, block long, keys binary, counts binary")
+    answers = lists.groupBy("range").applyInArrow(add, "block long, range long, totals binary")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        choose, "kind int, id long, n long, s1 long, s2 long, h long, own binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``u, v`` whose shingle sets reach the similarity, by binary probes of the smaller set into the larger."""
+    pairs = stored(pairs, "jaccard-pairs")
+    ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    sets = passing(sets, key_bits(ends, "id"), ["id"], True)
     both = (
         pairs.join(sets.select(F.col("id").alias("u"), F.col("own").alias("a")), "u")
         .join(sets.select(F.col("id").alias("v"), F.col("own").alias("b")), "v").select("u", "v", "a", "b")
@@ -228,22 +223,20 @@ def _search(lists: DataFrame, comps: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` for every row."""
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    profiles = stored(_profiles(keyed), "jaccard-profiles")
-    counts = _sum_sketches(profiles.where("sketch is not null").select("sketch"))
-    rows = profiles.where("sketch is null").select("id", "n", "s1", "s2")
+    made = stored(_rare_first(keyed), "jaccard-texts")
+    rows, postings = made.where("kind = 0"), made.where("kind = 1").select("h", "id")
     same = rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-    named = stored(rows.join(same, ["s1", "s2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")), "jaccard-nodes")
-    postings = stored(_postings(keyed, counts), "jaccard-postings")
+    node = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).otherwise(F.col("id"))
+    named = stored(rows.select("id", "n", "s1", "s2").join(same, ["s1", "s2"], "left").select("id", "n", node.alias("rep")), "jaccard-nodes")
 
     def repeated(p: DataFrame) -> DataFrame:
         return p.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("h")
 
     node_of = named.where("n > 0 and id is not null").select("id", "n", "rep")
-    lists = postings.join(repeated(postings), "h").join(node_of, "id").select("h", F.col("rep").alias("id"), "n").distinct()
+    lists = postings.join(node_of, "id").select("h", F.col("rep").alias("id"), "n").distinct()
     lists = stored(lists, "jaccard-collapsed")
     lists = stored(lists.join(repeated(lists), "h"), "jaccard-lists")
-    wanted = lists.select("id").distinct()
-    sets = stored(_sets(keyed.join(wanted, "id").select("id", "text")), "jaccard-sets")
+    sets = rows.where("own is not null").select("id", "own")
     first = lists.groupBy("h").agg(F.min(F.struct("id", "n")).alias("first"))
     stars = (
         lists.join(first, "h").where("id <> first.id and n * 4 >= first.n * 3 and first.n * 4 >= n * 3")

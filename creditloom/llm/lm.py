@@ -18,7 +18,6 @@ unknown token is 1.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import LOWER_BYTES, WordHashes, stored
+from creditloom.llm.common import LOWER_BYTES, WordHashes, bounds, pack, pack_sorted, squeezed, stored, unpack, unpack_sorted
 
 LAMBDA = 0.6
 FOLDS, HELD_OUT = 7, 2
@@ -37,25 +36,6 @@ _hashes = WordHashes()
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Integers as compressed byte planes."""
-    v = np.ascontiguousarray(values, "<u8")
-    return zstandard.compress(v.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
-
-
-def _pack_sorted(keys: np.ndarray) -> bytes:
-    return _pack(np.diff(keys, prepend=np.uint64(0)))
-
-
-def _unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(blob), dtype=np.uint64)
-
-
 class Block:
     """The tokens of a block's texts, its distinct words and pairs as sorted hashes, and their counts in training texts."""
 
@@ -89,11 +69,6 @@ class Block:
         return [(WORD, self.words, self.word_counts), (PAIR, self.pairs, self.pair_counts)]
 
 
-def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each of the equal hash ranges begins in sorted keys."""
-    return np.searchsorted(keys >> np.uint64(32), (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
-
-
 class Automaton:
     """States, arcs and failure arcs that the texts of one block can reach. State 0 is the root, state 1 the start."""
 
@@ -140,14 +115,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n_texts = rows.where(~F.col("held_out")).count()
     kind = dict(rows.dtypes)["id"]
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            texts = pa.array([press.compress(t.as_buffer()) for t in batch.column(3)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts], names=["id", "held_out", "block", "packed"])
-
     # Texts are dealt out twice; compressed they take half the room of a shuffle's own compression.
-    rows = rows.select("id", "held_out", "block", "text").mapInArrow(squeeze, f"id {kind}, held_out boolean, block long, packed binary")
+    rows = squeezed(rows.select("id", "held_out", "block", "text"))
 
     def block_of(table: pa.Table) -> Block:
         return Block([zstandard.decompress(t) for t in table["packed"].to_pylist()], ~table["held_out"].to_numpy())
@@ -157,23 +126,23 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         out = []
         block = block_of(table)
         for kind, keys, counts in block.lists():
-            at = _bounds(keys, ranges)
+            at = bounds(keys, ranges)
             for r in range(ranges):
                 a, b = at[r], at[r + 1]
                 if a < b:
-                    out.append((kind, r, number, _pack_sorted(keys[a:b]), _pack(counts[a:b])))
+                    out.append((kind, r, number, pack_sorted(keys[a:b]), pack(counts[a:b])))
         return pa.table({n: pa.array(c, t) for n, c, t in zip(
             ("kind", "range", "block", "keys", "counts"), zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
     def add(table: pa.Table) -> pa.Table:
         kind, r = table["kind"][0].as_py(), table["range"][0].as_py()
-        lists = [_unpack_sorted(b) for b in table["keys"].to_pylist()]
-        counts = np.concatenate([_unpack(b) for b in table["counts"].to_pylist()])
+        lists = [unpack_sorted(b) for b in table["keys"].to_pylist()]
+        counts = np.concatenate([unpack(b) for b in table["counts"].to_pylist()])
         keys, at = np.unique(np.concatenate(lists), return_inverse=True)
         totals = np.bincount(at, counts, len(keys)).astype(np.uint64)
         parts = np.split(totals[at], np.cumsum([len(x) for x in lists])[:-1])
         blocks = table["block"].to_pylist()
-        answers = [(b, kind, r, _pack(t), None, None) for b, t in zip(blocks, parts, strict=True)]
+        answers = [(b, kind, r, pack(t), None, None) for b, t in zip(blocks, parts, strict=True)]
         if kind == WORD:  # what a range knows of N and V
             answers.append((-1, kind, r, None, int(totals.sum()), int((totals > 0).sum())))
         return pa.table({n: pa.array(c, t) for n, c, t in zip(
@@ -190,7 +159,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         block = block_of(texts)
         parts: dict[int, list[np.ndarray]] = {WORD: [], PAIR: []}
         for row in totals.sort_by([("kind", "ascending"), ("range", "ascending")]).to_pylist():
-            parts[row["kind"]].append(_unpack(row["totals"]))
+            parts[row["kind"]].append(unpack(row["totals"]))
         words, pairs = (np.concatenate(parts[k]) for k in (WORD, PAIR))
         model = Automaton(block, words, pairs, n, v, n_texts)
         known, base, scores, sizes, begin = [], [], [], [], 0
