@@ -1,21 +1,26 @@
 """Removal of repeated runs of lines.
 
-A hash rolls over the hashes of the last ``WINDOW`` lines; where it falls on a multiple of ``DIVISOR`` a chunk ends. Ends
+``dedup_runs`` does the whole job: every run of ``MIN_LINES`` or more lines with a visible character that stands earlier in the
+corpus (by id, then place) is removed. Such a run is the union of its windows of two visible lines, with the blank lines between
+them, so each window is a unit of its own: hashed, and where the hash repeats compared byte by byte with its first occurrence.
+A window that overlaps its own first occurrence (one line three times in a row) is no repeat. Blank lines at the ends of a run stay.
+
+``dedup`` has chunks as its units and finds only repeats that fill a chunk: a hash rolls over the hashes of the last ``WINDOW`` lines; where it falls on a multiple of ``DIVISOR`` a chunk ends. Ends
 depend on nearby lines alone, so inserting or deleting lines elsewhere moves no other boundary. Chunks of at least
 ``MIN_LINES`` lines with a visible character that occur more than once in the whole corpus are compared byte by byte
 with their first occurrence (smallest id, then place) and removed when equal.
 
-Only chunk hashes are grouped, after pre-aggregation; only chunks whose hash repeats travel with their bytes, in a plain
-join that adaptive execution splits when one chunk is very common, and only texts that lose lines are shuffled.
+In both, only unit hashes are grouped, after pre-aggregation; only units whose hash repeats travel with their bytes, in a plain
+join that adaptive execution splits when one unit is very common, and only texts that lose lines are shuffled.
 
-Defined results: a null text is treated as empty and stays null; texts without repeated chunks stay byte for byte. Rows that
+Defined results: a null text is treated as empty and stays null; texts without repeated units stay byte for byte. Rows that
 repeat id and text count as one document and get equal results; rows without id keep their lines. A text may become empty; its row stays. Extra columns
 stay; names beginning with ``_l_`` are reserved. A column ``n_chars`` is not touched here.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +60,14 @@ def chunks(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return lines, list(zip([0, *ends[:-1]], ends, strict=True))
 
 
+def windows(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The lines, and first and last line (exclusive) of every two visible lines that follow each other."""
+    lines = text.split("\n")
+    seen = [i for i, x in enumerate(lines) if x.strip()]
+    return lines, [(a, b + 1) for a, b in zip(seen, seen[1:])]
+
+
+Units = Callable[[str], tuple[list[str], list[tuple[int, int]]]]
 CHUNK_SCHEMA = "_l_id long, _l_hash long, _l_place long, _l_chunk binary, _l_bytes binary"
 
 
@@ -62,15 +75,15 @@ def _eligible(lines: list[str], a: int, b: int) -> bool:
     return b - a >= MIN_LINES and sum(1 for x in lines[a:b] if x.strip()) >= MIN_LINES
 
 
-def _chunk_rows(keyed: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """All eligible chunks by hash; with ``bits`` only those whose hash the bit map may hold, with their bytes."""
+def _chunk_rows(keyed: DataFrame, bits: np.ndarray | None = None, units: Units = chunks) -> DataFrame:
+    """All eligible units by hash; with ``bits`` only those whose hash the bit map may hold, with their bytes."""
     shared = None if bits is None else keyed.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for doc, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines, spans = chunks(text)
+                lines, spans = units(text)
                 for k, (a, b) in enumerate(spans):
                     if _eligible(lines, a, b):
                         raw = "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")
@@ -88,15 +101,20 @@ def _chunk_rows(keyed: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
     return keyed.select("_l_id", "_l_hash", "_l_text").mapInArrow(run, CHUNK_SCHEMA)
 
 
-def removals(keyed: DataFrame) -> DataFrame:
-    """``_l_id, _l_hash, _l_drop``: numbers of the chunks to remove, per text that loses any."""
+def _window_rows(keyed: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    return _chunk_rows(keyed, bits, windows)
+
+
+def removals(keyed: DataFrame, rows: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """``_l_id, _l_hash, _l_drop``: numbers of the units to remove, per text that loses any."""
+    rows = rows or _chunk_rows
     key = F.struct("_l_id", "_l_hash", "_l_place")
     repeated = (
-        _chunk_rows(keyed).groupBy("_l_chunk").agg(F.min(key).alias("_l_first"), F.max(key).alias("_l_last"))
+        rows(keyed).groupBy("_l_chunk").agg(F.min(key).alias("_l_first"), F.max(key).alias("_l_last"))
         .where("_l_first <> _l_last").select("_l_chunk", "_l_first")
     )
     repeated = stored(repeated, "lines-repeated")
-    bodies = _chunk_rows(keyed, key_bits(repeated, "_l_chunk")).join(repeated, "_l_chunk")
+    bodies = rows(keyed, key_bits(repeated, "_l_chunk")).join(repeated, "_l_chunk")
     is_first = F.struct("_l_id", "_l_hash", "_l_place").eqNullSafe(F.col("_l_first"))
     firsts = bodies.where(is_first).groupBy("_l_chunk").agg(F.first("_l_bytes").alias("_l_kept"))
     again = bodies.where(~is_first).join(firsts, "_l_chunk").where(F.col("_l_bytes") == F.col("_l_kept"))
@@ -105,10 +123,29 @@ def removals(keyed: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with repeated chunks removed from ``text_col``, and ``n_lines`` and ``n_lines_removed``."""
+    return _without(docs, id_col, text_col, _chunk_rows, chunks)
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with all repeated runs of lines removed from ``text_col``, and ``n_lines`` and ``n_lines_removed``."""
+    return _without(docs, id_col, text_col, _window_rows, windows)
+
+
+def _gone_lines(lines: list[str], spans: list[tuple[int, int]], drop: list[int]) -> set[int]:
+    units, gone = set(drop), set()
+    for k in drop:
+        a, b = spans[k]
+        first = spans[k - 1] if k and k - 1 not in units else (0, 0)
+        if first[1] <= a or lines[a:b] != lines[first[0]:first[1]]:
+            gone.update(range(a, b))
+    return gone
+
+
+def _without(docs: DataFrame, id_col: str, text_col: str, unit_rows: Callable[..., DataFrame], units: Units) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select("*", F.col(f"`{id_col}`").cast("long").alias("_l_id"), F.xxhash64(text).alias("_l_hash"))
     key = ["_l_id", "_l_hash"]
-    drops = stored(removals(rows.where("_l_id is not null").select(*key, text.alias("_l_text"))), "lines-drops")
+    drops = stored(removals(rows.where("_l_id is not null").select(*key, text.alias("_l_text")), unit_rows), "lines-drops")
     bits = key_bits(drops, *key)
     hit = passing(rows, bits, key, True).join(drops, key, "left")
     joined = hit.unionByName(passing(rows, bits, key, False).withColumn("_l_drop", F.lit(None).cast("array<bigint>")))
@@ -127,9 +164,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     n_lines.append(text.count("\n") + 1 if text else 0)
                     n_removed.append(0)
                     continue
-                lines, spans = chunks(text)
-                gone = set(drop)
-                left = [x for k, (a, b) in enumerate(spans) if k not in gone for x in lines[a:b]]
+                lines, spans = units(text)
+                gone = _gone_lines(lines, spans, drop)
+                left = [x for i, x in enumerate(lines) if i not in gone]
                 texts.append("\n".join(left))
                 n_lines.append(len(lines))
                 n_removed.append(len(lines) - len(left))

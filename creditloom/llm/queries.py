@@ -104,7 +104,7 @@ def op4_licenses(spark, sf):
 
 @query
 def op6_line_dedup(spark, sf):
-    rows = linededup.dedup(documents(spark, sf))
+    rows = linededup.dedup_runs(documents(spark, sf))
     return rows.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
