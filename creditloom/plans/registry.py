@@ -16,7 +16,7 @@ from creditloom.session import ensure_checkpoint_dir, shared_folder
 from creditloom.sources import cells, defaulters, files, tables
 
 SEP = " ; "
-MODEL_ROUNDS = 20  # boosting rounds of the registered model queries; the library default is 200
+MODEL_ROUNDS = model.ROUNDS  # boosting rounds of the registered model queries
 MEMO_DATE = "01 January 2026"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
