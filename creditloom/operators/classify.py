@@ -21,6 +21,18 @@ def classify_docs(docs: DataFrame, name: str, preview: str, out: str = "doc_type
     return lowered.withColumn(out, chosen).drop("_name", "_preview")
 
 
+def classify_pages(pages: DataFrame, key: str = "doc_id", text: str = "text", out: str = "doc_type") -> DataFrame:
+    """The type of every whole document by the content rules, from its pages.
+
+    Pages are joined by line ends, which no keyword holds, so the first rule of a document is the first of any page.
+    """
+    numbered = [(str(i), words) for i, (_, words) in enumerate(fv.CONTENT_RULES)]
+    names = F.array(*[F.lit(name) for name, _ in fv.CONTENT_RULES])
+    rule = first_rule("_low", numbered).cast("int")
+    first = pages.select(key, F.lower(text).alias("_low")).groupBy(key).agg(F.min(rule).alias("_rule"))
+    return first.select(key, F.when(F.col("_rule").isNull(), fv.DEFAULT_DOC_TYPE).otherwise(F.get(names, F.col("_rule"))).alias(out))
+
+
 def classify_fallback(prompt: str) -> Column:
     return F.coalesce(first_rule(f"lower({prompt})", fv.PROMPT_RULES), F.lit(fv.DEFAULT_DOC_TYPE))
 

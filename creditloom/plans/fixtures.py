@@ -143,15 +143,28 @@ def loans(spark: SparkSession, sf: str) -> DataFrame:
 
 def wide_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Sheets with a title row, a header row and four data rows."""
+    # The rank filter keeps four rows per supplier and is applied ahead of the shuffle too.
+    ranked = table(spark, sf, "lineitem").selectExpr(
+        "l_suppkey", "CAST(l_quantity AS INT) AS q", "CAST(l_extendedprice AS DECIMAL(18,2)) AS p",
+        "row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn").where("rn <= 4")
+    return _statement_cells(spark, sf, ranked)
+
+
+def whole_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The sheets of ``wide_cells`` with a data row for every line item of the supplier."""
+    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    numbered = number_rows(lines, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
+                           {"_block": F.expr("l_orderkey div 65536")}, "rn")
+    return _statement_cells(spark, sf, numbered.selectExpr(
+        "l_suppkey", "CAST(l_quantity AS INT) AS q", "CAST(l_extendedprice AS DECIMAL(18,2)) AS p", "rn"))
+
+
+def _statement_cells(spark: SparkSession, sf: str, ranked: DataFrame) -> DataFrame:
     suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"))
     heads = suppliers.selectExpr("doc_id", """inline(array(
         named_struct('row_no', 0, 'col_no', 0, 'value', 'Statement of Accounts'), named_struct('row_no', 1, 'col_no', 0, 'value', 'Particulars'),
         named_struct('row_no', 1, 'col_no', 1, 'value', ' Net Sales '), named_struct('row_no', 1, 'col_no', 2, 'value', 'EBITDA'),
         named_struct('row_no', 1, 'col_no', 3, 'value', 'Total Borrowings')))""").withColumn("is_text", F.lit(True))
-    # The rank filter keeps four rows per supplier and is applied ahead of the shuffle too.
-    ranked = table(spark, sf, "lineitem").selectExpr(
-        "l_suppkey", "CAST(l_quantity AS INT) AS q", "CAST(l_extendedprice AS DECIMAL(18,2)) AS p",
-        "row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn").where("rn <= 4")
     data = ranked.selectExpr("l_suppkey AS doc_id", "rn", """inline(array(
         named_struct('col_no', 0, 'value', concat('Q', CAST(rn AS STRING))),
         named_struct('col_no', 1, 'value', CASE WHEN rn = 1 THEN '0' ELSE CAST(q AS STRING) END),

@@ -541,6 +541,21 @@ CHECKS: dict[str, str] = {
 VIEWS["turn_text"] = "SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS text FROM fx_conversation_pages GROUP BY doc_id"
 VIEWS["turn_facts"] = fact_union("turn_text", "doc_id", "text")
 
+# The same statements over every line item, page and order.
+_WIDE = ("fx_wide_cells", "headers", "promoted")
+
+
+def _whole(sql: str) -> str:
+    for name in _WIDE:
+        sql = re.sub(rf"\b{name}\b", f"{name}_whole", sql)
+    return sql
+
+
+VIEWS |= {f"{name}_whole": _whole(VIEWS[name]).replace(" WHERE x.rn <= 4", "") for name in _WIDE}
+CHECKS |= {f"{key}_whole": _whole(CHECKS[key]) for key in ("raw_preview", "column_extract", "header_row")}
+CHECKS["apply_overrides_whole"] = CHECKS["apply_overrides"].replace("FROM fx_page_text WHERE page_no = 1", "FROM whole_text")
+CHECKS["borrower_history_whole"] = CHECKS["borrower_history"].replace("(SELECT * FROM orders WHERE o_orderstatus = 'F')", "orders")
+
 
 def _with_views(body: str) -> str:
     """The statement preceded by the views it uses, in dependency order."""
