@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,11 +202,12 @@ WINDOW = "_r_window binary, _r_id long, _r_hash long, _r_start long"
 
 
 def _later_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans of all occurrences of maximal repeats but the first. Rows come sorted by hash, id, text hash and place."""
+    """Spans of all occurrences of maximal repeats but the first. Rows come sorted by hash, id, text hash, place and sides."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        # Rows that repeat id and text are one document.
-        mark = [table[c].to_numpy() for c in ("_r_h", "_r_id", "_r_hash", "_r_place")]
+        # Rows that repeat id and text are one document. An anchor at the border of two slices comes once for the windows of each.
+        mark = [table[c].to_numpy() for c in ("_r_h", "_r_id", "_r_hash", "_r_place")] + [
+            pc.binary_length(table[c]).to_numpy() for c in ("_r_left", "_r_right")]
         fresh = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in mark], axis=0)])
         if not fresh.all():
             table = table.filter(pa.array(fresh))
@@ -239,7 +241,8 @@ def _later_spans(contexts: DataFrame, length: int) -> DataFrame:
         if rows:
             yield solve(pa.Table.from_batches(held))
 
-    ordered = contexts.repartition("_r_h").sortWithinPartitions("_r_h", "_r_id", "_r_hash", "_r_place")
+    ordered = contexts.repartition("_r_h").sortWithinPartitions(
+        "_r_h", "_r_id", "_r_hash", "_r_place", F.octet_length("_r_left"), F.octet_length("_r_right"))
     return ordered.mapInArrow(run, SPAN)
 
 
