@@ -554,6 +554,7 @@ def _whole(sql: str) -> str:
 VIEWS |= {f"{name}_whole": _whole(VIEWS[name]).replace(" WHERE x.rn <= 4", "") for name in _WIDE}
 CHECKS |= {f"{key}_whole": _whole(CHECKS[key]) for key in ("raw_preview", "column_extract", "header_row")}
 CHECKS["apply_overrides_whole"] = CHECKS["apply_overrides"].replace("FROM fx_page_text WHERE page_no = 1", "FROM whole_text")
+CHECKS["flatten_research_whole"] = "SELECT company_id, label, content FROM research_items"
 CHECKS["borrower_history_whole"] = CHECKS["borrower_history"].replace("(SELECT * FROM orders WHERE o_orderstatus = 'F')", "orders")
 
 

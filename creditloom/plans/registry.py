@@ -519,7 +519,12 @@ def query_fanout(spark, sf):
 
 @query("flatten_research")
 def flatten_research(spark, sf):
-    return research.flatten_research(fx.research_replies(spark, sf))
+    return research.flatten_research(fx.research_replies(spark, sf), label_chars=800, findings_chars=1000)
+
+
+@query("flatten_research_whole")
+def flatten_research_whole(spark, sf):
+    return research.flatten_research(fx.research_replies(spark, sf), label_chars=None, findings_chars=None)
 
 
 @query("metric_display")
