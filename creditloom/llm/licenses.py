@@ -4,7 +4,7 @@ A block is a run of as many words as a statement has. It matches when it holds a
 statement's distinct words. Statement words are ordered by their frequency in the whole corpus, rarest first; a
 matching block must hold one of the first ``n - need + 1`` of them (prefix filter), a text needs as many words as the
 match (length filter), and when the first shared word stands at place i of the order, at most ``n - i`` can be shared
-(positional filter). Occurrences of prefix words therefore are the only candidates; they join the statements by word,
+(positional condition, which these prefixes always meet). Occurrences of prefix words therefore are the only candidates; they join the statements by word,
 and every window around an occurrence is checked exactly.
 
 Beside the method, ``scan`` counts the base phrases: places where their words stand consecutively.
