@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import bpe, jaccard, licenses, linededup, lm, ordermin, packing, quality, repeats, warc
+from creditloom.llm import bpe, codebooks, forest, infill, jaccard, licenses, linededup, lm, ordermin, packing, quality, repeats, warc
 from creditloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,90 @@ def op5_repeats(spark, sf):
 @query
 def op2_lm(spark, sf):
     return lm.score_texts(documents(spark, sf))
+
+
+@query
+def op12_infill(spark, sf):
+    rows = infill.transform(documents(spark, sf))
+    restored = infill.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.encode("output", "UTF-8"), 256).alias("output_sha256"),
+                       F.sha2(F.encode(restored, "UTF-8"), 256).alias("restored_sha256"))
+
+
+ORACLE["op12_infill"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), d AS (
+  SELECT doc_id, text, tokens, len(tokens)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM t
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), p AS (
+  SELECT doc_id, n, form, text, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle,
+         array_to_string(tokens[b + 1:], '') AS suffix
+  FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query
+def op11_codebooks(spark, sf):
+    rows = codebooks.encode(table(spark, sf, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", F.sha2(F.encode("codebooks", "UTF-8"), 256).alias("codebooks_sha256"))
+
+
+def _lloyd_sql(rounds: int = codebooks.ROUNDS) -> str:
+    """Lloyd's rounds in SQL, one pair of steps for each round."""
+    distance = "list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - e.v[i]) * (x.v[i] - e.v[i])))"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+  SELECT x.row, x.p, x.v, min({{'d': {distance}, 'e': e.e}}) AS best FROM x JOIN book{k} e ON x.p = e.p GROUP BY ALL
+)""")
+        if k < rounds:
+            steps.append(f"""book{k + 1} AS MATERIALIZED (
+  SELECT p, e, list(m ORDER BY i) AS v FROM (
+    SELECT b.p, b.e, b.i, coalesce(floor(u.total / u.n)::HUGEINT, b.c) AS m
+    FROM (SELECT p, e, unnest(v) AS c, unnest(range(1, len(v) + 1)) AS i FROM book{k}) b
+    LEFT JOIN (
+      SELECT p, best.e AS e, i, sum(c)::HUGEINT AS total, count(*) AS n
+      FROM (SELECT p, best, unnest(v) AS c, unnest(range(1, len(v) + 1)) AS i FROM near{k}) GROUP BY ALL
+    ) u ON u.p = b.p AND u.e = b.e AND u.i = b.i
+  ) GROUP BY p, e
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 4096)::HUGEINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), x AS MATERIALIZED (
+  SELECT row, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS v FROM kept, range(8) AS parts(p)
+), book0 AS (SELECT p, row - 1 AS e, v FROM x WHERE row <= 16),
+{", ".join(steps)},
+coded AS (
+  SELECT kept.row, vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error
+  FROM kept JOIN near{rounds} USING (row) GROUP BY ALL
+), books AS (
+  SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(v) AS c, unnest(range(1, len(v) + 1)) AS i FROM book{rounds})
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, books
+"""
+
+
+ORACLE["op11_codebooks"] = _lloyd_sql()
+
+
+@query
+def op13_forest(spark, sf):
+    return forest.groups(documents(spark, sf))

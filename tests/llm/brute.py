@@ -94,11 +94,11 @@ def quality(text):
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside), base)
 
 
-def groups(docs):
+def groups(docs, size=5, share=75):
     sets = {}
     for i, t in docs:
         w = words(low(t or ""))
-        sets[i] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k:k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
     up = {i: i for i in sets}
 
     def root(x):
@@ -110,7 +110,43 @@ def groups(docs):
     for k, a in enumerate(ids):
         for b in ids[:k]:
             shared = len(sets[a] & sets[b])
-            if shared and 100 * shared >= 75 * (len(sets[a]) + len(sets[b]) - shared):
+            if shared and 100 * shared >= share * (len(sets[a]) + len(sets[b]) - shared):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def infill(i, text, seed=1):
+    """(n, form, prefix_chars, middle_chars, output) of one text, token by token."""
+    text = text or ""
+    tokens = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    h = hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[k:k + 8], 16) for k in (0, 8, 16, 24))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return len(tokens), "plain", None, None, text
+    a, b = sorted((h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)))
+    prefix, middle, suffix = "".join(tokens[:a]), "".join(tokens[a:b]), "".join(tokens[b:])
+    if h4 % 100 < 20:
+        return len(tokens), "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return len(tokens), "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def lloyd(vectors, parts=8, entries=16, rounds=6, scale=4096):
+    """Per vector (code, error), and the codebooks, in plain integers. ``vectors``: id, components, by ascending id."""
+    whole = [[math.floor(scale * x) for x in v] for _, v in vectors]
+    width = len(whole[0]) // parts
+    cut = [[v[k * width:(k + 1) * width] for v in whole] for k in range(parts)]
+    books = [own[:entries] for own in cut]
+
+    def nearest(part, book):
+        far = [sum((x - y) ** 2 for x, y in zip(part, e, strict=True)) for e in book]
+        return far.index(min(far)), min(far)
+
+    for _ in range(rounds):
+        for k, own in enumerate(cut):
+            members = collections.defaultdict(list)
+            for part in own:
+                members[nearest(part, books[k])[0]].append(part)
+            books[k] = [[sum(c) // len(members[e]) for c in zip(*members[e], strict=True)] if e in members else old for e, old in enumerate(books[k])]
+    found = [[nearest(own[i], books[k]) for k, own in enumerate(cut)] for i in range(len(whole))]
+    return [("".join(f"{e:02x}" for e, _ in f), sum(d for _, d in f)) for f in found], books
