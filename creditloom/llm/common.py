@@ -94,43 +94,42 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-#: Slots of a bit map that tells keys apart which surely miss a set; 1 MB whatever the data. More keys only let more pass.
-FILTER_BITS = 1 << 23
+#: Least and most slots of a bit map that tells keys apart which surely miss a set: 128 KB to 8 MB. Beyond some 30 million keys
+#: the map fills up, which lets more rows pass and loses none.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
 
 
 def key_bits(keys: DataFrame, *columns: str) -> np.ndarray:
-    """A bit map in which the slot of every key is set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy()] = True
-        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()]})
-
-    slots = keys.select(F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)).alias("slot")).repartition(4)
-    parts = slots.mapInArrow(run, "bits binary").collect()
-    return np.bitwise_or.reduce([np.zeros(FILTER_BITS // 8, np.uint8), *[np.frombuffer(p["bits"], np.uint8) for p in parts]])
+    """A bit map in which the slot of every key is set. ``keys`` is a stored table; slots are put together by a pre-aggregated ``bit_or``."""
+    slots = min(max(LEAST_BITS, 1 << (8 * keys.count()).bit_length()), MOST_BITS)
+    slot = keys.select(F.pmod(F.xxhash64(*columns), F.lit(slots)).alias("slot"))
+    word = slot.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    parts = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(slots // 64, np.int64)
+    words[parts["word"].to_numpy()] = parts["bits"].to_numpy()
+    return words.astype("<i8").view(np.uint8)
 
 
 def has_bit(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return ((bits[slot >> 3] >> (7 - (slot & 7))) & 1).astype(bool)
+    return ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def passing(rows: DataFrame, bits: np.ndarray, columns: list[str], wanted: bool) -> DataFrame:
     """The rows whose key the bit map may hold, or those whose key it surely misses. A key with a null first column is missed."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
+    name = "_slot"
+    while name in rows.columns:
+        name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = has_bit(shared.value, batch.column(batch.num_columns - 1).fill_null(0).to_numpy()) == wanted
+            keep = has_bit(shared.value, batch.column(batch.num_columns - 1).to_numpy()) == wanted
             out = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays(out.columns[:-1], names=out.schema.names[:-1])
 
-    slot = F.when(F.col(columns[0]).isNotNull(), F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)))
-    known = rows.withColumn("_slot", slot)
-    if wanted:
-        return known.where("_slot is not null").mapInArrow(run, rows.schema)
-    return known.where("_slot is not null").mapInArrow(run, rows.schema).unionByName(rows.where(F.col(columns[0]).isNull()))
+    first = F.col(f"`{columns[0]}`")
+    known = rows.where(first.isNotNull()).withColumn(name, F.pmod(F.xxhash64(*columns), F.lit(8 * len(bits)))).mapInArrow(run, rows.schema)
+    return known if wanted else known.unionByName(rows.where(first.isNull()))
 
 
 def pack(values: np.ndarray) -> bytes:

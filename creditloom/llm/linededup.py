@@ -1,21 +1,25 @@
-"""Removal of repeated runs of lines.
+"""Removal of repeated runs of lines by content-defined chunks.
 
-``dedup_runs`` does the whole job: every run of ``MIN_LINES`` or more lines with a visible character that stands earlier in the
-corpus (by id, then place) is removed. Such a run is the union of its windows of two visible lines, with the blank lines between
-them, so each window is a unit of its own: hashed, and where the hash repeats compared byte by byte with its first occurrence.
-A window that overlaps its own first occurrence (one line three times in a row) is no repeat. Blank lines at the ends of a run stay.
+Only lines with a visible character count as lines here; blank lines between two of them belong to the run. A hash rolls
+over the hashes of ``WINDOW`` lines. Where it has a local minimum a chunk begins: boundaries depend on nearby lines alone, so
+inserting or deleting lines elsewhere moves no other one, and no chunk has less than ``MIN_LINES`` lines.
 
-``dedup`` has chunks as its units and finds only repeats that fill a chunk: a hash rolls over the hashes of the last ``WINDOW`` lines; where it falls on a multiple of ``DIVISOR`` a chunk ends. Ends
-depend on nearby lines alone, so inserting or deleting lines elsewhere moves no other boundary. Chunks of at least
-``MIN_LINES`` lines with a visible character that occur more than once in the whole corpus are compared byte by byte
-with their first occurrence (smallest id, then place) and removed when equal.
+1. Chunks that occur more than once in the whole corpus are compared byte by byte with their first occurrence (smallest
+   id, then place) and removed when equal.
+2. What is left is extended to its neighbours line by line: every two lines that follow each other and do not both lie in
+   a removed chunk are a unit as well, across boundaries too, found and compared in the same way. The union of the units
+   is every run of ``MIN_LINES`` or more lines that stands earlier in the corpus. A pair of lines that overlaps its own first
+   occurrence (one line three times in a row) is no repeat.
 
-In both, only unit hashes are grouped, after pre-aggregation; only units whose hash repeats travel with their bytes, in a plain
+Step 2 loses nothing by leaving the removed chunks out: their pairs of lines stand in the chunk's first occurrence too.
+
+Only unit hashes are grouped, after pre-aggregation; only units whose hash repeats travel with their bytes, in a plain
 join that adaptive execution splits when one unit is very common, and only texts that lose lines are shuffled.
 
-Defined results: a null text is treated as empty and stays null; texts without repeated units stay byte for byte. Rows that
-repeat id and text count as one document and get equal results; rows without id keep their lines. A text may become empty; its row stays. Extra columns
-stay; names beginning with ``_l_`` are reserved. A column ``n_chars`` is not touched here.
+Defined results: a null text is treated as empty and stays null; texts without repeated runs stay byte for byte, and blank lines
+at the ends of a run stay. Rows that repeat id and text count as one document and get equal results; rows that repeat an id with another text
+are ordered by their text's hash; rows without id keep their lines. A text may become empty; its row stays. Extra columns
+stay; columns named ``n_lines`` or ``n_lines_removed`` are replaced; names beginning with ``_l_`` raise a ValueError. A column ``n_chars`` is not touched here.
 """
 
 from __future__ import annotations
@@ -25,130 +29,144 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from creditloom.llm.common import FILTER_BITS, has_bit, key_bits, passing, stored
+from creditloom.llm.common import has_bit, key_bits, passing, stored
 
 WINDOW = 2
-DIVISOR = 3
 MIN_LINES = 2
+ROWS = 256  # texts held as lines at once
+UNITS = 8192  # units that leave a task's worker at once
 FACTOR = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
+Span = tuple[int, int]
 
 
-def chunk_ends(hashes: list[int], window: int = WINDOW, divisor: int = DIVISOR) -> list[int]:
-    """Ends (exclusive) of the chunks of a list of line hashes."""
+def chunk_starts(hashes: list[int], window: int = WINDOW) -> list[int]:
+    """First lines of the chunks of a list of line hashes: 0 and the local minima of the hash that rolls over ``window`` of them."""
     top = pow(FACTOR, window, 1 << 64)
-    ends, rolled = [], 0
+    rolled, at = [], 0
     for i, h in enumerate(hashes):
-        rolled = (rolled * FACTOR + h) & MASK
+        at = (at * FACTOR + h) & MASK
         if i >= window:
-            rolled = (rolled - top * hashes[i - window]) & MASK
-        if i + 1 >= window and (rolled >> 32) % divisor == 0:
-            ends.append(i + 1)
-    if hashes and (not ends or ends[-1] != len(hashes)):
-        ends.append(len(hashes))
-    return ends
-
-
-def chunks(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    """The lines, and first and last line (exclusive) of every chunk."""
-    lines = text.split("\n")
-    ends = chunk_ends([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines])
-    return lines, list(zip([0, *ends[:-1]], ends, strict=True))
+            at = (at - top * hashes[i - window]) & MASK
+        rolled.append((at * FACTOR & MASK) >> 16)
+    return [0, *[i for i in range(MIN_LINES, len(hashes) - MIN_LINES + 1) if rolled[i] < rolled[i - 1] and rolled[i] <= rolled[i + 1]]]
 
 
-def windows(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    """The lines, and first and last line (exclusive) of every two visible lines that follow each other."""
+def visible(text: str) -> tuple[list[str], list[int]]:
+    """All lines, and the places of those with a visible character."""
     lines = text.split("\n")
-    seen = [i for i, x in enumerate(lines) if x.strip()]
-    return lines, [(a, b + 1) for a, b in zip(seen, seen[1:])]
+    return lines, [i for i, x in enumerate(lines) if x.strip()]
 
 
-Units = Callable[[str], tuple[list[str], list[tuple[int, int]]]]
-CHUNK_SCHEMA = "_l_id long, _l_hash long, _l_place long, _l_chunk binary, _l_bytes binary"
+def chunks(lines: list[str], seen: list[int]) -> list[Span]:
+    """First and last (exclusive) of the visible lines of every chunk that can be removed."""
+    if len(seen) < MIN_LINES:
+        return []
+    starts = chunk_starts([xxhash.xxh64_intdigest(lines[i].encode("utf-8", "surrogatepass")) for i in seen])
+    return list(zip(starts, [*starts[1:], len(seen)], strict=True))
 
 
-def _eligible(lines: list[str], a: int, b: int) -> bool:
-    return b - a >= MIN_LINES and sum(1 for x in lines[a:b] if x.strip()) >= MIN_LINES
+def pairs(n: int, gone: list[Span]) -> list[Span]:
+    """Every two visible lines that follow each other and do not both lie in one removed chunk."""
+    inside = {k for a, b in gone for k in range(a, b - 1)}
+    return [(k, k + 2) for k in range(n - 1) if k not in inside]
 
 
-def _chunk_rows(keyed: DataFrame, bits: np.ndarray | None = None, units: Units = chunks) -> DataFrame:
-    """All eligible units by hash; with ``bits`` only those whose hash the bit map may hold, with their bytes."""
-    shared = None if bits is None else keyed.sparkSession.sparkContext.broadcast(bits)
+UNIT_SCHEMA = "_l_id long, _l_hash long, _l_start long, _l_end long, _l_unit binary, _l_bytes binary"
+UNIT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+KEY = ["_l_id", "_l_hash"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines, spans = units(text)
-                for k, (a, b) in enumerate(spans):
-                    if _eligible(lines, a, b):
-                        raw = "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")
-                        rows.append((doc, text_hash, k, xxhash.xxh128_digest(raw), raw))
-            if shared is None:
-                rows = [(*r[:4], None) for r in rows]
-            elif rows:
-                slots = np.array([xxhash.xxh64_intdigest(r[3], 42) & (FILTER_BITS - 1) for r in rows])  # as xxhash64() has it
-                rows = [r for r, hit in zip(rows, has_bit(shared.value, slots), strict=True) if hit]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                                             names=["_l_id", "_l_hash", "_l_place", "_l_chunk", "_l_bytes"])
-
-    return keyed.select("_l_id", "_l_hash", "_l_text").mapInArrow(run, CHUNK_SCHEMA)
-
-
-def _window_rows(keyed: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    return _chunk_rows(keyed, bits, windows)
-
-
-def removals(keyed: DataFrame, rows: Callable[..., DataFrame] | None = None) -> DataFrame:
-    """``_l_id, _l_hash, _l_drop``: numbers of the units to remove, per text that loses any."""
-    rows = rows or _chunk_rows
-    key = F.struct("_l_id", "_l_hash", "_l_place")
-    repeated = (
-        rows(keyed).groupBy("_l_chunk").agg(F.min(key).alias("_l_first"), F.max(key).alias("_l_last"))
-        .where("_l_first <> _l_last").select("_l_chunk", "_l_first")
-    )
-    repeated = stored(repeated, "lines-repeated")
-    bodies = rows(keyed, key_bits(repeated, "_l_chunk")).join(repeated, "_l_chunk")
-    is_first = F.struct("_l_id", "_l_hash", "_l_place").eqNullSafe(F.col("_l_first"))
-    firsts = bodies.where(is_first).groupBy("_l_chunk").agg(F.first("_l_bytes").alias("_l_kept"))
-    again = bodies.where(~is_first).join(firsts, "_l_chunk").where(F.col("_l_bytes") == F.col("_l_kept"))
-    return again.groupBy("_l_id", "_l_hash").agg(F.sort_array(F.collect_set("_l_place")).alias("_l_drop"))
 
+def _unit_rows(texts: DataFrame, second: bool, bits: np.ndarray | None = None) -> DataFrame:
+    """The chunks, or in the ``second`` step the pairs, of all texts by hash; with ``bits`` only those whose hash the bit map may hold, with their bytes.
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with repeated chunks removed from ``text_col``, and ``n_lines`` and ``n_lines_removed``."""
-    return _without(docs, id_col, text_col, _chunk_rows, chunks)
+    ``texts``: _l_id, _l_hash, _l_text, _l_starts, _l_ends, the last two naming removed chunks."""
+    shared = None if bits is None else texts.sparkSession.sparkContext.broadcast(bits)
+    names = [x.split(" ")[0] for x in UNIT_SCHEMA.split(", ")]
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, UNIT_TYPES, strict=True)], names=names)
 
-def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with all repeated runs of lines removed from ``text_col``, and ``n_lines`` and ``n_lines_removed``."""
-    return _without(docs, id_col, text_col, _window_rows, windows)
-
+    def units(text: str, starts: list[int] | None, ends: list[int] | None) -> Iterator[tuple[int, int, bytes, bytes | None]]:
+        lines, seen = visible(text)
+        found = pairs(len(seen), list(zip(starts or [], ends or [], strict=True))) if second else chunks(lines, seen)
+        for a, b in found:
+            raw = "\n".join(lines[seen[a]:seen[b - 1] + 1]).encode("utf-8", "surrogatepass")
+            digest = xxhash.xxh128_digest(raw)
+            if shared is None:
+                yield a, b, digest, None
+            elif has_bit(shared.value, np.int64(xxhash.xxh64_intdigest(digest, 42) & (8 * len(shared.value) - 1))):  # as xxhash64() has it
+                yield a, b, digest, raw
 
-def _gone_lines(lines: list[str], spans: list[tuple[int, int]], drop: list[int]) -> set[int]:
-    units, gone = set(drop), set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            for doc, text_hash, text, starts, ends in zip(*batch.columns, strict=True):
+                own = doc.as_py(), text_hash.as_py()
+                for unit in units(text.as_py(), starts.as_py(), ends.as_py()):
+                    rows.append((*own, *unit))
+                    if len(rows) >= UNITS:
+                        yield batch_of(rows)
+                        rows = []
+        yield batch_of(rows)
+
+    return texts.select(*KEY, "_l_text", "_l_starts", "_l_ends").mapInArrow(run, UNIT_SCHEMA)
+
+
+def repeated_units(rows: Callable[[np.ndarray | None], DataFrame], name: str) -> DataFrame:
+    """``_l_id, _l_hash, _l_start, _l_end`` of every unit whose bytes stand earlier. ``rows`` gives the units, with bytes if it gets a bit map."""
+    place = F.struct(*KEY, "_l_start")
+    repeated = stored(rows(None).groupBy("_l_unit").agg(F.min(place).alias("_l_first"), F.max(place).alias("_l_last")).where(
+        "_l_first <> _l_last").select("_l_unit", "_l_first"), f"lines-{name}")
+    bodies = rows(key_bits(repeated, "_l_unit")).join(repeated, "_l_unit")
+    is_first = place.eqNullSafe(F.col("_l_first"))
+    firsts = bodies.where(is_first).groupBy("_l_unit").agg(F.first("_l_bytes").alias("_l_kept"))
+    return bodies.where(~is_first).join(firsts, "_l_unit").where(F.col("_l_bytes") == F.col("_l_kept")).select(*KEY, "_l_start", "_l_end")
+
+
+def _spans(units: DataFrame, starts: str, ends: str) -> DataFrame:
+    """The units of a text as two lists; a text has no more of them than lines."""
+    lists = units.distinct().groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("_l_start", "_l_end"))).alias("_l_list"))
+    return lists.select(*KEY, F.col("_l_list._l_start").alias(starts), F.col("_l_list._l_end").alias(ends))
+
+
+def _joined(rows: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with the lists of their text; only rows that may have some are shuffled."""
+    bits = key_bits(spans, *KEY)
+    hit = passing(rows, bits, KEY, True).join(spans, KEY, "left")
+    none: dict[str, Column] = {c: F.lit(None).cast("array<bigint>") for c in columns}
+    return hit.unionByName(passing(rows, bits, KEY, False).withColumns(none))
+
+
+def _gone_lines(lines: list[str], seen: list[int], removed: list[Span], drop: list[int]) -> set[int]:
+    """Places of the lines that go, given the removed chunks and the first lines of the repeated pairs."""
+    units = {*drop, *[k for a, b in removed for k in range(a, b - 1)]}
+    gone = {i for a, b in removed for i in range(seen[a], seen[b - 1] + 1)}
     for k in drop:
-        a, b = spans[k]
-        first = spans[k - 1] if k and k - 1 not in units else (0, 0)
-        if first[1] <= a or lines[a:b] != lines[first[0]:first[1]]:
-            gone.update(range(a, b))
+        own = lines[seen[k]:seen[k + 1] + 1]
+        if not k or k - 1 in units or own != lines[seen[k - 1]:seen[k] + 1]:
+            gone.update(range(seen[k], seen[k + 1] + 1))
     return gone
 
 
-def _without(docs: DataFrame, id_col: str, text_col: str, unit_rows: Callable[..., DataFrame], units: Units) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with all repeated runs of lines removed from ``text_col``, and ``n_lines`` and ``n_lines_removed``."""
+    if reserved := [c for c in docs.columns if c.startswith("_l_")]:
+        raise ValueError(f"reserved column names: {reserved}")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select("*", F.col(f"`{id_col}`").cast("long").alias("_l_id"), F.xxhash64(text).alias("_l_hash"))
-    key = ["_l_id", "_l_hash"]
-    drops = stored(removals(rows.where("_l_id is not null").select(*key, text.alias("_l_text")), unit_rows), "lines-drops")
-    bits = key_bits(drops, *key)
-    hit = passing(rows, bits, key, True).join(drops, key, "left")
-    joined = hit.unionByName(passing(rows, bits, key, False).withColumn("_l_drop", F.lit(None).cast("array<bigint>")))
+    keyed = rows.where("_l_id is not null").select(*KEY, text.alias("_l_text"))
+    bare = keyed.withColumns({c: F.lit(None).cast("array<bigint>") for c in ("_l_starts", "_l_ends")})
+    removed = stored(_spans(repeated_units(lambda bits: _unit_rows(bare, False, bits), "chunks"), "_l_starts", "_l_ends"), "lines-removed")
+    left = _joined(keyed, removed, ["_l_starts", "_l_ends"])
+    more = _spans(repeated_units(lambda bits: _unit_rows(left, True, bits), "pairs"), "_l_drop", "_l_drop_end").drop("_l_drop_end")
+    drops = stored(removed.join(more, KEY, "full"), "lines-drops")
+    joined = _joined(rows, drops, ["_l_starts", "_l_ends", "_l_drop"])
     counts = ("n_lines", "n_lines_removed")
     kept = [f for f in docs.schema.fields if f.name not in counts]
     names = [f.name for f in kept]
@@ -156,22 +174,25 @@ def _without(docs: DataFrame, id_col: str, text_col: str, unit_rows: Callable[..
     schema = StructType([*[StructField(f.name, StringType()) if f.name == text_col else f for f in kept], *[StructField(c, LongType()) for c in counts]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts, n_lines, n_removed = [], [], []
-            for text, drop in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                if not drop:
+            for text, *spans in zip(batch.column(at), *batch.columns[len(names):], strict=True):
+                text, (starts, ends, drop) = text.as_py(), (s.as_py() or [] for s in spans)
+                if not starts and not drop:
                     texts.append(text)
                     n_lines.append(text.count("\n") + 1 if text else 0)
                     n_removed.append(0)
                     continue
-                lines, spans = units(text)
-                gone = _gone_lines(lines, spans, drop)
-                left = [x for i, x in enumerate(lines) if i not in gone]
-                texts.append("\n".join(left))
+                lines, seen = visible(text)
+                gone = _gone_lines(lines, seen, list(zip(starts, ends, strict=True)), drop)
+                texts.append("\n".join([x for i, x in enumerate(lines) if i not in gone]))
                 n_lines.append(len(lines))
-                n_removed.append(len(lines) - len(left))
-            arrays = [batch.column(i) for i in range(len(names))]
+                n_removed.append(len(gone))
+            arrays = list(batch.columns[:len(names)])
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names, *counts])
 
-    return joined.select(*[f"`{n}`" for n in names], "_l_drop").mapInArrow(run, schema)
+    return joined.select(*[f"`{n}`" for n in names], "_l_starts", "_l_ends", "_l_drop").mapInArrow(run, schema)
+
+
+dedup_runs = dedup

@@ -150,3 +150,26 @@ def lloyd(vectors, parts=8, entries=16, rounds=6, scale=4096):
             books[k] = [[sum(c) // len(members[e]) for c in zip(*members[e], strict=True)] if e in members else old for e, old in enumerate(books[k])]
     found = [[nearest(own[i], books[k]) for k, own in enumerate(cut)] for i in range(len(whole))]
     return [("".join(f"{e:02x}" for e, _ in f), sum(d for _, d in f)) for f in found], books
+
+
+def plain_runs(rows):
+    """Per id the kept text and the number of removed lines."""
+    places, texts, out = collections.defaultdict(list), {}, {}
+    for i, text in rows:
+        texts[i] = lines = (text or "").split("\n")
+        gone = set()
+        for q, line in enumerate(lines):
+            if not line.strip():
+                continue
+            for j, p in places[line]:
+                old, n = texts[j], 0
+                most = q - p if j == i else len(lines)
+                while n < most and q + n < len(lines) and p + n < len(old) and lines[q + n] == old[p + n]:
+                    n += 1
+                while n and not lines[q + n - 1].strip():
+                    n -= 1
+                if sum(1 for x in lines[q:q + n] if x.strip()) >= 2:
+                    gone.update(range(q, q + n))
+            places[line].append((i, q))
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone) if text is not None else None, len(gone))
+    return out
