@@ -123,7 +123,7 @@ def repeated_units(rows: Callable[[np.ndarray | None], DataFrame], name: str) ->
     place = F.struct(*KEY, "_l_start")
     repeated = stored(rows(None).groupBy("_l_unit").agg(F.min(place).alias("_l_first"), F.max(place).alias("_l_last")).where(
         "_l_first <> _l_last").select("_l_unit", "_l_first"), f"lines-{name}")
-    bodies = rows(key_bits(repeated, "_l_unit")).join(repeated, "_l_unit")
+    bodies = stored(rows(key_bits(repeated, "_l_unit")), f"lines-{name}-bytes").join(repeated, "_l_unit")
     is_first = place.eqNullSafe(F.col("_l_first"))
     firsts = bodies.where(is_first).groupBy("_l_unit").agg(F.first("_l_bytes").alias("_l_kept"))
     return bodies.where(~is_first).join(firsts, "_l_unit").where(F.col("_l_bytes") == F.col("_l_kept")).select(*KEY, "_l_start", "_l_end")
