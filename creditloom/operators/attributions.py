@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
@@ -14,36 +15,49 @@ from pyspark.sql import functions as F
 from creditloom import fixedvalues as fv
 
 
-def _leaf(path: dict[int, list[float]], value: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features of a leaf's path with their interval, and the contributions for every pattern of tests passed.
+@dataclass(frozen=True)
+class Leaves:
+    """Leaves with paths over the same number k of features: the features, the interval (low, high] of each that leads to the leaf,
+    the share of training rows that pass each test, and the leaf's weighted prediction. Arrays of n by k, the last of n."""
+
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+
+
+def contribution_tables(share: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Contributions of every feature of every leaf for every pattern of tests passed: n by k by 2**k, bit j of a pattern for feature j.
 
     Without the features outside a coalition a path test passes with its share of training rows; over all
-    coalitions this gives the Shapley value of a product, whose weights come from a small polynomial.
+    coalitions this gives the Shapley value of a product, whose weights come from a small polynomial. All leaves are done at once.
     """
-    feats = np.array(list(path), dtype=int)
-    low, high, share = (np.array([b[i] for b in path.values()]) for i in range(3))
-    k = len(feats)
-    passed = (np.arange(2**k)[:, None] >> np.arange(k)) & 1
-    weight = [factorial(s) * factorial(k - 1 - s) / factorial(k) for s in range(k)]
-    table = np.empty((2**k, k))
+    n, k = share.shape
+    passed = ((np.arange(2**k)[:, None] >> np.arange(k)) & 1).astype(float)
+    weight = np.array([factorial(s) * factorial(k - 1 - s) / factorial(k) for s in range(k)])
+    out = np.empty((n, k, 2**k))
     for j in range(k):
-        poly = np.zeros((2**k, k))
-        poly[:, 0] = 1.0
-        for i in (i for i in range(k) if i != j):
-            shifted = np.roll(poly, 1, axis=1)
-            shifted[:, 0] = 0.0
-            poly = poly * share[i] + shifted * passed[:, [i]]
-        table[:, j] = value * (passed[:, j] - share[j]) * (poly @ weight)
-    return feats, low, high, table
-
-
-def leaf_tables(spark: SparkSession, path: str, model: PipelineModel) -> tuple[list, float]:
-    """Leaves of the stored model and its mean margin. The node table is bounded by rounds and depth."""
-    stored = spark.read.parquet(f"{path}/stages/*_{model.stages[-1].uid}/data")
+        poly = np.zeros((n, 2**k, k))
+        poly[:, :, 0] = 1.0
+        for done, i in enumerate(i for i in range(k) if i != j):
+            # Coefficients above the number of features taken so far are zero.
+            lower = poly[:, :, :done + 1] * passed[None, :, i, None]
+            poly[:, :, :done + 1] *= share[:, i, None, None]
+            poly[:, :, 1:done + 2] += lower
+        out[:, j] = value[:, None] * (passed[None, :, j] - share[:, j, None]) * (poly @ weight)
+    return out
+
+
+def model_leaves(spark: SparkSession, path: str, model: PipelineModel) -> tuple[list[Leaves], float]:
+    """Leaves of the stored model, by the number of features on their paths, and its mean margin. The node table is bounded by rounds and depth."""
+    stored = spark.read.parquet(f"{path}/version-*/stages/*_{model.stages[-1].uid}/data")
+    columns = ["nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex"]
     nodes: dict[int, dict[int, object]] = {}
-    for row in stored.select("treeID", "nodeData.*").toLocalIterator():
+    for row in stored.select("treeID", *columns, F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold")).collect():
         nodes.setdefault(row.treeID, {})[row.id] = row
-    leaves, base = [], 0.0
+    by_size: dict[int, list] = {}
+    base = 0.0
     for tree, tree_weight in enumerate(model.stages[-1].treeWeights):
         stack = [(0, {}, 1.0)]
         while stack:
@@ -52,33 +66,51 @@ def leaf_tables(spark: SparkSession, path: str, model: PipelineModel) -> tuple[l
             if node.leftChild < 0:
                 base += reach * node.prediction * tree_weight
                 if tests:
-                    leaves.append(_leaf(tests, node.prediction * tree_weight))
+                    by_size.setdefault(len(tests), []).append((list(tests), *zip(*tests.values(), strict=True), node.prediction * tree_weight))
                 continue
-            feature, limit = node.split.featureIndex, node.split.leftCategoriesOrThreshold[0]
             for child, is_left in ((node.leftChild, True), (node.rightChild, False)):
                 part = nodes[tree][child].rawCount / node.rawCount
-                low, high, share = tests.get(feature, [-np.inf, np.inf, 1.0])
-                bounds = [low, min(high, limit), share * part] if is_left else [max(low, limit), high, share * part]
-                stack.append((child, {**tests, feature: bounds}, reach * part))
-    return leaves, base
+                low, high, share = tests.get(node.featureIndex, [-np.inf, np.inf, 1.0])
+                bounds = [low, min(high, node.threshold), share * part] if is_left else [max(low, node.threshold), high, share * part]
+                stack.append((child, {**tests, node.featureIndex: bounds}, reach * part))
+    return [Leaves(*(np.array(c) for c in zip(*found, strict=True))) for _, found in sorted(by_size.items())], base
+
+
+def contributions(x: np.ndarray, leaves: list[Leaves], tables: list[np.ndarray]) -> np.ndarray:
+    """Contributions of every feature (first axis) to every row of ``x``. Each test is made once for all leaves that share it."""
+    columns = np.ascontiguousarray(x.T)
+    out, part = np.zeros(columns.shape), np.empty(len(x))
+    tests: dict[tuple, np.ndarray] = {}
+    for group, table in zip(leaves, tables, strict=True):
+        for feats, low, high, own in zip(group.features.tolist(), group.low.tolist(), group.high.tolist(), table, strict=True):
+            pattern = np.zeros(len(x), np.uint16)
+            for j, test in enumerate(zip(feats, low, high, strict=True)):
+                passed = tests.get(test)
+                if passed is None:
+                    values = columns[test[0]]
+                    tests[test] = passed = ((values > test[1]) & (values <= test[2])).astype(np.uint16)
+                pattern |= passed << np.uint16(j)
+            for j, f in enumerate(feats):
+                out[f] += np.take(own[j], pattern, out=part, mode="clip")
+    return out
 
 
 def attributions_wide(features: DataFrame, model: PipelineModel, path: str, key: str = "loan_id") -> DataFrame:
-    """One column of contribution per feature plus the mean margin; together they give the raw prediction."""
+    """One column of contribution per feature plus the mean margin; together they give the raw prediction.
+
+    What is broadcast are the leaves, a few numbers for each test; their tables are made once in each task.
+    """
     spark = features.sparkSession
-    leaves, base = leaf_tables(spark, path, model)
+    leaves, base = model_leaves(spark, path, model)
     shared = spark.sparkContext.broadcast(leaves)
     names = list(fv.MODEL_FEATURES)
 
     def contribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = None
         for pdf in batches:
-            x = pdf[names].to_numpy(dtype=float)
-            out = np.zeros_like(x)
-            for feats, low, high, table in shared.value:
-                values = x[:, feats]
-                pattern = ((values > low) & (values <= high)) @ (1 << np.arange(len(feats)))
-                out[:, feats] += table[pattern]
-            result = pd.DataFrame(out, columns=names)
+            if tables is None:
+                tables = [contribution_tables(group.share, group.value) for group in shared.value]
+            result = pd.DataFrame(contributions(pdf[names].to_numpy(dtype=float), shared.value, tables).T, columns=names)
             result.insert(0, key, pdf[key].to_numpy())
             result["base"] = base
             yield result

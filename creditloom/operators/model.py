@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -39,22 +38,62 @@ def holdout_predictions(model: PipelineModel, loans: DataFrame, label: str = "la
     return model.transform(split.where("is_test"))
 
 
-_models: dict[str, PipelineModel] = {}
+COMMITTED = "_committed"
+_models: dict[tuple[str, str, int], PipelineModel] = {}
+
+
+def _folder(spark: SparkSession, path: str):
+    """A folder of any file system Spark can reach, and that file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _numbers(spark: SparkSession, path: str, committed: bool) -> list[int]:
+    fs, root = _folder(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    numbers = [int(n.removeprefix("version-")) for n in names if n.startswith("version-")]
+    return sorted(n for n in numbers if not committed or fs.exists(_folder(spark, f"{_version(path, n)}/{COMMITTED}")[1]))
+
+
+def _version(path: str, number: int) -> str:
+    return f"{path}/version-{number:05d}"
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete models of a store, ascending. A version whose writing was interrupted has no marker and does not count."""
+    return _numbers(spark, path, True)
+
+
+def save_version(model: PipelineModel, spark: SparkSession, path: str) -> int:
+    """Writes a new version and then its marker. No file that exists is ever written again."""
+    number = max(_numbers(spark, path, False), default=0) + 1
+    model.save(_version(path, number))
+    fs, marker = _folder(spark, f"{_version(path, number)}/{COMMITTED}")
+    fs.create(marker, False).close()
+    return number
+
+
+def load_version(spark: SparkSession, path: str, number: int | None = None) -> PipelineModel:
+    """A complete version, the newest by default; each is loaded once in an application. A damaged file raises."""
+    known = versions(spark, path)
+    number = known[-1] if number is None and known else number
+    if number not in known:
+        raise ValueError(f"{path} has no complete version {number if number is not None else ''}".rstrip())
+    at = (spark.sparkContext.applicationId, path, number)
+    if at not in _models:
+        _models[at] = PipelineModel.load(_version(path, number))
+    return _models[at]
 
 
 def load_or_train(spark: SparkSession, path: str, loans: DataFrame | None = None, rounds: int = ROUNDS) -> PipelineModel:
-    """The model stored at ``path``, else a new one trained and stored there. Each path is loaded once per session.
+    """The newest model stored at ``path``; only where there is none a new one is trained and stored.
 
     Without loans the model is trained on synthetic ones.
     """
-    if path not in _models:
-        try:
-            spark.read.text(f"{path}/metadata")
-        except AnalysisException:
-            data = loans if loans is not None else synth_loans(spark.range(SYNTHETIC_LOANS))
-            train_default_model(data, rounds).write().overwrite().save(path)
-        _models[path] = PipelineModel.load(path)
-    return _models[path]
+    if not versions(spark, path):
+        data = loans if loans is not None else synth_loans(spark.range(SYNTHETIC_LOANS))
+        save_version(train_default_model(data, rounds), spark, path)
+    return load_version(spark, path)
 
 
 def score_loans(features: DataFrame, model: PipelineModel, key: str = "loan_id") -> DataFrame:

@@ -72,6 +72,36 @@ def test_model_is_loaded_not_retrained(spark, stored):
     assert again is not fitted and again.stages[-1].uid == fitted.stages[-1].uid
 
 
+def test_interrupted_write_leaves_no_version(spark, stored, tmp_path, monkeypatch):
+    """Without its marker a version does not count, is not written again, and the next one gets a number of its own."""
+    fitted, _ = stored
+    path = str(tmp_path / "store")
+    fitted.save(f"{path}/version-00001")
+    assert model.versions(spark, path) == []
+    trained = []
+    monkeypatch.setattr(model, "train_default_model", lambda data, rounds: trained.append(rounds) or fitted)
+    assert model.load_or_train(spark, path, rounds=3).stages[-1].uid == fitted.stages[-1].uid
+    assert trained == [3] and model.versions(spark, path) == [2]
+    model.load_or_train(spark, path)
+    assert trained == [3]
+    assert model.save_version(fitted, spark, path) == 3 and model.versions(spark, path) == [2, 3]
+    with pytest.raises(ValueError):
+        model.load_version(spark, path, 1)
+
+
+def test_damaged_file_is_not_replaced(spark, stored, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    model.save_version(stored[0], spark, path)
+    files = [f for f in (tmp_path / "store").rglob("part-*") if "stages" in str(f) and f.suffix == ".parquet"]
+    for f in files:
+        f.write_bytes(b"not a table")
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    monkeypatch.setattr(model, "train_default_model", lambda *a: pytest.fail("trained"))
+    with pytest.raises(Exception, match="(?i)parquet|corrupt|FAILED_READ_FILE"):
+        model.load_or_train(spark, path)
+    assert files and all(f.read_bytes() == b"not a table" for f in files)
+
+
 def test_scores_are_bounded(stored, spark, sf):
     out = model.score_loans(scoring.model_features(fx.loans(spark, sf), "loan_id"), stored[0])
     assert out.where("default_probability NOT BETWEEN 8 AND 80 OR abs(default_probability + ml_score - 100) > 1e-9").count() == 0
@@ -89,8 +119,9 @@ def test_attributions_add_up(stored, spark, sf):
 
 def test_leaf_contributions_equal_the_average_over_orders():
     path = {4: [-np.inf, 2.0, 0.3], 1: [1.0, np.inf, 0.6], 7: [0.0, 5.0, 0.25]}
-    feats, _, _, table = attributions._leaf(path, 2.0)
     share = [b[2] for b in path.values()]
+    other = attributions.contribution_tables(np.array([[0.5, 0.5, 0.5], share]), np.array([9.0, 2.0]))
+    table = other[1].T
     for pattern in range(8):
         passed = [(pattern >> j) & 1 for j in range(3)]
         want = np.zeros(3)
@@ -102,7 +133,10 @@ def test_leaf_contributions_equal_the_average_over_orders():
                 known.add(j)
                 want[j] += (value() - before) / 6
         assert table[pattern] == pytest.approx(want)
-    assert list(feats) == [4, 1, 7]
+    rows = np.array([[9.0, 2.0, 9, 9, 1.0, 9, 9, 3.0], [9.0, 0.5, 9, 9, 2.5, 9, 9, 3.0]])
+    leaf = attributions.Leaves(np.array([[4, 1, 7]]), *(np.array([[b[i] for b in path.values()]]) for i in range(3)), np.array([2.0]))
+    got = attributions.contributions(rows, [leaf], [other[1:]])
+    assert got[[4, 1, 7]].T == pytest.approx(np.array([table[7], table[4]])) and not got[[0, 2, 3, 5, 6]].any()
 
 
 def test_factor_lists(spark):
