@@ -35,6 +35,22 @@ def test_defaulter_lists(spark, tmp_path):
     assert defaulters.load_defaulters(spark, [str(tmp_path / "no.csv")]) is None
 
 
+def test_defaulter_lists_are_never_silently_clear(spark, tmp_path):
+    """Headers in any case count; lists without a header, unreadable ones and absent ones are told apart; left-out lines are listed."""
+    a, bare, empty = (tmp_path / n for n in ("a.csv", "bare.csv", "empty.csv"))
+    a.write_text("Party, BkNm ,OsAmt,Suit\nAcme Ltd,PNB,10,SUIT\nToo Long,PNB,1,SUIT,extra\n")
+    assert [tuple(r) for r in defaulters.load_defaulters(spark, [str(a)]).collect()] == [("Acme Ltd", "PNB", "10", "SUIT")]
+    assert [tuple(r) for r in defaulters.rejected_lines(spark, [str(a), str(tmp_path / "no.csv")]).collect()] == [(str(a), "Too Long,PNB,1,SUIT,extra")]
+    assert defaulters.rejected_lines(spark, [str(tmp_path / "no.csv")]) is None
+    bare.write_text("Acme Ltd,PNB,10,SUIT\n")
+    empty.write_text("")
+    for path in (bare, empty):
+        with pytest.raises(ValueError, match="no column of names"):
+            defaulters.load_defaulters(spark, [str(a), str(path)])
+    with pytest.raises(Exception, match="(?i)nosuchscheme|scheme"):
+        defaulters.load_defaulters(spark, ["nosuchscheme://store/list.csv"])
+
+
 def test_warehouse_fallback(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text("id\n" + "\n".join(str(i) for i in range(30)))
