@@ -15,8 +15,8 @@ FIRST_WARNINGS = 2
 
 
 def plain(c: Column) -> Column:
-    """A decimal as the shortest text with at least one fractional digit."""
-    return c.cast("double").cast("string")
+    """A decimal as the shortest text with at least one fractional digit, whatever its size."""
+    return F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
 
 
 def warnings_text(reply: Column) -> Column:

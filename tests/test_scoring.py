@@ -132,3 +132,10 @@ def test_short_replies_are_replaced_before_rating(spark):
     got = {r["company_id"]: (r["risk_rating"], r["quota_warnings"]) for r in assessment.ratings(replies).collect()}
     failed = ("high \u2014 manual verification required", ["secondary_research"])
     assert got == {1: failed, 2: failed, 3: ("low", [])}
+
+
+def test_large_numbers_are_written_out(spark):
+    """From ten million on a double's own text has an exponent."""
+    rows = [("99999999999.90", "99999999999.9"), ("10000000.00", "10000000.0"), ("0.00", "0.0"), ("-0.05", "-0.05"), ("41.30", "41.3"), ("100.00", "100.0"), (None, None)]
+    df = spark.createDataFrame([(a, b) for a, b in rows], "a string, b string").select(F.col("a").cast("decimal(38,2)").alias("a"), "b")
+    assert all(r["shown"] == r["b"] for r in df.select("b", explain.plain(F.col("a")).alias("shown")).collect())
