@@ -137,8 +137,8 @@ def research_items(reply: Column, label_chars: int | None = None, findings_chars
     return F.when(v.isNull(), F.array(junk)).otherwise(F.coalesce(parsed, none))
 
 
-def flatten_research(replies: DataFrame, label_chars: int | None = LABEL_CHARS, findings_chars: int | None = FINDINGS_CHARS) -> DataFrame:
-    """Research entries of every reply as rows; works within the row, no shuffle. None leaves the texts whole."""
+def flatten_research(replies: DataFrame, label_chars: int | None = None, findings_chars: int | None = None) -> DataFrame:
+    """Research entries of every reply as rows; works within the row, no shuffle. Numbers cut the texts, as a page-sized memo does."""
     return replies.select("company_id", F.inline(research_items(F.col("reply"), label_chars, findings_chars)))
 
 

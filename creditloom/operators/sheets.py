@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from creditloom import fixedvalues as fv
 from creditloom.functions.numbers import clean_value
 from creditloom.functions.rules import field_mask, field_of, fields_in
-from creditloom.skew import salted_join
 from creditloom.sources.cells import leading_sheets
 
 ENOUGH_FIELDS = 3
 KV_MAX_WIDTH = 3
-ROW_BLOCK = 1024  # rows of one sheet that share a join slice
 
 
 def _filled() -> Column:
@@ -51,18 +49,27 @@ def kv_extract(rows: DataFrame, match: str = "first", max_sheets: int | None = N
     return merge_last(kv_by_sheet(rows, match, max_sheets), "sheet_no")
 
 
+def _looks_like_header() -> Column:
+    present = F.filter("cells", lambda c: c.value.isNotNull())
+    return F.size(F.filter(present, lambda c: c.is_text)) >= 2
+
+
 def header_rows(rows: DataFrame) -> DataFrame:
     """Per sheet the first row with two or more filled cells of which two or more are text, else row zero."""
-    present = F.filter("cells", lambda c: c.value.isNotNull())
-    looks_like_header = F.size(F.filter(present, lambda c: c.is_text)) >= 2
     return rows.groupBy("doc_id", "sheet_no").agg(
-        F.coalesce(F.min(F.when(looks_like_header, F.col("row_no"))), F.lit(0)).alias("header_row"))
+        F.coalesce(F.min(F.when(_looks_like_header(), F.col("row_no"))), F.lit(0)).alias("header_row"))
 
 
-def _with_header_row(rows: DataFrame) -> DataFrame:
-    # One sheet may hold a large share of all rows, hence the slices by row block.
-    block = F.floor(F.col("row_no") / ROW_BLOCK)
-    return salted_join(rows, header_rows(rows), ["doc_id", "sheet_no"], block)
+def header_names(rows: DataFrame) -> DataFrame:
+    """The header row of every sheet that has one, with its names by column; of cells that repeat a column the first counts.
+
+    Partial results hold one candidate row each, so a sheet of any length sends a row per task.
+    """
+    names = F.transform("cells", lambda c: F.struct(c.col_no.alias("col_no"), _column_name(c.value).alias("name")))
+    first = rows.where(_looks_like_header()).groupBy("doc_id", "sheet_no").agg(F.min(F.struct("row_no", names.alias("names"))).alias("_h"))
+    numbers = F.transform("_h.names", lambda n: n.col_no)
+    unique = F.filter("_h.names", lambda n, i: F.array_position(numbers, n.col_no) == i + 1)
+    return first.select("doc_id", "sheet_no", F.col("_h.row_no").alias("header_row"), unique.alias("_names"))
 
 
 def _column_name(c: Column) -> Column:
@@ -70,16 +77,17 @@ def _column_name(c: Column) -> Column:
 
 
 def promote_header(rows: DataFrame) -> DataFrame:
-    """Long data cells below the header row with the promoted column names; row zero is never promoted."""
-    placed = _with_header_row(rows)
-    cells = placed.select("doc_id", "sheet_no", "row_no", "header_row", F.inline("cells"))
-    names = cells.where((F.col("header_row") > 0) & (F.col("row_no") == F.col("header_row"))).select(
-        "doc_id", "sheet_no", "col_no", _column_name(F.col("value")).alias("_promoted"))
-    data = cells.where((F.col("header_row") == 0) | (F.col("row_no") > F.col("header_row")))
-    named = salted_join(data, names, ["doc_id", "sheet_no", "col_no"], F.floor(F.col("row_no") / ROW_BLOCK))
-    return named.select(
+    """Long data cells below the header row with the promoted column names; row zero is never promoted.
+
+    One plain join brings a sheet's header row number and names to its rows; adaptive execution splits a sheet that holds a
+    large share of all rows, and the names are looked up inside the row.
+    """
+    known = header_names(rows).where("header_row > 0")
+    data = rows.join(known, ["doc_id", "sheet_no"], "left").where(F.col("header_row").isNull() | (F.col("row_no") > F.col("header_row")))
+    cells = data.select("doc_id", "sheet_no", "row_no", F.map_from_entries("_names").alias("_by_column"), F.inline("cells"))
+    return cells.select(
         "doc_id", "sheet_no", "row_no", "col_no",
-        F.when(F.col("header_row") > 0, F.col("_promoted")).otherwise(F.col("header")).alias("header"), "value", "is_text",
+        F.when(F.col("_by_column").isNotNull(), F.try_element_at("_by_column", F.col("col_no"))).otherwise(F.col("header")).alias("header"), "value", "is_text",
     )
 
 
@@ -91,7 +99,9 @@ def columns_by_sheet(rows: DataFrame, max_sheets: int | None = None) -> DataFram
     """
     promoted = F.col("header_row") > 0
     # Columns of unpromoted sheets whose own header feeds no field end here, before their cells are read.
-    cells = _with_header_row(leading_sheets(rows, max_sheets)).select(
+    # The join is a plain inner one, so a sheet that holds a large share of all rows is split by adaptive execution.
+    leading = leading_sheets(rows, max_sheets)
+    cells = leading.join(header_rows(leading), ["doc_id", "sheet_no"]).select(
         "doc_id", "sheet_no", "row_no", "header_row", F.inline("cells")).where(promoted | (F.col("header_fields") != 0))
     is_header = promoted & (F.col("row_no") == F.col("header_row"))
     is_data = ~promoted | (F.col("row_no") > F.col("header_row"))

@@ -142,16 +142,7 @@ def loans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Sheets with a title row, a header row and four data rows."""
-    # The rank filter keeps four rows per supplier and is applied ahead of the shuffle too.
-    ranked = table(spark, sf, "lineitem").selectExpr(
-        "l_suppkey", "CAST(l_quantity AS INT) AS q", "CAST(l_extendedprice AS DECIMAL(18,2)) AS p",
-        "row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn").where("rn <= 4")
-    return _statement_cells(spark, sf, ranked)
-
-
-def whole_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """The sheets of ``wide_cells`` with a data row for every line item of the supplier."""
+    """Sheets with a title row, a header row and a data row for every line item of the supplier."""
     lines = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     numbered = number_rows(lines, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
                            {"_block": F.expr("l_orderkey div 65536")}, "rn")

@@ -182,7 +182,7 @@ VIEWS: dict[str, str] = {
             WHEN 2 THEN concat('₹ ', CAST(x.p AS VARCHAR)) ELSE CASE WHEN x.rn % 2 = 1 THEN '-' ELSE CAST(x.p AS VARCHAR) END END, v.c <> 1
         FROM (SELECT l_suppkey, CAST(l_quantity AS INT) AS q, CAST(l_extendedprice AS DECIMAL(18,2)) AS p,
             CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS INT) AS rn FROM lineitem) x
-        CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(c) WHERE x.rn <= 4""",
+        CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(c)""",
     "fx_note_replies": """SELECT c_custkey AS company_id, CASE c_custkey % 5
         WHEN 0 THEN '```json {"score_adjustment": -15} ```' WHEN 1 THEN '{"score_adjustment": 20}' WHEN 2 THEN '{"positive_signals": []}'
         WHEN 3 THEN 'no json here' ELSE '{"score_adjustment": 5, "deal_breakers": ["x"]}' END AS reply FROM customer""",
@@ -400,10 +400,10 @@ CHECKS: dict[str, str] = {
     "model_features": "SELECT loan_id, " + ", ".join(f"coalesce({f}, {fv.FEATURE_DEFAULTS[f]}::DOUBLE) AS {f}" for f in fv.MODEL_FEATURES) + " FROM fx_loans",
     "apply_overrides": f"""SELECT doc_id, auto_type, doc_type, CASE WHEN doc_type = auto_type THEN 'AUTO' ELSE 'EDITED' END AS status FROM (
         SELECT doc_id, auto_type, CASE doc_id % 10 WHEN 0 THEN 'ALM' WHEN 1 THEN 'Portfolio_Data' ELSE auto_type END AS doc_type FROM (
-        SELECT doc_id, {case_words('lower(text)', fv.CONTENT_RULES, q(fv.DEFAULT_DOC_TYPE))} AS auto_type FROM fx_page_text WHERE page_no = 1))""",
+        SELECT doc_id, {case_words('lower(text)', fv.CONTENT_RULES, q(fv.DEFAULT_DOC_TYPE))} AS auto_type FROM whole_text))""",
     "blacklist_matches": "SELECT company_id, matched_term, name, bank, outstanding_amount, suit_filed FROM hits",
     "borrower_history": f"""SELECT c_custkey AS company_id, c_name AS company_name, o_orderkey, o_orderkey IS NOT NULL AS found,
-        CASE WHEN o_orderkey IS NULL THEN {q(fv.NO_HISTORY)} END AS message FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON c_custkey = o_custkey""",
+        CASE WHEN o_orderkey IS NULL THEN {q(fv.NO_HISTORY)} END AS message FROM customer LEFT JOIN orders ON c_custkey = o_custkey""",
     "gst_bank_align": "SELECT company_id, CAST(gst_revenue AS DOUBLE) AS gst_revenue, CAST(bank_credits AS DOUBLE) AS bank_credits, no_bank_data FROM aligned",
     "assemble_case": """SELECT company_id, loan_amount_requested, collateral_coverage, CAST(net_worth AS DOUBLE) AS net_worth, CAST(gst_revenue AS DOUBLE) AS gst_revenue,
         CAST(bank_credits AS DOUBLE) AS bank_credits, discrepancy_pct, gst_risk, risk_rating, blacklisted, n_matches, CAST(default_probability AS DOUBLE) AS default_probability FROM cases""",
@@ -505,6 +505,7 @@ CHECKS: dict[str, str] = {
     "infer_sector": "SELECT p_partkey, p_name, CASE WHEN regexp_matches(lower(p_name), 'textile|fabric|garment') THEN 'textile' ELSE 'MSME' END AS sector FROM part",
     "query_fanout": f"SELECT company_id, kind, CAST(query_no AS BIGINT) AS query_no, query FROM ({fanout_rows()})",
     "flatten_research": "SELECT company_id, label, content FROM research_items",
+    "flatten_research_memo": "SELECT company_id, label, left(content, CASE WHEN label = 'Research Findings' THEN 1000 ELSE 800 END) AS content FROM research_items",
     "metric_display": f"""SELECT doc_id, {title('field')} AS label, CASE WHEN v > 100000 THEN {inr('v')} WHEN v < 10 THEN CAST(CAST(round(v, 2) AS DECIMAL(28,2)) AS VARCHAR)
         ELSE format('{{:,.1f}}', CAST(round(v, 1) AS DOUBLE)) END AS shown FROM (SELECT doc_id, field, CAST(value AS DECIMAL(28,6)) AS v FROM label_facts)""",
     "research_quality": f"""SELECT company_id, CASE WHEN length(a) < 50 THEN {q(fv.RESEARCH_TOO_SHORT)} ELSE a END AS analysis, CASE WHEN length(f) < 30 THEN {q(fv.LEGAL_TOO_SHORT)} ELSE f END AS findings,
@@ -541,23 +542,6 @@ CHECKS: dict[str, str] = {
 VIEWS["turn_text"] = "SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS text FROM fx_conversation_pages GROUP BY doc_id"
 VIEWS["turn_facts"] = fact_union("turn_text", "doc_id", "text")
 
-# The same statements over every line item, page and order.
-_WIDE = ("fx_wide_cells", "headers", "promoted")
-
-
-def _whole(sql: str) -> str:
-    for name in _WIDE:
-        sql = re.sub(rf"\b{name}\b", f"{name}_whole", sql)
-    return sql
-
-
-VIEWS |= {f"{name}_whole": _whole(VIEWS[name]).replace(" WHERE x.rn <= 4", "") for name in _WIDE}
-CHECKS |= {f"{key}_whole": _whole(CHECKS[key]) for key in ("raw_preview", "column_extract", "header_row")}
-CHECKS["apply_overrides_whole"] = CHECKS["apply_overrides"].replace("FROM fx_page_text WHERE page_no = 1", "FROM whole_text")
-CHECKS["flatten_research_whole"] = "SELECT company_id, label, content FROM research_items"
-CHECKS["borrower_history_whole"] = CHECKS["borrower_history"].replace("(SELECT * FROM orders WHERE o_orderstatus = 'F')", "orders")
-
-
 def _with_views(body: str) -> str:
     """The statement preceded by the views it uses, in dependency order."""
     placed: dict[str, str] = {}

@@ -85,11 +85,6 @@ def raw_preview(spark, sf):
     return cells.raw_preview(cells.rows_from_cells(fx.wide_cells(spark, sf)))
 
 
-@query("raw_preview_whole")
-def raw_preview_whole(spark, sf):
-    return cells.raw_preview(cells.rows_from_cells(fx.whole_cells(spark, sf)))
-
-
 @query("sheet_shape")
 def sheet_shape(spark, sf):
     return cells.shape_of(fx.sheet_rows(spark, sf))
@@ -168,15 +163,6 @@ def model_features(spark, sf):
 
 @query("apply_overrides")
 def apply_overrides(spark, sf):
-    first = fx.page_text(spark, sf).where("page_no = 1")
-    named = first.withColumn("name", F.lit("upload"))
-    auto = classify.classify_docs(named, "name", "text", "auto_type").select("doc_id", "auto_type")
-    edits = first.where("doc_id % 10 < 2").selectExpr("doc_id", "CASE doc_id % 10 WHEN 0 THEN 'ALM' ELSE 'Portfolio_Data' END AS edited_type")
-    return classify.apply_overrides(auto, edits)
-
-
-@query("apply_overrides_whole")
-def apply_overrides_whole(spark, sf):
     auto = classify.classify_pages(fx.page_text(spark, sf), out="auto_type")
     edits = auto.where("doc_id % 10 < 2").selectExpr("doc_id", "CASE doc_id % 10 WHEN 0 THEN 'ALM' ELSE 'Portfolio_Data' END AS edited_type")
     return classify.apply_overrides(auto, edits)
@@ -197,23 +183,15 @@ def blacklist_matches(spark, sf):
     return _matches(spark, sf)
 
 
-def _history(spark, sf, orders):
+@query("borrower_history")
+def borrower_history(spark, sf):
     customers = fx.table(spark, sf, "customer")
     apps = customers.select(F.col("c_custkey").alias("company_id"), F.col("c_name").alias("company_name"))
-    history = orders.select("o_custkey", "o_orderkey").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("company_name"), "o_orderkey")
+    orders = fx.table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    history = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("company_name"), "o_orderkey")
     return screening.with_history(apps, history)
 
 
-@query("borrower_history")
-def borrower_history(spark, sf):
-    return _history(spark, sf, fx.table(spark, sf, "orders").where("o_orderstatus = 'F'"))
-
-
-@query("borrower_history_whole")
-def borrower_history_whole(spark, sf):
-    return _history(spark, sf, fx.table(spark, sf, "orders"))
-
-
 @query("gst_bank_align")
 def gst_bank_align(spark, sf):
     return gst.gst_bank_align(fx.gst_returns(spark, sf), _bank(spark, sf))
@@ -306,11 +284,6 @@ def column_extract(spark, sf):
     return sheets.column_extract(cells.rows_from_cells(fx.wide_cells(spark, sf)))
 
 
-@query("column_extract_whole")
-def column_extract_whole(spark, sf):
-    return sheets.column_extract(cells.rows_from_cells(fx.whole_cells(spark, sf)))
-
-
 @query("research_context")
 def research_context(spark, sf):
     return research.build_context(fx.search_hits(spark, sf), **research.RESEARCH_SHAPE)
@@ -399,11 +372,6 @@ def header_row(spark, sf):
     return sheets.promote_header(cells.rows_from_cells(fx.wide_cells(spark, sf)))
 
 
-@query("header_row_whole")
-def header_row_whole(spark, sf):
-    return sheets.promote_header(cells.rows_from_cells(fx.whole_cells(spark, sf)))
-
-
 @query("topk_hits")
 def topk_hits(spark, sf):
     return research.topk_hits(fx.search_hits(spark, sf), k=2).select("company_id", "kind", "query_no", "rn", "url")
@@ -519,12 +487,12 @@ def query_fanout(spark, sf):
 
 @query("flatten_research")
 def flatten_research(spark, sf):
-    return research.flatten_research(fx.research_replies(spark, sf), label_chars=800, findings_chars=1000)
+    return research.flatten_research(fx.research_replies(spark, sf))
 
 
-@query("flatten_research_whole")
-def flatten_research_whole(spark, sf):
-    return research.flatten_research(fx.research_replies(spark, sf), label_chars=None, findings_chars=None)
+@query("flatten_research_memo")
+def flatten_research_memo(spark, sf):
+    return research.flatten_research(fx.research_replies(spark, sf), research.LABEL_CHARS, research.FINDINGS_CHARS)
 
 
 @query("metric_display")
