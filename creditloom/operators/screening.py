@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom import fixedvalues as fv
 from creditloom.functions.rules import split_promoters
 
-GRAM_SIZES = (12, 6, 3, 1)
-POSITION_BITS = 24  # longest term: 16 million characters
+SHARD_CHARS = 1_000_000  # of the terms in one automaton
+SLICE_CHARS = 1_000_000  # of the names that pass it in one task
 
 
 def search_terms(applications: DataFrame) -> DataFrame:
@@ -18,42 +19,43 @@ def search_terms(applications: DataFrame) -> DataFrame:
     return applications.select("company_id", F.explode(F.transform(names, lambda n: F.lower(n))).alias("term")).where("term <> ''")
 
 
-def _gram_size(length: Column) -> Column:
-    """The longest gram size that fits a term."""
-    return F.coalesce(*[F.when(length >= g, F.lit(g)) for g in GRAM_SIZES])
-
-
-def _windows(text: Column, size: Column) -> Column:
-    """The grams of a text in order."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.substring(text, i, size))
+def _pieces(texts: DataFrame, column: str, chars: int) -> int:
+    """How many pieces of ``chars`` characters the texts make, each with one more for its end."""
+    total = texts.agg(F.sum(F.length(column) + 1)).first()[0] or 0
+    return max(1, -(-total // chars))
 
 
 def substring_pairs(terms: DataFrame, names: DataFrame) -> DataFrame:
     """All (term, name) with the term inside the name, without comparing every term with every name.
 
-    Every gram of a term occurs in each name that contains it, so a term only has to meet the names that
-    share its rarest gram; ``contains`` then decides. A term with a gram no name has cannot match at all.
+    Distinct terms are dealt into shards and distinct names into slices, both of a bounded number of characters. A task makes
+    one automaton of a shard, a trie with failure arcs, and lets one slice stream past it: every name is read once per shard, whatever the
+    number and the lengths of the terms. Shards and slices come from the measured sizes and the texts' hashes.
     """
-    terms = terms.select("term").distinct().withColumn("_size", _gram_size(F.length("term")))
-    sizes = F.broadcast(terms.select("_size").distinct())  # at most one row per gram size
-    name_grams = (
-        names.select("name").distinct()
-        .withColumn("_size", F.explode(F.array(*[F.lit(g) for g in GRAM_SIZES])))
-        .where(F.length("name") >= F.col("_size"))
-        .join(sizes, "_size", "left_semi")
-        .select("name", F.explode(F.array_distinct(_windows(F.col("name"), F.col("_size")))).alias("gram"))
-    )
-    frequency = name_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_f"))
-    # Frequency and position share one integer, which keeps the choice a hash aggregation.
-    places = terms.select("term", "_size", F.posexplode(_windows(F.col("term"), F.col("_size"))).alias("_pos", "gram"))
-    best = F.min(F.shiftleft(F.coalesce("_f", F.lit(0).cast("bigint")), POSITION_BITS) + F.col("_pos"))
-    rarest = (
-        places.join(frequency, "gram", "left").groupBy("term", "_size").agg(best.alias("_best"))
-        .where(F.shiftright("_best", POSITION_BITS) > 0)
-        .select("term", F.substring("term", (F.col("_best") % (1 << POSITION_BITS) + 1).cast("int"), F.col("_size")).alias("gram"))
-    )
-    return rarest.join(name_grams, "gram").where(F.col("name").contains(F.col("term"))).select("term", "name")
+    terms, names = terms.where("term <> ''").select("term").distinct(), names.where("name is not null").select("name").distinct()
+    shards, slices = _pieces(terms, "term", SHARD_CHARS), _pieces(names, "name", SLICE_CHARS)
+
+    def dealt(df: DataFrame, column: str, own: str, own_count: int, other: str, other_count: int) -> DataFrame:
+        placed = df.withColumn(own, F.pmod(F.xxhash64(column), F.lit(own_count)))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other_count - 1).cast("bigint")))).groupBy("_shard", "_slice")
+
+    def match(shard: pa.Table, piece: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for term in shard["term"].to_pylist():
+            automaton.add_word(term, term)
+        found: tuple[list[str], list[str]] = ([], [])
+        if len(automaton):
+            automaton.make_automaton()
+            for name in piece["name"].to_pylist():
+                for term in {t for _, t in automaton.iter(name)}:
+                    found[0].append(term)
+                    found[1].append(name)
+        return pa.table({"term": pa.array(found[0], pa.string()), "name": pa.array(found[1], pa.string())})
+
+    left, right = dealt(terms, "term", "_shard", shards, "_slice", slices), dealt(names, "name", "_slice", slices, "_shard", shards)
+    return left.cogroup(right).applyInArrow(match, "term string, name string")
 
 
 def blacklist_matches(applications: DataFrame, defaulters: DataFrame) -> DataFrame:

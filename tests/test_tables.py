@@ -128,6 +128,20 @@ def test_substring_join_equals_brute_force(spark):
     assert got == sorted((t, n) for t in set(terms) for n in set(names) if t in n)
 
 
+def test_shards_and_slices_change_no_pair(spark, monkeypatch):
+    """Terms of one and two characters, terms inside terms, and many shards and slices."""
+    chance = random.Random(4)
+    terms = ["a", "ab", "b", "bab", "é", "日", "", "aab", *{"".join(chance.choice("abcé") for _ in range(chance.randint(1, 6))) for _ in range(150)}]
+    names = ["".join(chance.choice("abcé 日") for _ in range(chance.randint(0, 25))) for _ in range(200)] + [None]
+    want = sorted({(t, n) for t in terms for n in names if t and n and t in n})
+    frames = spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(n,) for n in names], "name string")
+    for shard, piece in ((1_000_000, 1_000_000), (60, 700)):
+        monkeypatch.setattr(screening, "SHARD_CHARS", shard)
+        monkeypatch.setattr(screening, "SLICE_CHARS", piece)
+        assert sorted(map(tuple, screening.substring_pairs(*frames).collect())) == want
+    assert screening.substring_pairs(frames[0].limit(0), frames[1]).count() == 0 == screening.substring_pairs(frames[0], frames[1].limit(0)).count()
+
+
 def test_blacklist_keeps_duplicates_and_terms(spark):
     apps = spark.createDataFrame([(1, "Acme", "Raj, , Acme"), (2, None, None), (3, "Other", "")], "company_id int, company_name string, promoter_names string")
     listed = spark.createDataFrame([("M/S ACME AND RAJ", "PNB", "1", None), ("M/S ACME AND RAJ", "IDBI", "2", None), (None, "X", "3", None)],
