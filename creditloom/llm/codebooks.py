@@ -41,7 +41,7 @@ ENTRIES = 16
 ROUNDS = 6
 SCALE = 4096
 LARGEST = 1 << 28
-LEAF = 16
+LEAF = 32
 BLOCK_BYTES = 4 << 20
 
 
@@ -166,16 +166,14 @@ def nearest(points: PointTree, book: np.ndarray) -> tuple[np.ndarray, np.ndarray
         side = np.concatenate([np.repeat([0, 1], s) for s in sizes.tolist()])
         node, entry = 2 * node[pick] + side, entry[pick]
     if len(node):
-        size = np.diff(edges)[node]
-        row = np.repeat(edges[node] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        index = np.repeat(tree.entry[entry], size)
-        gap = points.points[row] - book[index]
-        unsure, at = np.unique(row, return_inverse=True)
-        table = np.full((len(unsure), len(book)), np.iinfo(np.int64).max)
-        table[at, index] = (gap * gap).sum(1)
-        codes[unsure] = own = table.argmin(1)  # the first of equal ones
+        leaf = node[np.concatenate([[True], node[1:] != node[:-1]])]
+        size = np.diff(edges)[leaf]
+        row = np.repeat(edges[leaf] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        unsure = points.points[row]
+        # Squared distances less the part's own square. Dropped entries are strictly farther, so they need no mask.
+        codes[row] = own = ((book * book).sum(1) - 2 * (unsure @ book.T)).argmin(1)  # the first of equal ones
         counts += np.bincount(own, minlength=len(book))
-        np.add.at(sums, own, points.points[unsure])
+        np.add.at(sums, own, unsure)
     return codes, counts, sums, whole
 
 
