@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from creditloom import fixedvalues as fv
 from creditloom.functions.numbers import format_inr
@@ -95,5 +96,18 @@ def memo_name(company_name: Column, stamp: str) -> Column:
 
 
 def write_memos(memos: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Memo rows under one folder per decision."""
+    """Memo rows under one folder per decision, and beside them a manifest: the complete files with their rows, written last."""
     memos.write.mode("overwrite").partitionBy("decision").format(fmt).save(path)
+    files = memos.sparkSession.read.format(fmt).schema(memos.schema).load(path).groupBy("decision", F.col("_metadata.file_path").alias("file"))
+    files.agg(F.count(F.lit(1)).alias("n_rows")).write.mode("overwrite").parquet(f"{path}-manifest")
+
+
+def read_memos(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None) -> DataFrame:
+    """The memo rows of the files in the manifest. Raises if there is no manifest, or if it lists rows that are not there any more."""
+    manifest = spark.read.parquet(f"{path}-manifest")
+    reader = spark.read.format(fmt) if schema is None else spark.read.format(fmt).schema(schema)
+    rows = reader.load(path).withColumn("_file", F.col("_metadata.file_path"))
+    rows = rows.join(manifest.select(F.col("file").alias("_file")), "_file", "left_semi").drop("_file")
+    if rows.count() != (manifest.agg(F.sum("n_rows")).first()[0] or 0):
+        raise ValueError(f"{path} has not all the rows its manifest lists; it was written again or damaged")
+    return rows

@@ -52,10 +52,11 @@ def _numbers(spark: SparkSession, path: str, committed: bool) -> list[int]:
     fs, root = _folder(spark, path)
     names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
     numbers = [int(n.removeprefix("version-")) for n in names if n.startswith("version-")]
-    return sorted(n for n in numbers if not committed or fs.exists(_folder(spark, f"{_version(path, n)}/{COMMITTED}")[1]))
+    return sorted(n for n in numbers if not committed or fs.exists(_folder(spark, f"{version_path(path, n)}/{COMMITTED}")[1]))
 
 
-def _version(path: str, number: int) -> str:
+def version_path(path: str, number: int) -> str:
+    """The folder of a version."""
     return f"{path}/version-{number:05d}"
 
 
@@ -67,8 +68,8 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 def save_version(model: PipelineModel, spark: SparkSession, path: str) -> int:
     """Writes a new version and then its marker. No file that exists is ever written again."""
     number = max(_numbers(spark, path, False), default=0) + 1
-    model.save(_version(path, number))
-    fs, marker = _folder(spark, f"{_version(path, number)}/{COMMITTED}")
+    model.save(version_path(path, number))
+    fs, marker = _folder(spark, f"{version_path(path, number)}/{COMMITTED}")
     fs.create(marker, False).close()
     return number
 
@@ -81,7 +82,7 @@ def load_version(spark: SparkSession, path: str, number: int | None = None) -> P
         raise ValueError(f"{path} has no complete version {number if number is not None else ''}".rstrip())
     at = (spark.sparkContext.applicationId, path, number)
     if at not in _models:
-        _models[at] = PipelineModel.load(_version(path, number))
+        _models[at] = PipelineModel.load(version_path(path, number))
     return _models[at]
 
 

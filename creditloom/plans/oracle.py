@@ -539,6 +539,19 @@ CHECKS: dict[str, str] = {
         CAST(ml_score AS DOUBLE) AS ml_score, CAST(score AS DOUBLE) AS score, decision, CAST(credit_limit AS DOUBLE) AS credit_limit, CAST(risk_premium AS DOUBLE) AS risk_premium,
         discrepancy_pct, gst_risk, risk_rating, blacklisted, early_warnings, officer_review, reason_sentence, warnings_text, quota_warnings FROM w_final""",
 }
+CHECKS |= {
+    "write_memos": CHECKS["memo_sections"],
+    "load_and_validate": "SELECT 'gst' AS kind, count(*) AS n_rows, TRUE AS valid FROM fx_gst_returns UNION ALL SELECT 'bank', count(*), TRUE FROM fx_bank_txns",
+    "train_default_model_check": """SELECT CAST(label AS BIGINT) AS label, CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS n_test, TRUE AS found
+        FROM usable GROUP BY label""",
+    "model_store_check": """SELECT CAST(1 AS BIGINT) AS version, CAST(sum(n) AS BIGINT) AS n_test, TRUE AS same
+        FROM (SELECT floor(count(*) * 0.2 + 0.5) AS n FROM usable GROUP BY label)""",
+    "score_loans_check": "SELECT loan_id, TRUE AS bounded, TRUE AS complement, TRUE AS band FROM fx_loans",
+    "attributions_check": "SELECT loan_id, TRUE AS additive FROM fx_loans",
+    "assess_with_model_check": "SELECT company_id, TRUE AS bounded, TRUE AS complement, TRUE AS score_bounded FROM fx_applications",
+    "applicant_factors_check": "SELECT company_id, TRUE AS n_in_range, TRUE AS unlike, TRUE AS typed FROM fx_applications",
+}
+VIEWS["usable"] = "SELECT * FROM labelled WHERE " + " AND ".join(f"{f} IS NOT NULL" for f in fv.MODEL_FEATURES)
 VIEWS["turn_text"] = "SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS text FROM fx_conversation_pages GROUP BY doc_id"
 VIEWS["turn_facts"] = fact_union("turn_text", "doc_id", "text")
 

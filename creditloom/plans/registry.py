@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from creditloom.sources import cells, defaulters, files, tables
 
 SEP = " ; "
 MODEL_ROUNDS = model.ROUNDS  # boosting rounds of the registered model queries
+RECALL_FLOOR = 0.8  # of each class of the hold-out share
 MEMO_DATE = "01 January 2026"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -101,6 +104,14 @@ def to_cells(spark, sf):
     return cells.to_cells(lines, F.col("l_orderkey"), F.col("l_linenumber"), ["l_returnflag", "l_partkey", "price"])
 
 
+@query("load_and_validate")
+def load_and_validate(spark, sf):
+    returns = _as_csv(fx.gst_returns(spark, sf).drop("filed_at"), spark, "gst-csv")
+    loaded = tables.load_and_validate(spark, returns, _as_csv(_bank(spark, sf), spark, "bank-csv"))
+    rows = [loaded[f"{kind}_df"].agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_rows"), F.lit(loaded[f"{kind}_valid"]).alias("valid")) for kind in ("gst", "bank")]
+    return rows[0].unionByName(rows[1])
+
+
 @query("validate_columns")
 def validate_columns(spark, sf):
     returns, bank = fx.gst_returns(spark, sf), fx.bank_txns(spark, sf)
@@ -564,14 +575,25 @@ def swot_fallback(spark, sf):
     return explain.swot_points(fx.applications(spark, sf))
 
 
-@query("memo_sections")
-def memo_sections(spark, sf):
+def _memos(spark, sf):
     sources = research.build_context(fx.search_hits(spark, sf)).select("company_id", "sources")
     ensure_checkpoint_dir(spark)
     cases = _decided(spark, sf).join(sources, "company_id", "left").checkpoint()
     return memo.memo_sections(cases, MEMO_DATE, notes=fx.officer_notes(spark, sf))
 
 
+@query("memo_sections")
+def memo_sections(spark, sf):
+    return _memos(spark, sf)
+
+
+@query("write_memos")
+def write_memos(spark, sf):
+    memos, path = _memos(spark, sf), shared_folder(spark, "memos")
+    memo.write_memos(memos, path)
+    return memo.read_memos(spark, path, schema=memos.schema)
+
+
 # --- model ---
 
 _model_paths: dict[tuple[str, str], str] = {}
@@ -639,6 +661,43 @@ def attributions_query(spark, sf):
     return attributions.attributions(_features(spark, sf), *_model(spark, sf))
 
 
+@query("train_default_model_check")
+def train_default_model_check(spark, sf):
+    """Per class the size of the hold-out share and whether the model finds most of it."""
+    fitted, _ = _model(spark, sf)
+    right = F.avg((F.col("label") == F.col("prediction")).cast("int"))
+    return model.holdout_predictions(fitted, _labelled(spark, sf)).groupBy("label").agg(F.count(F.lit(1)).alias("n_test"), (right >= RECALL_FLOOR).alias("found"))
+
+
+@query("model_store_check")
+def model_store_check(spark, sf):
+    """The store holds one version, and a model read from it again predicts what the first one does."""
+    fitted, path = _model(spark, sf)
+    number = model.versions(spark, path)[-1]
+    again = PipelineModel.load(model.version_path(path, number))
+    rows = model.holdout_predictions(fitted, _labelled(spark, sf)).select("loan_id", "prediction")
+    other = model.holdout_predictions(again, _labelled(spark, sf)).select("loan_id", F.col("prediction").alias("again"))
+    return rows.join(other, "loan_id").agg(F.lit(number).alias("version"), F.count(F.lit(1)).alias("n_test"), F.every(F.col("prediction") == F.col("again")).alias("same"))
+
+
+@query("score_loans_check")
+def score_loans_check(spark, sf):
+    scored = model.score_loans(_features(spark, sf), _model(spark, sf)[0])
+    p = F.col("default_probability")
+    return scored.select("loan_id", p.between(8, 80).alias("bounded"), (F.abs(p + F.col("ml_score") - 100) < 1e-9).alias("complement"),
+                         (F.col("recommendation") == rules.risk_band(p)).alias("band"))
+
+
+@query("attributions_check")
+def attributions_check(spark, sf):
+    """Contributions and mean margin give the raw prediction of every loan."""
+    fitted, path = _model(spark, sf)
+    wide = attributions.attributions_wide(_features(spark, sf), fitted, path)
+    raw = fitted.transform(_features(spark, sf)).select("loan_id", vector_to_array("rawPrediction")[1].alias("raw"))
+    total = sum([F.col(c) for c in scoring.fv.MODEL_FEATURES], F.col("base"))
+    return wide.join(raw, "loan_id").select("loan_id", (F.abs(total - F.col("raw")) < 1e-6).alias("additive"))
+
+
 # --- whole assessment ---
 
 @query("assess_borrowers")
@@ -663,3 +722,18 @@ def applicant_factors(spark, sf):
     features = scoring.model_features(scoring.base_financials(fx.applications(spark, sf)))
     wide = attributions.attributions_wide(features, *_model(spark, sf), key="company_id")
     return attributions.factor_chart_of_wide(wide, key="company_id")
+
+
+@query("assess_with_model_check")
+def assess_with_model_check(spark, sf):
+    p = F.col("default_probability")
+    return assess_with_model(spark, sf).select("company_id", p.between(8, 80).alias("bounded"), (F.abs(p + F.col("ml_score") - 100) < 1e-9).alias("complement"),
+                                               F.col("score").between(0, 100).alias("score_bounded"))
+
+
+@query("applicant_factors_check")
+def applicant_factors_check(spark, sf):
+    """Three to six factors a company, none twice, their type by the sign of their impact."""
+    kind = F.when(F.col("impact") > 0, "Risk").otherwise("Positive")
+    return applicant_factors(spark, sf).groupBy("company_id").agg(
+        F.count(F.lit(1)).between(3, 6).alias("n_in_range"), (F.countDistinct("feature") == F.count(F.lit(1))).alias("unlike"), F.every(F.col("type") == kind).alias("typed"))

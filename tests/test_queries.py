@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from creditloom.plans import registry
 from creditloom.plans.oracle import ORACLE
 from creditloom.plans.registry import QUERIES
 
@@ -22,6 +23,14 @@ def duck(sf):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_rounds():
+    """Three boosting rounds are enough for what these tests ask of a model."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(registry, "MODEL_ROUNDS", 3)
+        yield
+
+
 def rows_of(rows, order):
     def plain(v):
         return None if isinstance(v, float) and math.isnan(v) else v
@@ -52,9 +61,7 @@ def test_entry_module(spark):
     assert decisions <= {"APPROVE", "CONDITIONAL APPROVE", "REJECT"}
 
 
-def test_model_queries(spark, sf, monkeypatch):
-    from creditloom.plans import registry
-    monkeypatch.setattr(registry, "MODEL_ROUNDS", 3)
+def test_model_queries(spark, sf):
     counts = {k: QUERIES[k](spark, sf).count() for k in ("score_loans", "train_default_model", "attributions", "assess_with_model")}
     assert counts == {"score_loans": 1500, "train_default_model": 5, "attributions": 18000, "assess_with_model": 150}
     assert QUERIES["model_store"](spark, sf).count() >= 2 and QUERIES["applicant_factors"](spark, sf).count() >= 450

@@ -139,3 +139,19 @@ def test_large_numbers_are_written_out(spark):
     rows = [("99999999999.90", "99999999999.9"), ("10000000.00", "10000000.0"), ("0.00", "0.0"), ("-0.05", "-0.05"), ("41.30", "41.3"), ("100.00", "100.0"), (None, None)]
     df = spark.createDataFrame([(a, b) for a, b in rows], "a string, b string").select(F.col("a").cast("decimal(38,2)").alias("a"), "b")
     assert all(r["shown"] == r["b"] for r in df.select("b", explain.plain(F.col("a")).alias("shown")).collect())
+
+
+def test_memos_are_read_by_their_manifest(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "APPROVE", "a"), (2, "REJECT", "b"), (3, "REJECT", "c")], "company_id int, decision string, value string")
+    path = str(tmp_path / "memos")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        memo.read_memos(spark, path)
+    memo.write_memos(rows.repartition(2), path)
+    (tmp_path / "memos" / "decision=REJECT").joinpath("part-stray.parquet").write_bytes(next((tmp_path / "memos" / "decision=APPROVE").glob("part-*.parquet")).read_bytes())
+    assert sorted((r.company_id, r.decision, r.value) for r in memo.read_memos(spark, path, schema=rows.schema).collect()) == sorted(map(tuple, rows.collect()))
+    next((tmp_path / "memos" / "decision=APPROVE").glob("part-*.parquet")).unlink()
+    with pytest.raises(ValueError, match="manifest"):
+        memo.read_memos(spark, path, schema=rows.schema)
+    empty = str(tmp_path / "none")
+    memo.write_memos(rows.limit(0), empty)
+    assert memo.read_memos(spark, empty, schema=rows.schema).count() == 0
