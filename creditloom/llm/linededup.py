@@ -81,11 +81,12 @@ UNIT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bi
 KEY = ["_l_id", "_l_hash"]
 
 
-def _unit_rows(texts: DataFrame, second: bool, bits: np.ndarray | None = None) -> DataFrame:
+def _unit_rows(texts: DataFrame, second: bool, bits: np.ndarray | None, taken: np.ndarray) -> DataFrame:
     """The chunks, or in the ``second`` step the pairs, of all texts by hash; with ``bits`` only those whose hash the bit map may hold, with their bytes.
 
-    ``texts``: _l_id, _l_hash, _l_text, _l_starts, _l_ends, the last two naming removed chunks."""
-    shared = None if bits is None else texts.sparkSession.sparkContext.broadcast(bits)
+    ``texts``: _l_id, _l_hash, _l_text, _l_starts, _l_ends naming removed chunks, _l_slot; rows whose slot ``taken`` has are left out."""
+    context = texts.sparkSession.sparkContext
+    shared, without = None if bits is None else context.broadcast(bits), context.broadcast(taken)
     names = [x.split(" ")[0] for x in UNIT_SCHEMA.split(", ")]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -105,8 +106,8 @@ def _unit_rows(texts: DataFrame, second: bool, bits: np.ndarray | None = None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            for doc, text_hash, text, starts, ends in zip(*batch.columns, strict=True):
+        for batch in (_fresh(b.slice(i, ROWS), without.value) for b in batches for i in range(0, b.num_rows, ROWS)):
+            for doc, text_hash, text, starts, ends in zip(*batch.columns[:5], strict=True):
                 own = doc.as_py(), text_hash.as_py()
                 for unit in units(text.as_py(), starts.as_py(), ends.as_py()):
                     rows.append((*own, *unit))
@@ -115,7 +116,7 @@ def _unit_rows(texts: DataFrame, second: bool, bits: np.ndarray | None = None) -
                         rows = []
         yield batch_of(rows)
 
-    return texts.select(*KEY, "_l_text", "_l_starts", "_l_ends").mapInArrow(run, UNIT_SCHEMA)
+    return texts.select(*KEY, "_l_text", "_l_starts", "_l_ends", "_l_slot").mapInArrow(run, UNIT_SCHEMA)
 
 
 def repeated_units(rows: Callable[[np.ndarray | None], DataFrame], name: str) -> DataFrame:
@@ -135,12 +136,24 @@ def _spans(units: DataFrame, starts: str, ends: str) -> DataFrame:
     return lists.select(*KEY, F.col("_l_list._l_start").alias(starts), F.col("_l_list._l_end").alias(ends))
 
 
-def _joined(rows: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows with the lists of their text; only rows that may have some are shuffled."""
+def _beside(rows: DataFrame, spans: DataFrame, columns: list[str], name: str | None = None) -> tuple[DataFrame, np.ndarray]:
+    """The rows with the lists of their text, and a bit map. Only rows that may have lists are shuffled.
+
+    They come first; all rows follow with empty lists and their slot in ``_l_slot``. Who reads them leaves out those whose slot is set, by ``_fresh``."""
     bits = key_bits(spans, *KEY)
-    hit = passing(rows, bits, KEY, True).join(spans, KEY, "left")
+    hit = passing(rows, bits, KEY, True).join(spans, KEY, "left").withColumn("_l_slot", F.lit(None).cast("bigint"))
+    if name:
+        hit = stored(hit, name)
     none: dict[str, Column] = {c: F.lit(None).cast("array<bigint>") for c in columns}
-    return hit.unionByName(passing(rows, bits, KEY, False).withColumns(none))
+    slot = F.when(F.col("_l_id").isNotNull(), F.pmod(F.xxhash64(*KEY), F.lit(8 * len(bits))))
+    return hit.unionByName(rows.withColumns({**none, "_l_slot": slot})), bits
+
+
+def _fresh(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows whose slot, the last column, is null or not set."""
+    slot = batch.column(batch.num_columns - 1)
+    known = slot.is_valid().to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(~(known & has_bit(bits, slot.fill_null(0).to_numpy()))))
 
 
 def _gone_lines(lines: list[str], seen: list[int], removed: list[Span], drop: list[int]) -> set[int]:
@@ -161,12 +174,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select("*", F.col(f"`{id_col}`").cast("long").alias("_l_id"), F.xxhash64(text).alias("_l_hash"))
     keyed = rows.where("_l_id is not null").select(*KEY, text.alias("_l_text"))
-    bare = keyed.withColumns({c: F.lit(None).cast("array<bigint>") for c in ("_l_starts", "_l_ends")})
-    removed = stored(_spans(repeated_units(lambda bits: _unit_rows(bare, False, bits), "chunks"), "_l_starts", "_l_ends"), "lines-removed")
-    left = _joined(keyed, removed, ["_l_starts", "_l_ends"])
-    more = _spans(repeated_units(lambda bits: _unit_rows(left, True, bits), "pairs"), "_l_drop", "_l_drop_end").drop("_l_drop_end")
+    bare = keyed.withColumns({c: F.lit(None).cast("array<bigint>") for c in ("_l_starts", "_l_ends")}).withColumn("_l_slot", F.lit(None).cast("bigint"))
+    nothing = np.zeros(8, np.uint8)
+    removed = stored(_spans(repeated_units(lambda bits: _unit_rows(bare, False, bits, nothing), "chunks"), "_l_starts", "_l_ends"), "lines-removed")
+    left, taken = _beside(keyed, removed, ["_l_starts", "_l_ends"], "lines-left")
+    more = _spans(repeated_units(lambda bits: _unit_rows(left, True, bits, taken), "pairs"), "_l_drop", "_l_drop_end").drop("_l_drop_end")
     drops = stored(removed.join(more, KEY, "full"), "lines-drops")
-    joined = _joined(rows, drops, ["_l_starts", "_l_ends", "_l_drop"])
+    joined, changed = _beside(rows, drops, ["_l_starts", "_l_ends", "_l_drop"])
+    without = docs.sparkSession.sparkContext.broadcast(changed)
     counts = ("n_lines", "n_lines_removed")
     kept = [f for f in docs.schema.fields if f.name not in counts]
     names = [f.name for f in kept]
@@ -174,9 +189,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     schema = StructType([*[StructField(f.name, StringType()) if f.name == text_col else f for f in kept], *[StructField(c, LongType()) for c in counts]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        for batch in (_fresh(b.slice(i, ROWS), without.value) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts, n_lines, n_removed = [], [], []
-            for text, *spans in zip(batch.column(at), *batch.columns[len(names):], strict=True):
+            for text, *spans in zip(batch.column(at), *batch.columns[len(names):-1], strict=True):
                 text, (starts, ends, drop) = text.as_py(), (s.as_py() or [] for s in spans)
                 if not starts and not drop:
                     texts.append(text)
@@ -192,7 +207,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names, *counts])
 
-    return joined.select(*[f"`{n}`" for n in names], "_l_starts", "_l_ends", "_l_drop").mapInArrow(run, schema)
+    return joined.select(*[f"`{n}`" for n in names], "_l_starts", "_l_ends", "_l_drop", "_l_slot").mapInArrow(run, schema)
 
 
 dedup_runs = dedup
