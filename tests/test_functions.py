@@ -99,7 +99,7 @@ def test_parse_reply_salvages_braces(spark):
 def test_flatten_research_nested_lists(spark):
     reply = ('{"promoter_reputation": "fine", "sector_view": {"headwinds": ["a", "b"], "tail_winds": "[\'x\', \'y\']"}, "signals": [], '
              '"long": "' + "z" * 900 + '"}')
-    rows = research.flatten_research(spark.createDataFrame([(1, reply), (2, "```json plain``` "), (3, "[1, 2]")], "company_id int, reply string")).collect()
+    rows = research.flatten_research(spark.createDataFrame([(1, reply), (2, "```json plain``` "), (3, "[1, 2]")], "company_id int, reply string"), research.LABEL_CHARS, research.FINDINGS_CHARS).collect()
     got = {(r.company_id, r.label): r.content for r in rows}
     assert got == {
         (1, "Promoter Reputation"): "fine", (1, "Sector View — Headwinds"): "a | b", (1, "Sector View — Tail Winds"): "x | y",
