@@ -12,6 +12,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: ASCII white space, as the contracts' word pattern excludes it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -99,9 +100,10 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
 
 
-def key_bits(keys: DataFrame, *columns: str) -> np.ndarray:
-    """A bit map in which the slot of every key is set. ``keys`` is a stored table; slots are put together by a pre-aggregated ``bit_or``."""
-    slots = min(max(LEAST_BITS, 1 << (8 * keys.count()).bit_length()), MOST_BITS)
+def key_bits(keys: DataFrame, *columns: str, each: int = 8) -> np.ndarray:
+    """A bit map in which the slot of every key is set, of ``each`` slots a key or up to twice as many; one other row in ``each`` passes at
+    most. ``keys`` is a stored table; slots are put together by a pre-aggregated ``bit_or``."""
+    slots = min(max(LEAST_BITS, 1 << (each * keys.count()).bit_length()), MOST_BITS)
     slot = keys.select(F.pmod(F.xxhash64(*columns), F.lit(slots)).alias("slot"))
     word = slot.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
     parts = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -156,14 +158,14 @@ def bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(keys >> np.uint64(32), (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
 
 
-def squeezed(rows: DataFrame) -> DataFrame:
-    """Rows whose last column, a text, is replaced by ``packed``: its UTF-8 bytes compressed one by one."""
-    names = rows.columns[:-1]
+def squeezed(rows: DataFrame, name: str = "packed") -> DataFrame:
+    """Rows whose last column, a text, is replaced by ``name``: its UTF-8 bytes compressed one by one."""
+    fields = rows.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             texts = pa.array([press.compress(t.as_buffer()) for t in batch.columns[-1]], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*names, "packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*[f.name for f in fields], name])
 
-    return rows.mapInArrow(run, ", ".join([*[f"`{n}` {t}" for n, t in rows.dtypes[:-1]], "packed binary"]))
+    return rows.mapInArrow(run, StructType([*fields, StructField(name, BinaryType())]))

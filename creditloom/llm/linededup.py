@@ -14,7 +14,7 @@ inserting or deleting lines elsewhere moves no other one, and no chunk has less
 Step 2 loses nothing by leaving the removed chunks out: their pairs of lines stand in the chunk's first occurrence too.
 
 Only unit hashes are grouped, after pre-aggregation; only units whose hash repeats travel with their bytes, in a plain
-join that adaptive execution splits when one unit is very common, and only texts that lose lines are shuffled.
+join that adaptive execution splits when one unit is very common, and only texts that lose lines are shuffled, each compressed.
 
 Defined results: a null text is treated as empty and stays null; texts without repeated runs stay byte for byte, and blank lines
 at the ends of a run stay. Rows that repeat id and text count as one document and get equal results; rows that repeat an id with another text
@@ -29,16 +29,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from creditloom.llm.common import has_bit, key_bits, passing, stored
+from creditloom.llm.common import has_bit, key_bits, passing, squeezed, stored
 
 WINDOW = 2
 MIN_LINES = 2
 ROWS = 256  # texts held as lines at once
 UNITS = 8192  # units that leave a task's worker at once
+SLOTS = 32  # of a bit map for each key
 FACTOR = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 Span = tuple[int, int]
@@ -84,7 +86,7 @@ KEY = ["_l_id", "_l_hash"]
 def _unit_rows(texts: DataFrame, second: bool, bits: np.ndarray | None, taken: np.ndarray) -> DataFrame:
     """The chunks, or in the ``second`` step the pairs, of all texts by hash; with ``bits`` only those whose hash the bit map may hold, with their bytes.
 
-    ``texts``: _l_id, _l_hash, _l_text, _l_starts, _l_ends naming removed chunks, _l_slot; rows whose slot ``taken`` has are left out."""
+    ``texts``: _l_id, _l_hash, _l_text, _l_packed, _l_starts, _l_ends naming removed chunks, _l_slot; rows whose slot ``taken`` has are left out."""
     context = texts.sparkSession.sparkContext
     shared, without = None if bits is None else context.broadcast(bits), context.broadcast(taken)
     names = [x.split(" ")[0] for x in UNIT_SCHEMA.split(", ")]
@@ -107,16 +109,16 @@ def _unit_rows(texts: DataFrame, second: bool, bits: np.ndarray | None, taken: n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in (_fresh(b.slice(i, ROWS), without.value) for b in batches for i in range(0, b.num_rows, ROWS)):
-            for doc, text_hash, text, starts, ends in zip(*batch.columns[:5], strict=True):
+            for doc, text_hash, text, packed, starts, ends in zip(*batch.columns[:6], strict=True):
                 own = doc.as_py(), text_hash.as_py()
-                for unit in units(text.as_py(), starts.as_py(), ends.as_py()):
+                for unit in units(_text(text, packed), starts.as_py(), ends.as_py()):
                     rows.append((*own, *unit))
                     if len(rows) >= UNITS:
                         yield batch_of(rows)
                         rows = []
         yield batch_of(rows)
 
-    return texts.select(*KEY, "_l_text", "_l_starts", "_l_ends", "_l_slot").mapInArrow(run, UNIT_SCHEMA)
+    return texts.select(*KEY, "_l_text", "_l_packed", "_l_starts", "_l_ends", "_l_slot").mapInArrow(run, UNIT_SCHEMA)
 
 
 def repeated_units(rows: Callable[[np.ndarray | None], DataFrame], name: str) -> DataFrame:
@@ -124,7 +126,7 @@ def repeated_units(rows: Callable[[np.ndarray | None], DataFrame], name: str) ->
     place = F.struct(*KEY, "_l_start")
     repeated = stored(rows(None).groupBy("_l_unit").agg(F.min(place).alias("_l_first"), F.max(place).alias("_l_last")).where(
         "_l_first <> _l_last").select("_l_unit", "_l_first"), f"lines-{name}")
-    bodies = stored(rows(key_bits(repeated, "_l_unit")), f"lines-{name}-bytes").join(repeated, "_l_unit")
+    bodies = stored(rows(key_bits(repeated, "_l_unit", each=SLOTS)), f"lines-{name}-bytes").join(repeated, "_l_unit")
     is_first = place.eqNullSafe(F.col("_l_first"))
     firsts = bodies.where(is_first).groupBy("_l_unit").agg(F.first("_l_bytes").alias("_l_kept"))
     return bodies.where(~is_first).join(firsts, "_l_unit").where(F.col("_l_bytes") == F.col("_l_kept")).select(*KEY, "_l_start", "_l_end")
@@ -136,19 +138,27 @@ def _spans(units: DataFrame, starts: str, ends: str) -> DataFrame:
     return lists.select(*KEY, F.col("_l_list._l_start").alias(starts), F.col("_l_list._l_end").alias(ends))
 
 
-def _beside(rows: DataFrame, spans: DataFrame, columns: list[str], name: str | None = None) -> tuple[DataFrame, np.ndarray]:
-    """The rows with the lists of their text, and a bit map. Only rows that may have lists are shuffled.
+def _beside(rows: DataFrame, text_col: str, spans: DataFrame, columns: list[str], name: str | None = None) -> tuple[DataFrame, np.ndarray]:
+    """The rows with the lists of their text, and a bit map. Only rows that may have lists are shuffled, with their text compressed in ``_l_packed``.
 
     They come first; all rows follow with empty lists and their slot in ``_l_slot``. Who reads them leaves out those whose slot is set, by ``_fresh``."""
-    bits = key_bits(spans, *KEY)
-    hit = passing(rows, bits, KEY, True).join(spans, KEY, "left").withColumn("_l_slot", F.lit(None).cast("bigint"))
+    bits = key_bits(spans, *KEY, each=SLOTS)
+    text = F.col(f"`{text_col}`")
+    others = [f"`{c}`" for c in rows.columns if c != text_col]
+    found = squeezed(passing(rows.where(text.isNotNull()), bits, KEY, True).select(*others, text), "_l_packed")
+    hit = found.join(spans, KEY, "left").withColumns({text_col: F.lit(None).cast("string"), "_l_slot": F.lit(None).cast("bigint")})
     if name:
         hit = stored(hit, name)
-    none: dict[str, Column] = {c: F.lit(None).cast("array<bigint>") for c in columns}
-    slot = F.when(F.col("_l_id").isNotNull(), F.pmod(F.xxhash64(*KEY), F.lit(8 * len(bits))))
+    none: dict[str, Column] = {c: F.lit(None).cast("array<bigint>") for c in columns} | {"_l_packed": F.lit(None).cast("binary")}
+    slot = F.when(F.col("_l_id").isNotNull() & text.isNotNull(), F.pmod(F.xxhash64(*KEY), F.lit(8 * len(bits))))
     return hit.unionByName(rows.withColumns({**none, "_l_slot": slot})), bits
 
 
+def _text(text: pa.Scalar, packed: pa.Scalar) -> str | None:
+    """A text that is there as it is or compressed."""
+    return zstandard.decompress(packed.as_py()).decode("utf-8") if packed.is_valid else text.as_py()
+
+
 def _fresh(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
     """The rows whose slot, the last column, is null or not set."""
     slot = batch.column(batch.num_columns - 1)
@@ -174,13 +184,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select("*", F.col(f"`{id_col}`").cast("long").alias("_l_id"), F.xxhash64(text).alias("_l_hash"))
     keyed = rows.where("_l_id is not null").select(*KEY, text.alias("_l_text"))
-    bare = keyed.withColumns({c: F.lit(None).cast("array<bigint>") for c in ("_l_starts", "_l_ends")}).withColumn("_l_slot", F.lit(None).cast("bigint"))
+    lists = {c: F.lit(None).cast("array<bigint>") for c in ("_l_starts", "_l_ends")}
+    bare = keyed.withColumns({**lists, "_l_packed": F.lit(None).cast("binary"), "_l_slot": F.lit(None).cast("bigint")})
     nothing = np.zeros(8, np.uint8)
     removed = stored(_spans(repeated_units(lambda bits: _unit_rows(bare, False, bits, nothing), "chunks"), "_l_starts", "_l_ends"), "lines-removed")
-    left, taken = _beside(keyed, removed, ["_l_starts", "_l_ends"], "lines-left")
+    left, taken = _beside(keyed, "_l_text", removed, ["_l_starts", "_l_ends"], "lines-left")
     more = _spans(repeated_units(lambda bits: _unit_rows(left, True, bits, taken), "pairs"), "_l_drop", "_l_drop_end").drop("_l_drop_end")
     drops = stored(removed.join(more, KEY, "full"), "lines-drops")
-    joined, changed = _beside(rows, drops, ["_l_starts", "_l_ends", "_l_drop"])
+    joined, changed = _beside(rows, text_col, drops, ["_l_starts", "_l_ends", "_l_drop"])
     without = docs.sparkSession.sparkContext.broadcast(changed)
     counts = ("n_lines", "n_lines_removed")
     kept = [f for f in docs.schema.fields if f.name not in counts]
@@ -191,8 +202,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (_fresh(b.slice(i, ROWS), without.value) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts, n_lines, n_removed = [], [], []
-            for text, *spans in zip(batch.column(at), *batch.columns[len(names):-1], strict=True):
-                text, (starts, ends, drop) = text.as_py(), (s.as_py() or [] for s in spans)
+            for text, packed, *spans in zip(batch.column(at), *batch.columns[len(names):-1], strict=True):
+                text, (starts, ends, drop) = _text(text, packed), (s.as_py() or [] for s in spans)
                 if not starts and not drop:
                     texts.append(text)
                     n_lines.append(text.count("\n") + 1 if text else 0)
@@ -207,7 +218,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names, *counts])
 
-    return joined.select(*[f"`{n}`" for n in names], "_l_starts", "_l_ends", "_l_drop", "_l_slot").mapInArrow(run, schema)
+    return joined.select(*[f"`{n}`" for n in names], "_l_packed", "_l_starts", "_l_ends", "_l_drop", "_l_slot").mapInArrow(run, schema)
 
 
 dedup_runs = dedup
