@@ -122,14 +122,17 @@ def _unit_rows(texts: DataFrame, second: bool, bits: np.ndarray | None, taken: n
 
 
 def repeated_units(rows: Callable[[np.ndarray | None], DataFrame], name: str) -> DataFrame:
-    """``_l_id, _l_hash, _l_start, _l_end`` of every unit whose bytes stand earlier. ``rows`` gives the units, with bytes if it gets a bit map."""
-    place = F.struct(*KEY, "_l_start")
+    """``_l_id, _l_hash, _l_start, _l_end`` of every unit whose bytes stand earlier. ``rows`` gives the units, with bytes if it gets a bit map.
+
+    The bytes of first occurrences are found by a bit map of their places: what else passes is later and loses against the first."""
+    place, at = F.struct(*KEY, "_l_start"), ["_l_unit", *KEY, "_l_start"]
     repeated = stored(rows(None).groupBy("_l_unit").agg(F.min(place).alias("_l_first"), F.max(place).alias("_l_last")).where(
-        "_l_first <> _l_last").select("_l_unit", "_l_first"), f"lines-{name}")
-    bodies = stored(rows(key_bits(repeated, "_l_unit", each=SLOTS)), f"lines-{name}-bytes").join(repeated, "_l_unit")
-    is_first = place.eqNullSafe(F.col("_l_first"))
-    firsts = bodies.where(is_first).groupBy("_l_unit").agg(F.first("_l_bytes").alias("_l_kept"))
-    return bodies.where(~is_first).join(firsts, "_l_unit").where(F.col("_l_bytes") == F.col("_l_kept")).select(*KEY, "_l_start", "_l_end")
+        "_l_first <> _l_last").select("_l_unit", "_l_first.*"), f"lines-{name}")
+    bodies = stored(rows(key_bits(repeated, "_l_unit", each=SLOTS)), f"lines-{name}-bytes")
+    firsts = stored(passing(bodies, key_bits(repeated, *at, each=SLOTS), at, True).groupBy("_l_unit").agg(
+        F.min(F.struct(*KEY, "_l_start", "_l_bytes")).alias("_l_kept")), f"lines-{name}-firsts")
+    first = F.struct("_l_kept._l_id", "_l_kept._l_hash", "_l_kept._l_start")
+    return bodies.join(firsts, "_l_unit").where((place > first) & (F.col("_l_bytes") == F.col("_l_kept._l_bytes"))).select(*KEY, "_l_start", "_l_end")
 
 
 def _spans(units: DataFrame, starts: str, ends: str) -> DataFrame:
