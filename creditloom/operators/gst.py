@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from creditloom import fixedvalues as fv
 from creditloom.functions.numbers import half_up, percent_of
 from creditloom.functions.rules import is_credit, level_of, texts_where
+from creditloom.session import shared_folder
 
 TAXABLE = ("taxable", "value")
 TXN_TYPE = ("type", "txn")
@@ -134,69 +135,84 @@ def itc_reconcile(gst: DataFrame, key: str = "company_id") -> DataFrame:
     )
 
 
-QUARTILES = (0.25, 0.5, 0.75)
+QUARTERS = (1, 2, 3)
+UNITS = 10_000  # of a described value; four decimals are kept
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str], accuracy: int = 20_000) -> DataFrame:
-    """count, mean, sample deviation, min, exact interpolated quartiles and max, one row per column.
+def _bucket_counts(values: DataFrame, spans: dict[int, list[tuple[int, int]]], buckets: int) -> dict[tuple[int, int], list[Row]]:
+    """The filled buckets ``bucket, n, low, high`` of every span of every column, in order; all from one pass."""
+    def units(n: int) -> Column:
+        return F.lit(str(n)).cast("decimal(33,0)")
 
-    Quartiles are found without sorting or holding a whole column: approximate quantiles on both sides of
-    each quartile only serve as cut points, the rows between cut points are counted exactly, and just the
-    slices that hold a wanted rank are ranked, after equal values were merged into counts.
+    placed = []
+    for i, own in spans.items():
+        v, place = F.col(f"u{i}"), F.lit(None)
+        for no, (low, high) in enumerate(own):
+            width = -(-(high - low + 1) // buckets)
+            bucket = F.call_function("div", v - units(low), units(width)).cast("int")
+            place = F.when(v.between(units(low), units(high)), F.struct(F.lit(i).alias("i"), F.lit(no).alias("no"), bucket.alias("bucket"), v.alias("v"))).otherwise(place)
+        placed.append(place)
+    rows = values.select(F.explode(F.array_compact(F.array(*placed))).alias("x")).select("x.*")
+    counts = rows.groupBy("i", "no", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    out: dict[tuple[int, int], list[Row]] = {}
+    for row in sorted(counts.collect(), key=lambda r: (r.i, r.no, r.bucket)):
+        out.setdefault((row.i, row.no), []).append(row)
+    return out
+
+
+def values_at_ranks(values: DataFrame, extremes: dict[int, tuple[int, int]], ranks: dict[int, set[int]], buckets: int) -> dict[tuple[int, int], int]:
+    """The values at zero-based ranks of columns ``u0, u1, ...`` of whole numbers, by exact selection.
+
+    The span between a column's extremes is cut into equal buckets, which are counted; the bucket with a wanted rank,
+    narrowed to the least and largest value found in it, is the next span. Every round is one pass and divides spans by
+    ``buckets`` at least, so their number depends on the range of the values alone. What reaches the driver are the
+    counts of ``buckets`` for each wanted rank at most.
     """
-    names = ", ".join(f"'{c}', cast(`{c}` as decimal(28,4))" for c in columns)
-    long = df.selectExpr(f"stack({len(columns)}, {names}) as (column, value)").where("value is not null")
-    margin = 2.0 / accuracy
-    cuts = [F.lit(p + d) for p in QUARTILES for d in (-margin, margin)]
-    basic = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg(F.col("value").cast("double")).alias("mean"),
-        F.stddev_samp(F.col("value").cast("double")).alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.percentile_approx("value", F.array(*cuts), F.lit(accuracy)).alias("_cuts"),
-    )
-    # One row per described column, so this broadcast is bounded by the schema.
-    cut_rows = F.broadcast(basic.select("column", "_cuts"))
-    sliced = long.join(cut_rows, "column").select(
-        "column", "value", F.size(F.filter("_cuts", lambda x: x < F.col("value"))).alias("_slice")
-    )
-    before = Window.partitionBy("column").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        sliced.groupBy("column", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    )
-    # Wanted ranks: the two order statistics around each quartile position (zero-based (n - 1) * p).
-    position = [(F.col("count") - 1) * F.lit(p).cast("decimal(3,2)") for p in QUARTILES]
-    wanted = basic.select(
-        "column",
-        F.explode(F.array(*[
-            F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), fn(pos).cast("bigint").alias("rank"))
-            for i, pos in enumerate(position) for side, fn in (("lo", F.floor), ("hi", F.ceil))
-        ])).alias("w"),
-    ).select("column", "w.*")
-    targets = wanted.join(sizes, "column").where("rank >= _before and rank < _before + _n").select(
-        "column", "_slice", "q", "side", (F.col("rank") - F.col("_before")).alias("_local")
-    )
-    needed = F.broadcast(targets.select("column", "_slice").distinct())  # at most six rows per described column
-    values = sliced.join(needed, ["column", "_slice"], "left_semi").groupBy("column", "_slice", "value").agg(
-        F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy("column", "_slice").orderBy("value")
-    ranked = values.withColumn("_end", F.sum("_n").over(upto)).withColumn("_start", F.col("_end") - F.col("_n"))
-    picked = ranked.join(F.broadcast(targets), ["column", "_slice"]).where("_local >= _start and _local < _end")
-    pairs = picked.groupBy("column").agg(*[
-        F.max(F.when((F.col("q") == i) & (F.col("side") == side), F.col("value"))).alias(f"{side}{i}")
-        for i in range(len(QUARTILES)) for side in ("lo", "hi")
-    ])
-    joined = basic.join(pairs, "column", "left")
-
-    def quartile(i: int) -> Column:
-        part = position[i] - F.floor(position[i])
-        low, high = F.col(f"lo{i}").cast("decimal(24,4)"), F.col(f"hi{i}").cast("decimal(24,4)")
-        return (low + (high - low) * part).cast("double")
-
-    return joined.select(
-        "column", "count", "mean", "std", F.col("min").cast("double").alias("min"),
-        *[quartile(i).alias(f"q{int(p * 100)}") for i, p in enumerate(QUARTILES)],
-        F.col("max").cast("double").alias("max"),
-    )
+    spans = {(i, rank): (*extremes[i], rank) for i, own in ranks.items() for rank in own}
+    while wide := {(i, low, high) for (i, _), (low, high, _) in spans.items() if low < high}:
+        by_column = {i: sorted((low, high) for j, low, high in wide if j == i) for i in sorted({w[0] for w in wide})}
+        counted = _bucket_counts(values, by_column, buckets)
+        for (i, rank), (low, high, left) in spans.items():
+            if low == high:
+                continue
+            for row in counted[i, by_column[i].index((low, high))]:
+                if left < row.n:
+                    spans[i, rank] = (int(row.low), int(row.high), left)
+                    break
+                left -= row.n
+    return {key: low for key, (low, _, _) in spans.items()}
+
+
+def describe_numeric(df: DataFrame, columns: Sequence[str], buckets: int = 1024) -> DataFrame:
+    """count, mean, sample deviation, min, exact interpolated quartiles and max, one row per column with a value.
+
+    Values are read with four decimals and written once to shared storage, whole numbers of units in a column each. Moments and
+    extremes take one pre-aggregated pass; quartiles follow from ``values_at_ranks``. No column is sorted, and no sketch
+    of it is merged in one task.
+    """
+    if buckets < 2:
+        raise ValueError("at least two buckets")
+    spark = df.sparkSession
+    path = shared_folder(spark, "described")
+    exact = [F.col(f"`{c}`").cast("decimal(28,4)") for c in columns]
+    df.select(*[(c * F.lit(UNITS)).cast("decimal(33,0)").alias(f"u{i}") for i, c in enumerate(exact)]).write.parquet(path)
+    values = spark.read.schema(", ".join(f"u{i} decimal(33,0)" for i in range(len(columns)))).parquet(path)
+
+    def of(i: int) -> list[Column]:
+        u = F.col(f"u{i}")
+        plain = u.cast("double") / F.lit(float(UNITS))
+        return [F.count(u).alias(f"n{i}"), F.avg(plain).alias(f"mean{i}"), F.stddev_samp(plain).alias(f"std{i}"), F.min(u).alias(f"min{i}"), F.max(u).alias(f"max{i}")]
+
+    basic = values.agg(*[c for i in range(len(columns)) for c in of(i)]).collect()[0]
+    filled = [i for i in range(len(columns)) if basic[f"n{i}"]]
+    places = {i: [divmod((basic[f"n{i}"] - 1) * q, 4) for q in QUARTERS] for i in filled}
+    ranks = {i: {r for at, part in own for r in (at, at + (part > 0))} for i, own in places.items()}
+    found = values_at_ranks(values, {i: (int(basic[f"min{i}"]), int(basic[f"max{i}"])) for i in filled}, ranks, buckets)
+
+    def quartile(i: int, at: int, part: int) -> float:
+        low, high = found[i, at], found[i, at + (part > 0)]
+        return (4 * low + part * (high - low)) / (4 * UNITS)
+
+    rows = [(columns[i], basic[f"n{i}"], basic[f"mean{i}"], basic[f"std{i}"], int(basic[f"min{i}"]) / UNITS,
+             *[quartile(i, at, part) for at, part in places[i]], int(basic[f"max{i}"]) / UNITS) for i in filled]
+    return spark.createDataFrame(rows, "column string, count bigint, mean double, std double, min double, q25 double, q50 double, q75 double, max double")

@@ -9,7 +9,6 @@ from creditloom import fixedvalues as fv
 from creditloom.functions.numbers import title_label
 from creditloom.functions.replies import parse_fenced, strip_fences
 from creditloom.functions.rules import infer_sector
-from creditloom.skew import salted_join
 
 LABEL_CHARS, FINDINGS_CHARS = 800, 1000  # what a page-sized memo shows of one entry
 MIN_ANALYSIS, MIN_FINDINGS = 50, 30
@@ -149,11 +148,12 @@ def prompt_key(c: Column) -> Column:
 def split_cached(prompts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, todo): prompts with a stored reply, and each remaining distinct prompt once.
 
-    ``prompts`` has prompt_id and prompt, ``cache`` has unique keys and replies. A prompt repeated very
-    often is spread over slices for the lookup and merged before the shuffle for the todo list.
+    ``prompts`` has prompt_id and prompt, ``cache`` has unique keys and replies. The lookup carries ids and keys
+    only, in one plain join that adaptive execution splits where a prompt is repeated very often; a cache written
+    in buckets of its key is not shuffled. For the todo list equal prompts are merged before the shuffle.
     """
     keyed = prompts.withColumn("key", prompt_key(F.col("prompt")))
-    hits = salted_join(keyed.select("prompt_id", "key"), cache.select("key", "reply"), ["key"], F.xxhash64("prompt_id"), how="inner")
+    hits = keyed.select("prompt_id", "key").join(cache.select("key", "reply"), "key")
     todo = keyed.groupBy("key").agg(F.first("prompt").alias("prompt")).join(cache.select("key"), "key", "left_anti")
     return hits, todo
 

@@ -117,6 +117,38 @@ def test_describe_is_exact_on_skewed_values(spark, accuracy):
         assert r.mean == pytest.approx(x.mean()) and r.std == pytest.approx(x.std(ddof=1))
 
 
+def test_describe_selects_exactly_in_wide_and_hot_columns(spark):
+    """A third of the rows share one value, and values span 18 digits; equal to sorting at every bucket count."""
+    rng = random.Random(11)
+    wide = [rng.choice([-1, 1]) * 10 ** rng.uniform(-3, 14) for _ in range(600)] + [42.5] * 300
+    df = spark.createDataFrame([(f"{v:.4f}",) for v in wide], "wide string").repartition(5)
+    known = np.array(sorted(float(f"{v:.4f}") for v in wide))
+    for buckets in (2, 7, 1024):
+        r = gst.describe_numeric(df, ["wide"], buckets).first()
+        assert [r.q25, r.q50, r.q75] == pytest.approx(list(np.quantile(known, [0.25, 0.5, 0.75])), rel=1e-12)
+        assert (r["count"], r.min, r.max) == (900, known[0], known[-1])
+
+
+def test_describe_of_nulls_single_values_and_no_rows(spark):
+    df = spark.createDataFrame([(None, 3.5, 1), (None, None, 1)], "none double, one double, `a b` int")
+    got = {r.column: r for r in gst.describe_numeric(df, ["none", "one", "a b"]).collect()}
+    assert sorted(got) == ["a b", "one"]
+    assert (got["one"].min, got["one"].q25, got["one"].q50, got["one"].max, got["one"].std) == (3.5, 3.5, 3.5, 3.5, None)
+    assert (got["a b"]["count"], got["a b"].q75, got["a b"].std) == (2, 1.0, 0.0)
+    assert gst.describe_numeric(df.limit(0), ["one"]).count() == 0
+    with pytest.raises(ValueError):
+        gst.describe_numeric(df, ["one"], 1)
+
+
+def test_selected_ranks_equal_sorting(spark):
+    rng = random.Random(5)
+    values = sorted(rng.choice([7, rng.randint(-50, 50), rng.randint(-10**9, 10**9)]) for _ in range(400))
+    df = spark.createDataFrame([(v,) for v in values], "v long").selectExpr("cast(v as decimal(33,0)) AS u0")
+    ranks = set(range(0, 400, 7)) | {399}
+    got = gst.values_at_ranks(df, {0: (values[0], values[-1])}, {0: ranks}, 16)
+    assert got == {(0, r): values[r] for r in ranks}
+
+
 def test_substring_join_equals_brute_force(spark):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("ab c") for _ in range(n))
