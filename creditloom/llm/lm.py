@@ -1,143 +1,196 @@
 """Language-model scores from a weighted backoff automaton.
 
-Model: bigrams interpolated with add-one unigrams (Jelinek-Mercer). P1(w) = (c(w) + 1) / (N + V + 1);
-P(w | v) = (1 - LAMBDA) c(v, w) / c(v) + LAMBDA P1(w), and P1(w) after a word not seen in training. Every seen context is a
-state; seen bigrams are its arcs; its failure arc leads to the root with weight LAMBDA, and the root has an arc for every
-word. A text is scored by one traversal from left to right that carries the state and adds log10 weights.
-
-Scale: texts are dealt into blocks of bounded size by the hash of their id. A block sends its distinct words and word
-pairs, as sorted 64-bit hashes with local counts, to hash ranges; a range adds up what all blocks sent and answers each
+Model: trigrams, bigrams and add-one unigrams, each smoothed by the next shorter one (a Dirichlet prior of ``MASS`` tokens).
+P1(w) = (c(w) + 1) / (N + V + 1); P(w | h) = (c(h w) + MASS P(w | h')) / (c(h) + MASS), where h' is h without its first word.
+A text begins after two start marks. Every context of one or two words seen in training is a state; the n-grams seen after
+it are its arcs; its failure arc leads to the state of its shorter context with weight MASS / (c(h) + MASS), and the root has
+an arc for every word. A text is scored by one traversal from left to right that carries the state: it fails, arc by arc,
+until a state has an arc for the token, adds the log10 weights and goes on in the longest state seen.
+
+Scale: the texts of a partition are dealt into blocks of bounded size and stored once, compressed. A block sends its distinct
+n-grams, as sorted hashes with local counts, to hash ranges; a range adds up what all blocks sent and answers each
 block with totals in the order of its own list. A block then holds the part of the automaton that its texts can reach,
-whatever the corpus and its vocabulary grow to; very frequent words and pairs are one entry per block.
+whatever the corpus and its vocabulary grow to; very frequent n-grams are one entry per block. The number of ranges grows with the
+input, so a range holds a bounded number of keys. N-grams are compared by 63-bit hashes.
 
 Defined results: a null or empty text is its end token alone. Rows that repeat an id are texts of their own. A null id counts
-as the empty text for the hold-out. Extra columns are ignored. Without training texts every probability of a known or
-unknown token is 1.
+as the empty text for the hold-out. Extra columns are ignored. An empty table gives no rows. Without training texts every
+probability of a known or unknown token is 1.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import LOWER_BYTES, WordHashes, bounds, pack, pack_sorted, squeezed, stored, unpack, unpack_sorted
+from creditloom.llm.common import LOWER_BYTES, WordHashes, bounds, pack, pack_sorted, stored, unpack, unpack_sorted
 
-LAMBDA = 0.6
+MASS = 4.0
 FOLDS, HELD_OUT = 7, 2
 BLOCK_BYTES = 4 << 20
-END, START = 0x8E51A3D2C4B69F07, 0x1F83D9ABFB41BD6B  # hashes of the end token and of the context before a text
-WORD, PAIR = 0, 1
+RANGE_BYTES = 16 << 20  # of texts for each hash range
+END, START = 0x8E51A3D2C4B69F06, 0x1F83D9ABFB41BD6B  # hashes of the end token and of the context before a text
+WORD, PAIR, TRIPLE = 0, 1, 2
 _hashes = WordHashes()
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+_KEY, _MARK = np.uint64(2**64 - 2), np.uint64(1)  # the lowest bit of a hash is left free for a mark
+
+
+def _extended(context: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Hashes of contexts followed by a token."""
+    h = (context ^ (context >> np.uint64(29))) * _MIX[0] + tokens
+    return ((h ^ (h >> np.uint64(32))) * _MIX[1]) & _KEY
 
 
 class Block:
-    """The tokens of a block's texts, its distinct words and pairs as sorted hashes, and their counts in training texts."""
+    """The tokens of a block's texts and, for each token, the hashes of the n-grams that end there, by order."""
 
-    def __init__(self, texts: list[bytes], training: np.ndarray):
+    def __init__(self, texts: list[bytes]):
         coded, sizes = [], []
         for text in texts:
             words = text.translate(LOWER_BYTES).split()
             coded.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
             coded.append(np.array([END], np.uint64))
             sizes.append(len(words) + 1)
-        tokens = np.concatenate(coded)
-        self.ends = np.cumsum(sizes)
-        starts = self.ends - sizes
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[starts] = START
-        pairs = before
-        pairs ^= pairs >> np.uint64(29)
-        pairs *= _MIX[0]
-        pairs += tokens
-        pairs ^= pairs >> np.uint64(32)
-        pairs *= _MIX[1]
-        learnt = np.repeat(training, sizes)
-        self.words, self.word_at = np.unique(tokens, return_inverse=True)
-        self.pairs, self.pair_at = np.unique(pairs, return_inverse=True)
-        self.word_counts = np.bincount(self.word_at, learnt, len(self.words)).astype(np.uint64)
-        self.pair_counts = np.bincount(self.pair_at, learnt, len(self.pairs)).astype(np.uint64)
-        self.n_training = int(training.sum())
-
-    def lists(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        return [(WORD, self.words, self.word_counts), (PAIR, self.pairs, self.pair_counts)]
+        tokens = np.concatenate(coded) & _KEY
+        self.sizes = np.array(sizes)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        self.grams = [tokens]
+        for _ in (PAIR, TRIPLE):
+            before = np.empty_like(tokens)
+            before[1:] = self.grams[-1][:-1]
+            before[self.starts] = START
+            self.grams.append(_extended(before, tokens))
+
+    def counts(self, training: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each order the distinct n-grams, sorted, and how often they stand in training texts."""
+        learnt = np.repeat(training, self.sizes).astype(np.uint64)
+        for order, grams in enumerate(self.grams):
+            marked = np.sort(grams | learnt)
+            keys = marked & _KEY
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            yield order, keys[first], np.add.reduceat(marked & _MARK, first)
 
 
 class Automaton:
-    """States, arcs and failure arcs that the texts of one block can reach. State 0 is the root, state 1 the start."""
-
-    def __init__(self, block: Block, word_totals: np.ndarray, pair_totals: np.ndarray, n: int, v: int, n_texts: int):
-        self.known = word_totals > 0
-        self.root = np.log10((word_totals + 1.0) / (n + v + 1.0))
-        # The state reached by a word: its own when the word was seen, else the root.
-        self.state_of = np.where(self.known, np.arange(len(block.words)) + 2, 0).tolist()
-        self.fail = [0.0, math.log10(LAMBDA) if n_texts else 0.0, *np.where(self.known, math.log10(LAMBDA), 0.0).tolist()]
-        seen = np.concatenate([[0.0, float(n_texts)], word_totals.astype(float)])  # of each state
-        first = np.unique(block.pair_at, return_index=True)[1]  # a place of every pair
-        starts = np.zeros(len(block.word_at), bool)
-        starts[np.concatenate([[0], block.ends[:-1]])] = True
-        before = np.where(starts[first], -1, block.word_at[first - 1])
-        state, word = before + 2, block.word_at[first]
-        arc = pair_totals > 0
-        state, word = state[arc], word[arc]
-        weight = np.log10((1 - LAMBDA) * pair_totals[arc] / seen[state] + LAMBDA * 10 ** self.root[word])
-        self.width = len(block.words)
-        self.arcs = dict(zip((state * self.width + word).tolist(), weight.tolist(), strict=True))
-        self.root_weights = self.root.tolist()
-
-    def score(self, words: list[int]) -> float:
-        """The log10 probability of a token sequence."""
-        arcs, fail, root, state_of, width = self.arcs, self.fail, self.root_weights, self.state_of, self.width
-        total, state = 0.0, 1
-        for w in words:
-            weight = arcs.get(state * width + w) if state else None
-            total += fail[state] + root[w] if weight is None else weight
-            state = state_of[w]
+    """States, arcs and failure arcs that the texts of one block can reach.
+
+    A state is a context of two, one or no words; it is named by its order and by the number of the n-gram it equals, -1 for the start
+    marks. ``arcs[order]`` has the weight of an n-gram as an arc of its context, None if it was not seen.
+    """
+
+    def __init__(self, block: Block, totals: list[np.ndarray], n: int, v: int, n_texts: int):
+        numbers = [np.unique(grams, return_inverse=True)[1] for grams in block.grams]
+        begins = np.zeros(len(numbers[WORD]), bool)
+        begins[block.starts] = True
+        self.known = totals[WORD] > 0
+        self.root = np.log10((totals[WORD] + 1.0) / (n + v + 1.0))
+        self.numbers, self.arcs, self.fails = numbers, [self.root.tolist()], [[]]
+        lower, word = 10 ** self.root, numbers[WORD]
+        shorter = word  # of each token, the number of the n-gram without its first word
+        for order in (PAIR, TRIPLE):
+            place = np.empty(len(totals[order]), np.int64)
+            place[numbers[order]] = np.arange(len(word))  # any place of each n-gram
+            seen = np.append(totals[order - 1], np.uint64(n_texts)).astype(float)  # of each context
+            context = np.where(begins[place], -1, numbers[order - 1][place - 1])
+            weight = (totals[order] + MASS * lower[shorter[place]]) / (seen[context] + MASS)
+            self.arcs.append([w if t else None for w, t in zip(np.log10(weight).tolist(), totals[order].tolist(), strict=True)])
+            self.fails.append(np.log10(MASS / (seen + MASS)).tolist())
+            lower, shorter = weight, numbers[order]
+            if order == PAIR:
+                # The longest state that a pair leads to: its own, that of its last word, or the root.
+                self.reached = np.where(totals[PAIR] > 0, 2, np.where(self.known[word[place]], 1, 0)).tolist()
+
+    def score(self, begin: int, end: int) -> float:
+        """The log10 probability of the tokens of a text."""
+        arcs, fails, reached = self.arcs, self.fails, self.reached
+        total, order, state = 0.0, 2, (-1, -1)
+        for grams in zip(*(numbers[begin:end].tolist() for numbers in self.numbers), strict=True):
+            while (weight := arcs[order][grams[order]]) is None:
+                total += fails[order][state[order - 1]]
+                order -= 1
+            total += weight
+            order, state = reached[grams[PAIR]], grams
         return total
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
     spark = docs.sparkSession
-    own = F.col(f"`{id_col}`")
-    rows = docs.select(own.alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     held = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
-    rows = rows.withColumns({"held_out": held, "block": F.pmod(F.xxhash64("id", "text"), F.lit(blocks))})
-    n_texts = rows.where(~F.col("held_out")).count()
     kind = dict(rows.dtypes)["id"]
-
-    # Texts are dealt out twice; compressed they take half the room of a shuffle's own compression.
-    rows = squeezed(rows.select("id", "held_out", "block", "text"))
-
-    def block_of(table: pa.Table) -> Block:
-        return Block([zstandard.decompress(t) for t in table["packed"].to_pylist()], ~table["held_out"].to_numpy())
-
-    def send(table: pa.Table) -> pa.Table:
-        number = table["block"][0].as_py()
-        out = []
-        block = block_of(table)
-        for kind, keys, counts in block.lists():
-            at = bounds(keys, ranges)
-            for r in range(ranges):
-                a, b = at[r], at[r + 1]
-                if a < b:
-                    out.append((kind, r, number, pack_sorted(keys[a:b]), pack(counts[a:b])))
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(
-            ("kind", "range", "block", "keys", "counts"), zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+    block_bytes = BLOCK_BYTES
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition's texts as blocks, each compressed as a whole."""
+        number = TaskContext.get().partitionId() << 33
+        held_back: list[pa.RecordBatch] = []
+        size = 0
+
+        def block() -> pa.RecordBatch:
+            part = pa.Table.from_batches(held_back).combine_chunks()
+            texts = [t.as_buffer().to_pybytes() for t in part["text"]]
+            flags = part["held_out"].combine_chunks()
+            whole = pa.array([0, len(texts)], pa.int32())
+            return pa.RecordBatch.from_arrays([
+                pa.array([number], pa.int64()), pa.array([sum(map(len, texts))], pa.int64()), pa.array([flags.false_count], pa.int64()),
+                pa.ListArray.from_arrays(whole, part["id"].combine_chunks()), pa.ListArray.from_arrays(whole, flags),
+                pa.array([list(map(len, texts))], pa.list_(pa.int64())), pa.array([zstandard.compress(b"".join(texts), 3)], pa.binary())],
+                names=["block", "bytes", "n_training", "ids", "held_out", "sizes", "packed"])
+
+        for batch in batches:
+            lengths = pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)
+            begin = 0
+            for i, length in enumerate(lengths.tolist()):
+                size += length
+                if size >= block_bytes:
+                    held_back.append(batch.slice(begin, i + 1 - begin))
+                    yield block()
+                    held_back, begin, size, number = [], i + 1, 0, number + 1
+            if begin < batch.num_rows:
+                held_back.append(batch.slice(begin))
+        if held_back:
+            yield block()
+
+    blocks = stored(rows.select("id", held.alias("held_out"), "text").mapInArrow(
+        deal, f"block long, bytes long, n_training long, ids array<{kind}>, held_out array<boolean>, sizes array<long>, packed binary"), "lm-blocks")
+    measured = blocks.agg(F.sum("bytes").alias("bytes"), F.sum("n_training").alias("n_texts")).collect()[0]
+    n_texts = measured["n_texts"] or 0
+    ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(measured["bytes"] or 0) // RANGE_BYTES))
+
+    def block_of(packed: pa.Scalar, sizes: list[int]) -> Block:
+        whole, at, texts = zstandard.decompress(packed.as_buffer()), 0, []
+        for size in sizes:
+            texts.append(whole[at:at + size])
+            at += size
+        return Block(texts)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, block = batch["block"][i].as_py(), block_of(batch["packed"][i], batch["sizes"][i].as_py())
+                for order, keys, counts in block.counts(~batch["held_out"][i].values.to_numpy(zero_copy_only=False)):
+                    at = bounds(keys, ranges)
+                    filled = [r for r in range(ranges) if at[r] < at[r + 1]]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([order] * len(filled), pa.int64()), pa.array(filled, pa.int64()), pa.array([number] * len(filled), pa.int64()),
+                        pa.array([pack_sorted(keys[at[r]:at[r + 1]]) for r in filled], pa.binary()),
+                        pa.array([pack(counts[at[r]:at[r + 1]]) for r in filled], pa.binary())],
+                        names=["kind", "range", "block", "keys", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         kind, r = table["kind"][0].as_py(), table["range"][0].as_py()
-        lists = [unpack_sorted(b) for b in table["keys"].to_pylist()]
-        counts = np.concatenate([unpack(b) for b in table["counts"].to_pylist()])
+        lists = [unpack_sorted(b.as_py()) for b in table["keys"]]
+        counts = np.concatenate([unpack(b.as_py()) for b in table["counts"]])
         keys, at = np.unique(np.concatenate(lists), return_inverse=True)
         totals = np.bincount(at, counts, len(keys)).astype(np.uint64)
         parts = np.split(totals[at], np.cumsum([len(x) for x in lists])[:-1])
@@ -149,30 +202,26 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             ("block", "kind", "range", "totals", "n", "v"), zip(*answers, strict=True),
             (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)})
 
-    lists = rows.groupBy("block").applyInArrow(send, "kind long, range long, block long, keys binary, counts binary")
+    lists = blocks.select("block", "held_out", "sizes", "packed").mapInArrow(send, "kind long, range long, block long, keys binary, counts binary")
     answers = stored(
         lists.groupBy("kind", "range").applyInArrow(add, "block long, kind long, range long, totals binary, n long, v long"), "lm-totals")
     known = answers.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()[0]
     n, v = known["n"] or 0, known["v"] or 0
 
-    def traverse(texts: pa.Table, totals: pa.Table) -> pa.Table:
-        block = block_of(texts)
-        parts: dict[int, list[np.ndarray]] = {WORD: [], PAIR: []}
-        for row in totals.sort_by([("kind", "ascending"), ("range", "ascending")]).to_pylist():
-            parts[row["kind"]].append(unpack(row["totals"]))
-        words, pairs = (np.concatenate(parts[k]) for k in (WORD, PAIR))
-        model = Automaton(block, words, pairs, n, v, n_texts)
-        known, base, scores, sizes, begin = [], [], [], [], 0
-        for end in block.ends.tolist():
-            own = block.word_at[begin:end]
-            known.append(int(model.known[own].sum()))
-            base.append(float(model.root[own].sum()))
-            scores.append(model.score(own.tolist()))
-            sizes.append(end - begin)
-            begin = end
+    def traverse(own: pa.Table, totals: pa.Table) -> pa.Table:
+        block = block_of(own["packed"][0], own["sizes"][0].as_py())
+        parts: list[list[np.ndarray]] = [[], [], []]
+        totals = totals.sort_by([("kind", "ascending"), ("range", "ascending")])
+        for kind, blob in zip(totals["kind"].to_pylist(), totals["totals"], strict=True):
+            parts[kind].append(unpack(blob.as_py()))
+        model = Automaton(block, [np.concatenate(p) for p in parts], n, v, n_texts)
+        words = model.numbers[WORD]
         return pa.table({
-            id_col: texts["id"], "held_out": texts["held_out"], "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known, pa.int64()),
-            "train_tokens": pa.array([n] * len(sizes), pa.int64()), "base_score": pa.array(base), "score": pa.array(scores)})
+            id_col: own["ids"][0].values, "held_out": own["held_out"][0].values, "n_tokens": pa.array(block.sizes, pa.int64()),
+            "n_known": pa.array(np.add.reduceat(model.known[words], block.starts, dtype=np.int64)),
+            "train_tokens": pa.array([n] * len(block.sizes), pa.int64()), "base_score": pa.array(np.add.reduceat(model.root[words], block.starts)),
+            "score": pa.array([model.score(a, b) for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True)])})
 
-    return rows.groupBy("block").cogroup(answers.where("block >= 0").select("block", "kind", "range", "totals").groupBy("block")).applyInArrow(
+    sent = answers.where("block >= 0").select("block", "kind", "range", "totals")
+    return blocks.select("block", "ids", "held_out", "sizes", "packed").groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(
         traverse, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -23,25 +23,31 @@ def encoded(path, text):
     return ids, tokenizer.decode(ids, skip_special_tokens=False)
 
 
-def lm_scores(docs, weight):
+def lm_scores(docs, mass):
     """Per row (held_out, n_tokens, n_known, train_tokens, base, score)."""
     tokens = [[*words(low(t or "")), None] for _, t in docs]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in docs]
-    c, pairs, texts = collections.Counter(), collections.Counter(), 0
+    counts, texts = collections.Counter(), 0
     for w, h in zip(tokens, held, strict=True):
         if not h:
             texts += 1
-            c.update(w)
-            pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
-    n, v = sum(c.values()), len(c)
+            padded = ["<s>", "<s>", *w]
+            for k in (1, 2, 3):
+                counts.update(tuple(padded[j - k + 1:j + 1]) for j in range(2, len(padded)))
+    single = {g: c for g, c in counts.items() if len(g) == 1}
+    n, v = sum(single.values()), len(single)
+
+    def chance(context, x):
+        if not context:
+            return (counts[x,] + 1) / (n + v + 1)
+        seen = texts if set(context) == {"<s>"} else counts[context]
+        return (counts[*context, x] + mass * chance(context[1:], x)) / (seen + mass)
+
     rows = []
     for w, h in zip(tokens, held, strict=True):
-        p1 = [(c[x] + 1) / (n + v + 1) for x in w]
-        score = 0.0
-        for p, before, x in zip(p1, ["<s>", *w[:-1]], w, strict=True):
-            total = texts if before == "<s>" else c[before]
-            score += math.log10((1 - weight) * pairs[before, x] / total + weight * p if total else p)
-        rows.append((h, len(w), sum(c[x] > 0 for x in w), n, sum(map(math.log10, p1)), score))
+        padded = ["<s>", "<s>", *w]
+        score = sum(math.log10(chance(tuple(padded[j - 2:j]), padded[j])) for j in range(2, len(padded)))
+        rows.append((h, len(w), sum(counts[x,] > 0 for x in w), n, sum(math.log10(chance((), x)) for x in w), score))
     return rows
 
 

@@ -99,7 +99,7 @@ def test_op1_query(spark, sf, given):
 def test_op2_scores(docs, monkeypatch, block_bytes):
     monkeypatch.setattr(lm, "BLOCK_BYTES", block_bytes)
     got = by_id(lm.score_texts(docs), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    for (i, _), want in zip(AWKWARD, brute.lm_scores(AWKWARD, lm.LAMBDA), strict=True):
+    for (i, _), want in zip(AWKWARD, brute.lm_scores(AWKWARD, lm.MASS), strict=True):
         assert got[i][:4] == want[:4]
         assert got[i][4:] == pytest.approx(want[4:], abs=1e-6)
 
@@ -107,7 +107,7 @@ def test_op2_scores(docs, monkeypatch, block_bytes):
 def test_op2_query_beats_its_base(spark, sf, given):
     rows = listed(given)
     got = by_id(QUERIES["op2_lm"](spark, sf), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    for (i, _), want in zip(rows, brute.lm_scores(rows, lm.LAMBDA), strict=True):
+    for (i, _), want in zip(rows, brute.lm_scores(rows, lm.MASS), strict=True):
         assert got[i][:4] == want[:4]
         assert got[i][4:] == pytest.approx(want[4:], abs=1e-6)
     held = [x for x in got.values() if x[0]]
@@ -125,7 +125,7 @@ def test_op2_probabilities_sum_to_one(spark):
     end = {h: got[h][0] for h in held}
     empty = end[held[4]]
     # log10 P(w) P(end | w): take the end token's part off with the plain version's help
-    plain = {i: s for (i, _), s in zip(rows, (r[5] for r in brute.lm_scores(rows, lm.LAMBDA)), strict=True)}
+    plain = {i: s for (i, _), s in zip(rows, (r[5] for r in brute.lm_scores(rows, lm.MASS)), strict=True)}
     assert all(end[h] == pytest.approx(plain[h], abs=1e-9) for h in held)
     assert 0 < 10 ** empty < 1
 
