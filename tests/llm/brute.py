@@ -41,7 +41,7 @@ def lm_scores(docs, mass):
         if not context:
             return (counts[x,] + 1) / (n + v + 1)
         seen = texts if set(context) == {"<s>"} else counts[context]
-        return (counts[*context, x] + mass * chance(context[1:], x)) / (seen + mass)
+        return (counts[*context, x] + mass[len(context)] * chance(context[1:], x)) / (seen + mass[len(context)])
 
     rows = []
     for w, h in zip(tokens, held, strict=True):

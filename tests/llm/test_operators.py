@@ -130,6 +130,22 @@ def test_op2_probabilities_sum_to_one(spark):
     assert 0 < 10 ** empty < 1
 
 
+def test_op2_fails_state_by_state(spark):
+    """A trigram, a bigram after an unseen pair and a lone word: each needs one failure arc more; copies score above single texts."""
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    texts = ["a b c", "x b d", "one two three four", "five six seven eight", "five six seven eight"]
+    probes = ["a b c", "a b d", "x d c", "zzz a b c", "one two three four", "five six seven eight"]
+    rows = [*zip(train, texts, strict=False), *zip(held, probes, strict=False)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(lm.score_texts(frame), "held_out", "n_tokens", "score", "mean_score")
+    for (i, _), want in zip(rows, brute.lm_scores(rows, lm.MASS), strict=True):
+        assert got[i][0] == want[0] and got[i][2:] == pytest.approx((want[5], want[5] / want[1]), abs=1e-9)
+    score = {p: got[i][2] for i, p in zip(held, probes, strict=False)}
+    assert score["a b c"] > score["a b d"] > score["x d c"]
+    assert score["five six seven eight"] > score["one two three four"]
+
+
 def test_op3_fingerprints(docs):
     got = by_id(ordermin.fingerprints(docs), "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
     texts = [(i, t or "") for i, t in sorted(AWKWARD)]
