@@ -132,20 +132,30 @@ def _ranked(items: str, kind: str, sign: int, k: int) -> Column:
         F.lit(kind).alias("kind"), (i + 1).alias("rank"), x.feature.alias("feature"), x.impact.alias("impact")))
 
 
-def top_factors(attr: DataFrame, k: int = 3, key: str = "loan_id") -> DataFrame:
-    """The ``k`` largest and ``k`` smallest impacts per row, ties in feature order.
-
-    A row has one impact per feature, so the collected lists hold at most twelve entries.
-    """
+def _listed(attr: DataFrame, key: str) -> DataFrame:
+    """All impacts of a row as one list. A row has one impact per feature, so a list holds at most twelve entries."""
     order = F.array_position(F.array(*[F.lit(f) for f in fv.MODEL_FEATURES]), F.col("feature")).cast("int").alias("ord")
-    lists = attr.groupBy(key).agg(F.collect_list(F.struct("impact", order, "feature")).alias("_all"))
-    return lists.select(key, F.inline(F.concat(_ranked("_all", "risk", -1, k), _ranked("_all", "positive", 1, k))))
+    return attr.groupBy(key).agg(F.collect_list(F.struct("impact", order, "feature")).alias("_all"))
+
+
+def top_factors(attr: DataFrame, k: int = 3, key: str = "loan_id") -> DataFrame:
+    """The ``k`` largest and ``k`` smallest impacts per row, ties in feature order."""
+    return _listed(attr, key).select(key, F.inline(F.concat(_ranked("_all", "risk", -1, k), _ranked("_all", "positive", 1, k))))
 
 
 def factor_chart_of_wide(wide: DataFrame, k: int = 3, key: str = "loan_id") -> DataFrame:
     """``factor_chart`` of the top factors, straight from the wide contributions: sorted in the row, without a shuffle."""
     items = F.array(*[F.struct(F.round(f, 4).alias("impact"), F.lit(i + 1).alias("ord"), F.lit(f).alias("feature")) for i, f in enumerate(fv.MODEL_FEATURES)])
-    lists = wide.select(key, items.alias("_all")).select(key, _ranked("_all", "risk", -1, k).alias("_risk"), _ranked("_all", "positive", 1, k).alias("_good"))
+    return _chart(wide.select(key, items.alias("_all")), k, key)
+
+
+def factor_chart_of_rows(attr: DataFrame, k: int = 3, key: str = "loan_id") -> DataFrame:
+    """``factor_chart`` of the top factors of (key, feature, impact) rows: one shuffle, the rest inside the row."""
+    return _chart(_listed(attr, key), k, key)
+
+
+def _chart(lists: DataFrame, k: int, key: str) -> DataFrame:
+    lists = lists.select(key, _ranked("_all", "risk", -1, k).alias("_risk"), _ranked("_all", "positive", 1, k).alias("_good"))
     only_risk = F.filter("_risk", lambda r: ~F.exists("_good", lambda p: p.feature == r.feature))
     chart = F.transform(F.concat(only_risk, F.col("_good")), lambda x: F.struct(
         x.feature.alias("feature"), x.impact.alias("impact"), F.when(x.impact > 0, "Risk").otherwise("Positive").alias("type")))

@@ -414,7 +414,7 @@ def union_lists(spark, sf):
 
 @query("factor_chart")
 def factor_chart(spark, sf):
-    return attributions.factor_chart(attributions.top_factors(fx.factor_rows(spark, sf)))
+    return attributions.factor_chart_of_rows(fx.factor_rows(spark, sf))
 
 
 # --- scalar functions ---

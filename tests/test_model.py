@@ -171,4 +171,6 @@ def test_chart_in_the_row_equals_the_long_one(spark):
     long = wide.unpivot("loan_id", fv.MODEL_FEATURES, "feature", "impact").withColumn("impact", F.round("impact", 4))
     want = attributions.factor_chart(attributions.top_factors(long)).select("loan_id", "feature", "impact", "type").collect()
     got = attributions.factor_chart_of_wide(wide).select("loan_id", "feature", "impact", "type").collect()
+    rows = attributions.factor_chart_of_rows(long).select("loan_id", "feature", "impact", "type").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want))
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
