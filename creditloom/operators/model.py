@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from creditloom import fixedvalues as fv
 from creditloom.functions.rules import risk_band
+from creditloom.operators import boosting
 from creditloom.operators.loans import balanced_weights, prepare_loans, stratified_split, synth_loans
 from creditloom.operators.scoring import clamp_probability, dec
 from creditloom.session import ensure_checkpoint_dir
@@ -24,12 +25,12 @@ def train_default_model(loans: DataFrame, rounds: int = ROUNDS, label: str = "la
     ensure_checkpoint_dir(loans.sparkSession)
     split = stratified_split(prepare_loans(loans, label=label), label)
     train = balanced_weights(split.where(~F.col("is_test")), label).select(*fv.MODEL_FEATURES, label, "weight")
-    # Boosting reads its rows again in every round, so they are stored once instead of derived again.
+    # Boosting samples its rows and then bins them, so they are stored once instead of derived again.
     train = train.checkpoint()
     trees = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, stepSize=RATE,
                           maxDepth=DEPTH, seed=SEED, checkpointInterval=10)
     assembler = VectorAssembler(inputCols=fv.MODEL_FEATURES, outputCol="features")
-    return Pipeline(stages=[assembler, trees]).fit(train)
+    return PipelineModel(stages=[assembler, boosting.fit(train, fv.MODEL_FEATURES, trees)])
 
 
 def holdout_predictions(model: PipelineModel, loans: DataFrame, label: str = "label") -> DataFrame:
