@@ -24,9 +24,8 @@ def train_default_model(loans: DataFrame, rounds: int = ROUNDS, label: str = "la
     """Boosted trees with balanced classes on the non-test rows of ``loans`` (key loan_id, features, label)."""
     ensure_checkpoint_dir(loans.sparkSession)
     split = stratified_split(prepare_loans(loans, label=label), label)
-    train = balanced_weights(split.where(~F.col("is_test")), label).select(*fv.MODEL_FEATURES, label, "weight")
-    # Boosting samples its rows and then bins them, so they are stored once instead of derived again.
-    train = train.checkpoint()
+    # Classes are counted, rows sampled and then binned, so they are stored once instead of split again for each.
+    train = balanced_weights(split.where(~F.col("is_test")).select(*fv.MODEL_FEATURES, label).checkpoint(), label)
     trees = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, stepSize=RATE,
                           maxDepth=DEPTH, seed=SEED, checkpointInterval=10)
     assembler = VectorAssembler(inputCols=fv.MODEL_FEATURES, outputCol="features")
