@@ -55,14 +55,21 @@ class Tree:
         return Tree(self.feature, self.cut, self.value)
 
 
-def thresholds(values: np.ndarray, weights: np.ndarray, bins: int) -> np.ndarray:
-    """Candidate thresholds of a feature: all midpoints of neighbouring values if they are few, else those nearest to equal weights."""
+def thresholds(values: np.ndarray, weights: np.ndarray, bins: int, total: float) -> np.ndarray:
+    """Candidate thresholds of a feature: all midpoints of neighbouring values if they are few, else those nearest to equal weights.
+
+    As in MLlib, zeros have what the other values leave of ``total``, the weight that a sample of this share should have.
+    """
+    values, weights = values[values != 0], weights[values != 0]
+    zeros = total - weights.sum()
+    if zeros > PURE * len(values) * 100:
+        values, weights = np.append(values, 0.0), np.append(weights, zeros)
     distinct, place = np.unique(values, return_inverse=True)
     middle = (distinct[:-1] + distinct[1:]) / 2
     if len(middle) < bins:
         return middle
     counts = np.bincount(place, weights=weights)
-    stride = counts.sum() / bins
+    stride = total / bins
     out, current, target = [], counts[0], stride
     for i in range(1, len(counts)):
         previous, current = current, current + counts[i]
@@ -72,6 +79,15 @@ def thresholds(values: np.ndarray, weights: np.ndarray, bins: int) -> np.ndarray
     return np.array(out)
 
 
+def _sample(rows: DataFrame, share: float, seed: int) -> DataFrame:
+    """The rows that MLlib draws for its thresholds with this seed, or all."""
+    if share >= 1:
+        return rows
+    spark = rows.sparkSession
+    drawn = spark._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt()
+    return DataFrame(spark._jsparkSession.createDataFrame(rows._jdf.toJavaRDD().sample(False, share, drawn), rows._jdf.schema()), spark)
+
+
 def _pieces(train: DataFrame, features: list[str], label: str, cuts: list[np.ndarray]) -> DataFrame:
     """``bins, positive``: the rows' bins (feature by feature, a byte each) and labels, up to ``PIECE`` rows together."""
 
@@ -264,10 +280,10 @@ def fit(train: DataFrame, features: list[str], estimator: GBTClassifier) -> GBTC
     class_weight = np.array([classes.get(c, (0.0, 0))[0] for c in (0, 1)])
     bins = min(estimator.getMaxBins(), n)
     wanted = max(bins**2, 10_000)
-    sample = train if n <= wanted else train.sample(False, wanted / n, seed)  # the size is fixed; only thresholds come from it
-    some = sample.select(*features, label).toPandas()
+    some = _sample(train.select(*features, label), wanted / n, seed).toPandas()  # the size is fixed; only thresholds come from it
     some_weight = class_weight[some[label].to_numpy().astype(int)]
-    cuts = [thresholds(some[f].to_numpy(dtype=float), some_weight, bins) for f in features]
+    total = min(wanted / n, 1.0) * sum(w * rows for w, rows in classes.values())
+    cuts = [thresholds(some[f].to_numpy(dtype=float), some_weight, bins, total) for f in features]
     bins, n_cuts = max(len(c) for c in cuts) + 1, np.array([len(c) for c in cuts])
     tasks = min(spark.sparkContext.defaultParallelism, -(-n // BLOCK))
     pieces = _pieces(train, features, label, cuts).repartition(tasks).checkpoint().rdd.map(tuple)

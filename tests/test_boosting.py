@@ -56,3 +56,15 @@ def test_one_class_and_no_rows(train):
     assert [t.numNodes for t in only.trees] == [1, 1]
     with pytest.raises(ValueError, match="no rows"):
         boosting.fit(train.where("label = 2"), NAMES, estimator(2))
+
+
+def test_thresholds_come_from_the_rows_mllib_draws(spark):
+    """Beyond 10,000 rows thresholds are taken from a sample."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(11_000, 3))
+    rows = [(*map(float, r), int(t), 1.25 if t else 0.75) for r, t in zip(x, x.sum(1) + rng.normal(size=11_000) > 0, strict=True)]
+    table = spark.createDataFrame(rows, "a double, b double, c double, label int, weight double").coalesce(1).checkpoint()
+    theirs = estimator(3).fit(VectorAssembler(inputCols=NAMES, outputCol="features").transform(table))
+    ours = boosting.fit(table, NAMES, estimator(3))
+    tests = [[line.strip() for t in m.trees for line in t.toDebugString.split("\n") if "If (" in line] for m in (ours, theirs)]
+    assert len(tests[0]) > 20 and tests[0] == tests[1]
