@@ -8,14 +8,18 @@ of a tree, nodes with a long common prefix stand together; a region is what shar
 The depth adapts to each region. It starts at ``FIRST`` values, where two sets with a similarity of 0.8 share a region of
 one of the 32 trees but for one case in ten million. A region of at most ``REGION`` nodes is searched there: its nodes
 meet those they have the longest common prefixes with, and a pair is a candidate if its keys agree in ``AGREE`` of the
-``KEY`` values of the tree and the sizes allow the similarity. A larger region is only linked with one of its own nodes, its pivot, and then
-falls apart into regions two values deeper; sizes and pivots are pre-aggregated, so no task sees a large region as a group.
+``KEY`` values of the tree, their signatures in ``LIKELY`` values, and the sizes allow the similarity. A larger region is linked with one of its
+own nodes, its pivot, and then falls apart into regions two values deeper; sizes and pivots are pre-aggregated, so no task sees a large region as a group.
 
-Candidates whose whole signatures agree in ``LIKELY`` values are confirmed on the full sets. A group of thousands of copies is never expanded into its pairs: first every node
-is confirmed against the pivot it meets in most trees, and the links form components; then the best candidate between any two
-components; at last all other candidates between different components. Inside a component nothing is compared.
+Candidates are confirmed on the full sets. A group of thousands of copies is never expanded into its pairs: first every node
+is confirmed against the pivot it meets in most trees, and the links form components; then, in regions of several components, against the
+hub it meets in most trees, the node of a region whose keys most others share; then the best candidate between any two
+components; then all other candidates between different components. Inside a component nothing is compared.
 
-Words and shingles are 64-bit hashes. Regions deeper than ``KEY`` values hold nodes that agree in all of them and get pivots only.
+At last the nodes of regions that are larger than ``REGION`` and still hold several components are joined exactly: two linked sets share one of
+the rarest shingles of each (a fifth of them and one more), so whatever deeper regions missed is found by these lists, between components only.
+
+Words and shingles are 64-bit hashes.
 
 Defined results: a null or empty text has an empty set and is linked with nothing. Rows that repeat an id each have their
 own text's set; equal ones are one node. A row without id is linked with nothing, has no component and is kept. Extra
@@ -31,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import connected, key_bits, passing, squeezed, stored
@@ -169,9 +173,10 @@ def _set_of(packed: bytes) -> np.ndarray:
     return shingle_set(zstandard.decompress(packed))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The pairs ``u, v`` whose full sets reach the similarity. ``texts``: id, packed, one row per node."""
-    pairs = stored(_alike(pairs, nodes), name)
+def _confirmed(pairs: DataFrame, nodes: DataFrame | None, texts: DataFrame, name: str) -> DataFrame:
+    """The pairs ``u, v`` whose full sets reach the similarity, with ``nodes`` only of those whose signatures are alike. ``texts``: id, packed,
+    one row per node."""
+    pairs = stored(pairs.select("u", "v") if nodes is None else _alike(pairs, nodes), name)
     both = pairs.join(texts.select(F.col("id").alias("v"), F.col("packed").alias("b")), "v").join(
         texts.select(F.col("id").alias("u"), F.col("packed").alias("a")), "u").select("u", "v", "a", "b")
 
@@ -194,6 +199,7 @@ def _neighbours(table: pa.Table, best: bool) -> pa.RecordBatch:
     """Candidate pairs among rows sorted by region and key: each row with the next one of its region, the one after, and so on."""
     h, ids, n, comp = (table[c].to_numpy() for c in ("h", "id", "n", "component"))
     keys = np.frombuffer(b"".join(table["key"].to_pylist()), np.uint16).reshape(-1, KEY)
+    sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)
     found, left = [], np.arange(len(h))
     for step in range(1, REGION):
         left = left[left + step < len(h)]
@@ -203,8 +209,10 @@ def _neighbours(table: pa.Table, best: bool) -> pa.RecordBatch:
         a, b = left, left + step
         near = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * SHARE)
         a, b = a[near], b[near]
-        met = (keys[a] == keys[b]).sum(1)
-        found.append((a[met >= AGREE], b[met >= AGREE], met[met >= AGREE]))
+        near = (keys[a] == keys[b]).sum(1) >= AGREE
+        a, b = a[near], b[near]
+        met = (sigs[a] == sigs[b]).sum(1)
+        found.append((a[met >= LIKELY], b[met >= LIKELY], met[met >= LIKELY]))
     a, b, met = (np.concatenate(c) for c in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 3
     if best and len(a):  # one pair for any two components of a region
         low, high = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
@@ -233,20 +241,73 @@ def _met(small: DataFrame, best: bool) -> DataFrame:
         if held:
             yield _neighbours(pa.Table.from_batches(held), best)
 
-    rows = small.select("h", "id", "n", "key", "component").repartition("h").sortWithinPartitions("h", "key")
+    rows = small.select("h", "id", "n", "key", "component", "sig").repartition("h").sortWithinPartitions("h", "key")
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _across(forest: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
+def _open(rows: DataFrame, depth: int) -> DataFrame:
+    """The rows of the regions of this depth that hold several components, by region ``h`` with its size ``c``."""
+    rows = _regions(rows, depth)
+    sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    return rows.join(sizes.select("h", "c"), "h")
+
+
+def _with_components(forest: DataFrame, comps: DataFrame) -> DataFrame:
+    joined = forest.join(comps, F.col("id") == F.col("node"), "left")
+    return joined.select("id", "n", "tree", "key", F.coalesce("component", "id").alias("component"))
+
+
+def _hubs(forest: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs ``u, v, met`` of the hub of a region and a node of another component, with the number of trees in which they met.
+
+    The hub is the node that shares its whole keys with most nodes, over all trees: copies with changes of their own have little in common with
+    each other, but most keys of the text they stem from."""
+    rows = stored(_open(_with_components(forest, comps), FIRST), "forest-open")
+    sharing = rows.groupBy("h", "key").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    score = rows.join(sharing, ["h", "key"]).groupBy("id").agg(F.sum("others").alias("score"))
+    hub = rows.join(score, "id").groupBy("h").agg(F.max(F.struct("score", "id", "n", "component")).alias("hub"))
+    met = rows.join(hub, "h").where((F.col("component") != F.col("hub.component")) & _comparable(F.col("n"), F.col("hub.n")))
+    return met.groupBy(F.col("hub.id").alias("u"), F.col("id").alias("v")).agg(F.count(F.lit(1)).alias("met"))
+
+
+def _by_rarest(forest: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs ``u, v`` of different components that can be linked, of the nodes in regions larger than ``REGION`` with several components.
+
+    Shingles are ordered by the number of these nodes that have them. Linked sets share one of the first n // 5 + 1 of each, and behind the first one
+    shared there must be enough left in both. In a list one end of every pair lies outside the list's largest component, so
+    a large component costs its members times the others, not its pairs."""
+    rest = _open(_with_components(forest, comps), FIRST).where(F.col("c") > REGION).select("id", "n", "component").distinct()
+    rest = stored(rest, "forest-large")
+    if rest.isEmpty():
+        return rest.selectExpr("id AS u", "id AS v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            own = shingle_set(zstandard.decompress(batch.column(3)[0].as_py())).view(np.int64)
+            same = [pa.array(np.full(len(own), c[0].as_py(), np.int64)) for c in batch.columns[:3]]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(own)], names=["id", "n", "component", "h"])
+
+    sets = rest.join(texts, "id").select("id", "n", "component", "packed").mapInArrow(run, "id long, n long, component long, h long")
+    sets = stored(sets, "forest-shingles")
+    counts = sets.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("c", "h")).alias("place")
+    lists = sets.join(counts, "h").select("h", "id", "n", "component", "c", place).where(f"place <= n * {100 - SHARE} div 100 + 1 and c > 1").drop("c")
+    lists = stored(lists, "forest-rarest")
+    main = lists.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(
+        F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("c", "component")).alias("main")).where("components > 1").select("h", "main")
+    lists = stored(lists.join(main, "h"), "forest-lists")
+    pairs = lists.where("component <> main").alias("a").join(lists.alias("b"), "h").where("a.component <> b.component").where(
+        _comparable(F.col("a.n"), F.col("b.n"))).where(f"(1 + least(a.n - a.place, b.n - b.place)) * {100 + SHARE} >= {SHARE} * (a.n + b.n)")
+    return pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+
+
+def _across(forest: DataFrame, nodes: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
     """Candidates ``u, v, cu, cv, met`` between components, with the number of trees in which they met; with ``best`` at least one
     for any two components that have any, without it all."""
-    joined = forest.join(comps, F.col("id") == F.col("node"), "left")
-    rows = joined.select("id", "n", "tree", "key", F.coalesce("component", "id").alias("component"))
-    found = None
+    rows, found = _with_components(forest, comps), None
     for depth in range(FIRST, KEY + 1, STEP):
-        rows = _regions(rows, depth)
-        sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-        rows = stored(rows.join(sizes.select("h", "c"), "h"), f"forest-depth{depth}")
+        rows = _open(rows, depth)
+        rows = stored(rows.join(nodes, "id") if depth == FIRST else rows, f"forest-depth{depth}")
         pairs = _met(rows.where(F.col("c") <= REGION), best)
         found = pairs if found is None else found.unionByName(pairs)
         rows = rows.where(F.col("c") > REGION)
@@ -294,9 +355,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     stars = _pivots(forest).groupBy("u", "v").agg(F.count(F.lit(1)).alias("met"))
     comps = connected(_confirmed(best(stars, ["v"]), nodes, texts, "forest-stars"), "forest-first")
-    tried = best(_across(forest.drop("h"), comps, True), ["cu", "cv"])
+    forest = forest.drop("h")
+    comps = _joined(comps, _confirmed(best(_hubs(forest, comps), ["v"]), nodes, texts, "forest-hubs"), "forest-around")
+    tried = best(_across(forest, nodes, comps, True), ["cu", "cv"])
     comps = _joined(comps, _confirmed(tried, nodes, texts, "forest-best"), "forest-second")
-    comps = _joined(comps, _confirmed(_across(forest.drop("h"), comps, False), nodes, texts, "forest-rest"), "forest-all")
+    comps = _joined(comps, _confirmed(_across(forest, nodes, comps, False), nodes, texts, "forest-rest"), "forest-third")
+    comps = _joined(comps, _confirmed(_by_rarest(forest, comps, texts), None, texts, "forest-exact"), "forest-all")
     out = named.join(comps, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
                       F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

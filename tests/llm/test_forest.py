@@ -71,6 +71,49 @@ def test_regions_fall_apart(spark, monkeypatch):
     assert found(spark, rows) == brute.groups(rows, 2, 80)
 
 
+def test_links_in_large_regions_are_all_found(spark, monkeypatch):
+    """Texts that are alike but linked in pairs only, in regions too large to be searched; deeper regions part many of the pairs."""
+    monkeypatch.setattr(forest, "REGION", 2)
+    chance = random.Random(13)
+    word = [f"w{i}" for i in range(5000)]
+    base = [chance.choice(word) for _ in range(120)]
+    rows = []
+    for _ in range(60):
+        one = list(base)
+        for i in chance.sample(range(120), 11):
+            one[i] = chance.choice(word)
+        two = list(one)
+        for i in chance.sample(range(120), 6):
+            two[i] = chance.choice(word)
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate((one, two))]
+    want = brute.groups(rows, 2, 80)
+    assert 30 < len({c for _, c in want.values()}) < 100
+    assert found(spark, rows) == want
+
+
+def test_copies_of_one_text_are_not_paired(spark, monkeypatch):
+    """Copies too unlike for links among themselves come together by the text they stem from, not by comparing them in pairs."""
+    tried = []
+    confirmed = forest._confirmed
+
+    def counted(pairs, nodes, texts, name):
+        pairs = pairs.cache()
+        tried.append(pairs.count())
+        return confirmed(pairs, nodes, texts, name)
+
+    monkeypatch.setattr(forest, "_confirmed", counted)
+    chance = random.Random(14)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1000, " ".join(base))]
+    for i in range(400):
+        copy = list(base)
+        for at in chance.sample(range(60), 3):
+            copy[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(copy)))
+    assert found(spark, rows) == brute.groups(rows, 2, 80)
+    assert sum(tried) < 5 * len(rows)
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "one two three four"), (1, "one two three four"), (2, "ONE two\tthree  four"), (3, None), (4, ""), (5, " \n"), (6, "word"), (7, "WORD"),
             (None, "one two three four"), (8, "é ÉÉ"), (9, "É ÉÉ")]
