@@ -200,6 +200,23 @@ def test_number_rows_with_a_hot_key(spark):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
+def test_number_rows_of_large_keys_and_nulls(spark):
+    """Keys above and below the limit are numbered alike; rows with a null key or block are counted but left out."""
+    df = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 WHEN id % 97 = 0 THEN NULL ELSE id % 50 END AS k", "IF(id % 41 = 0, NULL, (id * 7919) % 4001) AS o", "id")
+    got = number_rows(df, ["k"], ["o", "id"], {"_b": F.expr("o div 100")}, "rn", large=100)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o", "id"))).where("k is not null and o is not null")
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_number_rows_shuffles_small_keys_once(spark, tmp_path):
+    """Where no key is large, rows are shuffled once, with no join of every block's size."""
+    spark.range(40_000).selectExpr("id % 9000 AS k", "id AS o").write.parquet(str(tmp_path / "rows"))
+    got = number_rows(spark.read.parquet(str(tmp_path / "rows")), ["k"], ["o"], {"_b": F.col("o")}, "rn")
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("SortMergeJoin") == 0 and plan.count("Sort [k") == 1, plan
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_plain_join(spark, how):
     left = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 20 END AS k")
