@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from creditloom.llm.bpe import PieceCache, byte_letters
+from creditloom.llm.bpe import byte_letters
 
 WINDOW = 1024
 BLOCK_IDS = 1 << 18
@@ -42,11 +42,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class PieceTokenizer:
-    """The ids of texts for a byte-level vocabulary file. A piece between blanks is encoded once while it is cached.
-
-    A blank starts a piece. That is where the byte-level pattern splits too, unless the blank has white space before
-    it and white space, the text's end or a special token behind it; such pieces are left together.
-    """
+    """The ids of texts for a byte-level vocabulary file. A text is split at special tokens and encoded as it comes; nothing is kept between texts."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -57,41 +53,24 @@ class PieceTokenizer:
         ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items()}
         self.core = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.starts = tuple(self.special)
         self.apart = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.cache = PieceCache()
         self.sentence_end = np.zeros(max([*ranks.values(), *self.special.values()]) + 1, dtype=bool)
         self.sentence_end[[i for word, i in ranks.items() if word.endswith((b".", b"!", b"?", b"\n"))]] = True
 
     def _plain(self, piece: str) -> bytes:
         return array("I", self.core.encode_ordinary(piece)).tobytes()
 
-    def _ids(self, piece: str) -> bytes:
-        if self.apart is None or not self.apart.search(piece):
-            return self._plain(piece)
+    def _ids(self, text: str) -> bytes:
+        if self.apart is None or not self.apart.search(text):
+            return self._plain(text)
         out, at = [], 0
-        for m in self.apart.finditer(piece):
-            out += [self._plain(piece[at:m.start()]), array("I", [self.special[m[0]]]).tobytes()]
+        for m in self.apart.finditer(text):
+            out += [self._plain(text[at:m.start()]), array("I", [self.special[m[0]]]).tobytes()]
             at = m.end()
-        return b"".join([*out, self._plain(piece[at:])])
-
-    def _pieces(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        pieces = [parts[0], *[" " + p for p in parts[1:]]]
-        # A piece of a blank alone or with white space behind the blank may belong to its forerunner.
-        if "  " not in text and not any([p[-1:].isspace() for p in parts]):
-            return pieces
-        out = [pieces[0]]
-        for p in pieces[1:]:
-            rest = p[1:]
-            if out[-1][-1:].isspace() and (not rest or rest[0].isspace() or rest.startswith(self.starts)):
-                out[-1] += p
-            else:
-                out.append(p)
-        return out
+        return b"".join([*out, self._plain(text[at:])])
 
     def encode(self, text: str | None) -> bytes:
-        return self.cache.joined(self._pieces(text), self._ids) if text else b""
+        return self._ids(text) if text else b""
 
 
 @lru_cache(maxsize=2)
