@@ -13,8 +13,9 @@ own nodes, its pivot, and then falls apart into regions two values deeper; sizes
 
 Candidates are confirmed on the full sets. A group of thousands of copies is never expanded into its pairs: first every node
 is confirmed against the pivot it meets in most trees, and the links form components; then, in regions of several components, against the
-hub it meets in most trees, the node of a region whose keys most others share; then the best candidate between any two
-components; then all other candidates between different components. Inside a component nothing is compared.
+hub it meets in most trees, the node of a region whose keys most others share; then all candidates between different components. The task that
+searches a region confirms them, the likeliest first, and hands on only links that join components: no more than it has nodes, however many of them are
+alike. Inside a component nothing is compared.
 
 At last the nodes of regions that are larger than ``REGION`` and still hold several components are joined exactly: two linked sets share one of
 the rarest shingles of each (a fifth of them and one more), so whatever deeper regions missed is found by these lists, between components only.
@@ -28,7 +29,8 @@ columns are ignored. Empty tables give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +39,8 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from creditloom.llm.common import connected, key_bits, passing, squeezed, stored
 
@@ -50,6 +54,7 @@ AGREE = 10
 LIKELY = 80  # of HASHES; a pair of similarity 0.8 has less in one of a million cases
 REGION = 1024
 ROWS = 256
+HELD = 1 << 25  # bytes of regions or of sets that a task holds, unless one region or one pair has more
 PIECE = 1 << 20  # bytes of a text hashed at once, up to the end of a word
 _FACTOR, _MIX, _BASE = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _MULTIPLIERS = np.array([xxhash.xxh32_intdigest(b"forest", i) | 1 for i in range(HASHES)], np.uint32)[:, None]
@@ -173,6 +178,31 @@ def _set_of(packed: bytes) -> np.ndarray:
     return shingle_set(zstandard.decompress(packed))
 
 
+class _Sets(OrderedDict):
+    """Sets of nodes, the last used ones up to ``HELD`` bytes."""
+
+    size = 0
+
+    def of(self, node: int, packed: pa.BinaryScalar) -> np.ndarray:
+        if node in self:
+            self.move_to_end(node)
+            return self[node]
+        own = self[node] = shingle_set(zstandard.decompress(packed.as_py()))
+        self.size += own.nbytes
+        while self.size > HELD and len(self) > 2:
+            self.size -= self.popitem(last=False)[1].nbytes
+        return own
+
+
+def _reach(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets reach the similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    shared = int(np.count_nonzero(b[at] == a))
+    return 100 * shared >= SHARE * (len(a) + len(b) - shared)
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame | None, texts: DataFrame, name: str) -> DataFrame:
     """The pairs ``u, v`` whose full sets reach the similarity, with ``nodes`` only of those whose signatures are alike. ``texts``: id, packed,
     one row per node."""
@@ -182,23 +212,17 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame | None, texts: DataFrame, name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = _set_of(a.as_py()), _set_of(b.as_py())
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                shared = int(np.count_nonzero(b[at] == a))
-                keep.append(100 * shared >= SHARE * (len(a) + len(b) - shared))
+            keep = [_reach(_set_of(a.as_py()), _set_of(b.as_py())) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return stored(both.mapInArrow(run, "u long, v long"), f"{name}-links")
 
 
-def _neighbours(table: pa.Table, best: bool) -> pa.RecordBatch:
-    """Candidate pairs among rows sorted by region and key: each row with the next one of its region, the one after, and so on."""
-    h, ids, n, comp = (table[c].to_numpy() for c in ("h", "id", "n", "component"))
-    keys = np.frombuffer(b"".join(table["key"].to_pylist()), np.uint16).reshape(-1, KEY)
+def _neighbours(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places ``a, b`` of candidate pairs of different components in rows by region, and in how many values their signatures agree.
+
+    A pair that meets in several trees counts in the first of those where its region is searched at depth ``FIRST``; ``small`` has a bit for each such tree."""
+    h, n, comp, tree, small, depth = (table[c].to_numpy() for c in ("h", "n", "component", "tree", "small", "depth"))
     sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)
     found, left = [], np.arange(len(h))
     for step in range(1, REGION):
@@ -209,40 +233,75 @@ def _neighbours(table: pa.Table, best: bool) -> pa.RecordBatch:
         a, b = left, left + step
         near = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * SHARE)
         a, b = a[near], b[near]
-        near = (keys[a] == keys[b]).sum(1) >= AGREE
-        a, b = a[near], b[near]
-        met = (sigs[a] == sigs[b]).sum(1)
-        found.append((a[met >= LIKELY], b[met >= LIKELY], met[met >= LIKELY]))
-    a, b, met = (np.concatenate(c) for c in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 3
-    if best and len(a):  # one pair for any two components of a region
-        low, high = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-        order = np.lexsort((-met, high, low, h[a]))
-        same = [x[order] for x in (h[a], low, high)]
-        order = order[np.concatenate([[True], np.any([x[1:] != x[:-1] for x in same], axis=0)])]
-        a, b = a[order], b[order]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["u", "v"])
-
-
-def _met(small: DataFrame, best: bool) -> DataFrame:
-    """Candidate pairs ``u, v`` of different components inside regions of at most ``REGION`` nodes, one row for each tree."""
+        same = sigs[a] == sigs[b]
+        met = same.sum(1)
+        likely = met >= LIKELY
+        a, b, met = a[likely], b[likely], met[likely]
+        if not len(a):
+            continue
+        parts = same[likely].reshape(-1, TREES, FIRST).sum(2)
+        agree = sum(np.roll(parts, -i, 1) for i in range(KEY // FIRST)) >= AGREE
+        shared = agree & (parts == FIRST) & ((small[a][:, None] >> np.arange(TREES) & 1) == 1)
+        first = np.where(shared.any(1), shared.argmax(1), -1)
+        own = np.where(depth[a] == FIRST, first == tree[a], (first < 0) & agree[np.arange(len(a)), tree[a]])
+        found.append((a[own], b[own], met[own]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+
+
+def _linked(table: pa.Table) -> pa.RecordBatch:
+    """Links ``u, v`` that join the components of rows by region as far as their candidates' full sets reach the similarity. What is joined already is not compared."""
+    a, b, met = _neighbours(table)
+    ids, packed = table["id"].to_numpy(), table["packed"]
+    comp = np.unique(table["component"].to_numpy(), return_inverse=True)[1].tolist()
+    root = list(range(len(comp)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sets, links = _Sets(), []
+    order = np.lexsort((b, a, -met))
+    for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        cx, cy = top(comp[x]), top(comp[y])
+        if cx != cy and _reach(sets.of(int(ids[x]), packed[x]), sets.of(int(ids[y]), packed[y])):
+            root[cx] = cy
+            links.append((int(ids[x]), int(ids[y])))
+    return pa.RecordBatch.from_arrays([pa.array([f(p) for p in links], pa.int64()) for f in (min, max)], names=["u", "v"])
+
+
+def _by_region(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: StructType | str) -> DataFrame:
+    """What ``work`` makes of whole regions ``h``, several at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) < 4 * REGION:
+            if sum(b.num_rows for b in held) < 4 * REGION and sum(b.nbytes for b in held) < HELD:
                 continue
             table = pa.Table.from_batches(held)
             h = table["h"].to_numpy()
             whole = int(np.flatnonzero(h == h[-1])[0])  # the last region may go on
             if whole:
-                yield _neighbours(table.slice(0, whole), best)
+                yield work(table.slice(0, whole))
                 held = table.slice(whole).to_batches()
         if held:
-            yield _neighbours(pa.Table.from_batches(held), best)
+            yield work(pa.Table.from_batches(held))
+
+    return rows.repartition("h").sortWithinPartitions("h", "key").mapInArrow(run, schema)
+
 
-    rows = small.select("h", "id", "n", "key", "component", "sig").repartition("h").sortWithinPartitions("h", "key")
-    return rows.mapInArrow(run, "u long, v long")
+def _met(small: DataFrame) -> DataFrame:
+    """The rows of regions of at most ``REGION`` nodes that are in a candidate pair of their region."""
+
+    def run(table: pa.Table) -> pa.RecordBatch:
+        a, b, _ = _neighbours(table)
+        return table.take(pa.array(np.union1d(a, b))).combine_chunks().to_batches()[0] if len(a) else empty
+
+    rows = small.select("h", "id", "n", "key", "component", "sig", "tree", "small", "depth")
+    empty = pa.RecordBatch.from_pylist([], to_arrow_schema(rows.schema))
+    return _by_region(rows, run, rows.schema)
 
 
 def _open(rows: DataFrame, depth: int) -> DataFrame:
@@ -301,22 +360,26 @@ def _by_rarest(forest: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFra
     return pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
 
 
-def _across(forest: DataFrame, nodes: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
-    """Candidates ``u, v, cu, cv, met`` between components, with the number of trees in which they met; with ``best`` at least one
-    for any two components that have any, without it all."""
-    rows, found = _with_components(forest, comps), None
+def _across(forest: DataFrame, nodes: DataFrame, comps: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links ``u, v`` between components in regions of at most ``REGION`` nodes, and candidates ``u, v, cu, cv, met`` with pivots of larger ones.
+
+    A region's task confirms its candidates itself, so what leaves it is less than its rows, however many of its texts are alike."""
+    rows, found, stars = _with_components(forest, comps), None, None
+    searched = F.bit_or(F.when(F.col("c") <= REGION, F.expr("shiftleft(1L, tree)")).otherwise(F.lit(0))).over(Window.partitionBy("id"))
     for depth in range(FIRST, KEY + 1, STEP):
         rows = _open(rows, depth)
-        rows = stored(rows.join(nodes, "id") if depth == FIRST else rows, f"forest-depth{depth}")
-        pairs = _met(rows.where(F.col("c") <= REGION), best)
-        found = pairs if found is None else found.unionByName(pairs)
+        rows = stored(rows.join(nodes, "id").withColumn("small", searched) if depth == FIRST else rows, f"forest-depth{depth}")
+        own = rows.where(F.col("c") <= REGION).withColumn("depth", F.lit(depth))
+        found = own if found is None else found.unionByName(own)
         rows = rows.where(F.col("c") > REGION)
         if rows.isEmpty():
             break
-        found = found.unionByName(_pivots(rows).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+        pairs = _pivots(rows).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        stars = pairs if stars is None else stars.unionByName(pairs)
         rows = rows.drop("h", "c")
-    pairs = found.groupBy("u", "v").agg(F.count(F.lit(1)).alias("met"))
-    return _between(pairs, comps)
+    links = _by_region(stored(_met(found), "forest-met").join(texts, "id"), _linked, "u long, v long")
+    stars = found.selectExpr("id AS u", "id AS v").limit(0) if stars is None else stars
+    return stored(links, "forest-regions"), _between(stars.groupBy("u", "v").agg(F.count(F.lit(1)).alias("met")), comps)
 
 
 def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -357,9 +420,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     comps = connected(_confirmed(best(stars, ["v"]), nodes, texts, "forest-stars"), "forest-first")
     forest = forest.drop("h")
     comps = _joined(comps, _confirmed(best(_hubs(forest, comps), ["v"]), nodes, texts, "forest-hubs"), "forest-around")
-    tried = best(_across(forest, nodes, comps, True), ["cu", "cv"])
-    comps = _joined(comps, _confirmed(tried, nodes, texts, "forest-best"), "forest-second")
-    comps = _joined(comps, _confirmed(_across(forest, nodes, comps, False), nodes, texts, "forest-rest"), "forest-third")
+    links, stars = _across(forest, nodes, comps, texts)
+    comps = _joined(comps, links, "forest-second")
+    comps = _joined(comps, _confirmed(_between(stars, comps), nodes, texts, "forest-rest"), "forest-third")
     comps = _joined(comps, _confirmed(_by_rarest(forest, comps, texts), None, texts, "forest-exact"), "forest-all")
     out = named.join(comps, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),

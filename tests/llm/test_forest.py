@@ -110,6 +110,33 @@ def test_copies_of_one_text_are_not_paired(spark, monkeypatch):
     assert sum(tried) < 5 * len(rows)
 
 
+def test_alike_texts_leave_no_pairs(spark, monkeypatch):
+    """Texts that are alike but hardly ever linked: no step hands on more rows than there are nodes in trees."""
+    made = {}
+    stored = forest.stored
+
+    def counted(rows, name):
+        out = stored(rows, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(forest, "stored", counted)
+    chance = random.Random(15)
+    rows = []
+    for i in range(300):
+        copy = [f"w{k}" for k in range(100)]
+        for at in chance.sample(range(100), 5):
+            copy[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(copy)))
+        if i % 50 == 0:
+            rows.append((1000 + i, " ".join([*copy[:-4], "y", *copy[-4:]])))
+    want = brute.groups(rows, 2, 80)
+    assert sum(i != c for i, (_, c) in want.items()) >= 6
+    assert found(spark, rows) == want
+    assert max(made.values()) <= forest.TREES * len(rows)
+    assert made["forest-regions"] < len(rows)
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "one two three four"), (1, "one two three four"), (2, "ONE two\tthree  four"), (3, None), (4, ""), (5, " \n"), (6, "word"), (7, "WORD"),
             (None, "one two three four"), (8, "é ÉÉ"), (9, "É ÉÉ")]
