@@ -54,6 +54,7 @@ AGREE = 10
 LIKELY = 80  # of HASHES; a pair of similarity 0.8 has less in one of a million cases
 REGION = 1024
 ROWS = 256
+SLOTS = 1 << 18  # of shingles whose numbers of nodes are counted together
 HELD = 1 << 25  # bytes of regions or of sets that a task holds, unless one region or one pair has more
 PIECE = 1 << 20  # bytes of a text hashed at once, up to the end of a word
 _FACTOR, _MIX, _BASE = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -329,29 +330,44 @@ def _hubs(forest: DataFrame, comps: DataFrame) -> DataFrame:
     return met.groupBy(F.col("hub.id").alias("u"), F.col("id").alias("v")).agg(F.count(F.lit(1)).alias("met"))
 
 
+def _slots(own: np.ndarray) -> np.ndarray:
+    return (own % np.uint64(SLOTS)).astype(np.int64)
+
+
 def _by_rarest(forest: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
     """All pairs ``u, v`` of different components that can be linked, of the nodes in regions larger than ``REGION`` with several components.
 
-    Shingles are ordered by the number of these nodes that have them. Linked sets share one of the first n // 5 + 1 of each, and behind the first one
+    Shingles are ordered by the number of these nodes that have one of their slot, of ``SLOTS`` slots by hash: any order that is the same for all sets finds
+    all links. Linked sets share one of the first n // 5 + 1 of each, and behind the first one
     shared there must be enough left in both. In a list one end of every pair lies outside the list's largest component, so
     a large component costs its members times the others, not its pairs."""
     rest = _open(_with_components(forest, comps), FIRST).where(F.col("c") > REGION).select("id", "n", "component").distinct()
     rest = stored(rest, "forest-large")
     if rest.isEmpty():
         return rest.selectExpr("id AS u", "id AS v")
+    sets = stored(rest.join(texts, "id").select("id", "n", "component", "packed"), "forest-sets")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for packed in batch.column(0):
+                np.add.at(total, _slots(shingle_set(zstandard.decompress(packed.as_py()))), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "c"])
+
+    parts = sets.select("packed").mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[parts["slot"].to_numpy()] = parts["c"].to_numpy()
+    shared = forest.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
-            own = shingle_set(zstandard.decompress(batch.column(3)[0].as_py())).view(np.int64)
+            own = shingle_set(zstandard.decompress(batch.column(3)[0].as_py()))
+            own = own[np.lexsort((own, shared.value[_slots(own)]))[:len(own) * (100 - SHARE) // 100 + 1]].view(np.int64)
             same = [pa.array(np.full(len(own), c[0].as_py(), np.int64)) for c in batch.columns[:3]]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(own)], names=["id", "n", "component", "h"])
-
-    sets = rest.join(texts, "id").select("id", "n", "component", "packed").mapInArrow(run, "id long, n long, component long, h long")
-    sets = stored(sets, "forest-shingles")
-    counts = sets.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("c", "h")).alias("place")
-    lists = sets.join(counts, "h").select("h", "id", "n", "component", "c", place).where(f"place <= n * {100 - SHARE} div 100 + 1 and c > 1").drop("c")
-    lists = stored(lists, "forest-rarest")
+            yield pa.RecordBatch.from_arrays([*same, pa.array(own), pa.array(np.arange(1, len(own) + 1))], names=["id", "n", "component", "h", "place"])
+
+    lists = stored(sets.mapInArrow(rarest, "id long, n long, component long, h long, place long"), "forest-rarest")
     main = lists.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(
         F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("c", "component")).alias("main")).where("components > 1").select("h", "main")
     lists = stored(lists.join(main, "h"), "forest-lists")

@@ -137,6 +137,28 @@ def test_alike_texts_leave_no_pairs(spark, monkeypatch):
     assert made["forest-regions"] < len(rows)
 
 
+def test_large_regions_hand_on_only_rarest_shingles(spark, monkeypatch):
+    made = {}
+    stored = forest.stored
+
+    def counted(rows, name):
+        out = stored(rows, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(forest, "stored", counted)
+    monkeypatch.setattr(forest, "REGION", 2)
+    chance = random.Random(16)
+    rows = []
+    for i in range(100):
+        copy = [f"w{k}" for k in range(200)]
+        for at in chance.sample(range(200), 9):
+            copy[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(copy)))
+    assert found(spark, rows) == brute.groups(rows, 2, 80)
+    assert max(n for name, n in made.items() if name in ("forest-shingles", "forest-rarest")) <= 40 * len(rows)
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "one two three four"), (1, "one two three four"), (2, "ONE two\tthree  four"), (3, None), (4, ""), (5, " \n"), (6, "word"), (7, "WORD"),
             (None, "one two three four"), (8, "é ÉÉ"), (9, "É ÉÉ")]
