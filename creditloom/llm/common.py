@@ -56,7 +56,7 @@ def ascii_lower(text: Column) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, remembered while they are at most ``limit``."""
 
-    limit = 250_000
+    limit = 50_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
